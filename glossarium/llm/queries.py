@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, sharding
+from . import bpe, quality_rules, sharding
 from .common import table
 
 
@@ -17,13 +17,19 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digests=True)
 
 
+def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict by Jensen-Shannon distance from the language for every document."""
+    rated = quality_rules.rate_documents(table(spark, sf_dir, "documents"))
+    return rated.drop("class_distance", "word_distance")
+
+
 def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 8, its slot there, and its shard of 9."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_byte_bpe, op8_jump_sharding)
+    f.__name__: f for f in (op4_byte_bpe, op6_divergence_rules, op8_jump_sharding)
 }
 
 ORACLES: dict[str, str] = {}
