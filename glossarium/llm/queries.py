@@ -6,11 +6,24 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, sharding
+from . import bpe, classifier, quality_rules, sharding
 from .common import table
 
 
+def held_out() -> F.Column:
+    """True for the third of the ids whose labels are not learnt from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
+def op2_nearest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by its nearest labelled documents in the latent space."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = classifier.score_documents(docs, labels.where(~held_out()))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k, and the text decoded from them, as digests."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -29,7 +42,7 @@ def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_byte_bpe, op6_divergence_rules, op8_jump_sharding)
+    f.__name__: f for f in (op2_nearest_quality, op4_byte_bpe, op6_divergence_rules, op8_jump_sharding)
 }
 
 ORACLES: dict[str, str] = {}
