@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, quality_rules, sharding
+from . import bpe, classifier, packing, quality_rules, sharding
 from .common import table
 
 
@@ -36,13 +36,18 @@ def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.drop("class_distance", "word_distance")
 
 
+def op7_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of word_bpe_49k ids in sequences of 2048."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 8, its slot there, and its shard of 9."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_nearest_quality, op4_byte_bpe, op6_divergence_rules, op8_jump_sharding)
+    f.__name__: f for f in (op2_nearest_quality, op4_byte_bpe, op6_divergence_rules, op7_configuration_packing, op8_jump_sharding)
 }
 
 ORACLES: dict[str, str] = {}
