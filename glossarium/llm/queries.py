@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, packing, quality_rules, sharding
+from . import bpe, classifier, packing, quality_rules, sharding, simhash
 from .common import table
 
 
@@ -17,6 +17,11 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
+def op1_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_nearest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by its nearest labelled documents in the latent space."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -47,7 +52,7 @@ def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_nearest_quality, op4_byte_bpe, op6_divergence_rules, op7_configuration_packing, op8_jump_sharding)
+    f.__name__: f for f in (op1_simhash_pigeonhole, op2_nearest_quality, op4_byte_bpe, op6_divergence_rules, op7_configuration_packing, op8_jump_sharding)
 }
 
 ORACLES: dict[str, str] = {}
