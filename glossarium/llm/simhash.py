@@ -5,7 +5,12 @@ are dealt into partitions, correlated bits together, and the partitions get
 thresholds t_i of their own (-1: not used) with sum(t_i + 1) = radius + 1: a
 linked pair is within t_i in some partition i. Dynamic programming picks the
 thresholds of the least estimated cost, rows to probe and candidates to verify,
-from a bounded sample of fingerprints; the choice changes cost, never results.
+from a bounded sample of fingerprints; the choice changes cost, never what is
+linked within radius.
+
+With further words of 64 bits a candidate is verified on all words, against a
+limit of its own (near): then pairs beyond radius that meet in a bucket can be
+linked too, and pairs within radius by chance are told apart.
 """
 
 from __future__ import annotations
@@ -30,44 +35,63 @@ BITS = 64
 BUCKET_ROWS = 4096
 
 
-def fingerprint(text: str, shingle: int) -> int:
-    """SimHash of the text's word shingles, as a signed 64-bit number; 0 without words.
+def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """Further 64 bits of each hash, by the finaliser of splitmix64; word 0 is the hash itself."""
+    if not word:
+        return hashes
+    with np.errstate(over="ignore"):
+        x = hashes + np.uint64(word) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str, shingle: int, words: int = 1) -> list[int]:
+    """SimHash of the text's word shingles, as signed 64-bit words; 0 without words.
 
     Words: runs of other than ASCII white space, A-Z lower-cased. A text with
     fewer words than a shingle is one shingle. Repeats count. A bit is set if
     it is in over half of the shingles' XXH64 (seed 42).
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    line = b" ".join(words)
-    if len(words) <= shingle:
+    parts = text.encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return [0] * words
+    line = b" ".join(parts)
+    if len(parts) <= shingle:
         hashes = [xxhash.xxh64_intdigest(line, 42)]
     else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         ends = np.cumsum(lengths + 1) - 1
-        starts = (ends - lengths)[: len(words) - shingle + 1].tolist()
+        starts = (ends - lengths)[: len(parts) - shingle + 1].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
-    counts = np.zeros(BITS, np.int64)
     values = np.array(hashes, np.uint64)
-    for at in range(0, len(values), 1 << 15):
-        some = np.unpackbits(values[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += some.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(values), bitorder="little").view(np.int64)[0])
+    out = []
+    for word in range(words):
+        counts = np.zeros(BITS, np.int64)
+        for at in range(0, len(values), 1 << 15):
+            some = _mixed(values[at : at + (1 << 15)], word)
+            counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > len(values), bitorder="little").view(np.int64)[0]))
+    return out
+
 
+def word_names(words: int) -> list[str]:
+    return ["__fp", *(f"__fp{k}" for k in range(1, words))]
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, keep: bool = False) -> DataFrame:
-    """id_col (or all columns) and the bigint column __fp of every row; null text: as empty."""
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int = 1, keep: bool = False) -> DataFrame:
+    """id_col (or all columns) and the bigint columns word_names(words) of every row; null text: as empty."""
     source = docs if keep else docs.select(id_col, text_col)
     at = source.columns.index(text_col)
     first = source.schema if keep else docs.select(id_col).schema
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in first), "__fp bigint"])
+    names = word_names(words)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in first), *(f"{n} bigint" for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches, at):
-            found = pa.array([fingerprint(t, shingle) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.columns if keep else [batch.column(0)]), found], [*first.names, "__fp"])
+            found = np.array([fingerprint(t, shingle, words) for t in texts], np.int64).T
+            yield pa.RecordBatch.from_arrays([*(batch.columns if keep else [batch.column(0)]), *map(pa.array, found)], [*first.names, *names])
 
     return source.mapInArrow(run, schema)
 
@@ -149,14 +173,14 @@ def probes(partitions: list[Partition], fp: F.Column) -> F.Column:
     return F.concat(*rows)
 
 
-def link_buckets(bucket: np.ndarray, role: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def link_buckets(bucket: np.ndarray, role: np.ndarray, words: list[np.ndarray], near: int) -> tuple[np.ndarray, np.ndarray]:
     """Stars that join what is linked inside each bucket: rows sorted by bucket, those of the index first.
 
     Every index row is compared with every row after it in its bucket, all rows
     at once for each step; links inside what is joined already add nothing.
     """
     n = len(bucket)
-    value = fp.view(np.uint64)
+    values = [w.view(np.uint64) for w in words]
     root = np.arange(n)
     edge = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
     end = np.repeat(np.append(edge, n), np.diff([0, *edge, n])) if n else root
@@ -166,9 +190,13 @@ def link_buckets(bucket: np.ndarray, role: np.ndarray, fp: np.ndarray, radius: i
         left = left[left + step < end[left]]
         if not len(left):
             break
-        right = left + step
-        near = np.bitwise_count(value[left] ^ value[right]) <= radius
-        a, b = root[left[near]], root[right[near]]
+        a, b = left, left + step
+        bits = np.zeros(len(a), np.int64)
+        for value in values:
+            bits = bits + np.bitwise_count(value[a] ^ value[b])
+            within = bits <= near
+            a, b, bits = a[within], b[within], bits[within]
+        a, b = root[a], root[b]
         apart = a != b
         if apart.any():
             parent: dict[int, int] = {}
@@ -183,26 +211,27 @@ def link_buckets(bucket: np.ndarray, role: np.ndarray, fp: np.ndarray, radius: i
                 if x != y:
                     parent[max(x, y)] = min(x, y)
             moved = np.arange(n)
-            for x in parent:
+            for x in list(parent):
                 moved[x] = find(x)
             root = moved[root]
         step += 1
+    fp = words[0]
     joined = np.flatnonzero((root != np.arange(n)) & (fp != fp[root]))
     return fp[joined], fp[root[joined]]
 
 
-def _verified(rows: DataFrame, radius: int) -> DataFrame:
-    """Edges (a, b) between fingerprints: rows are (bucket, role, fp), dealt and sorted by bucket."""
+def _verified(rows: DataFrame, near: int) -> DataFrame:
+    """Edges (a, b) between fingerprints: rows are (bucket, role, words of the fingerprint)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
         def out(columns: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = link_buckets(*columns, radius)
+            a, b = link_buckets(columns[0], columns[1], columns[2:], near)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(3)]
+            columns = [x.to_numpy() for x in batch.columns]
             if held is not None:
                 columns = [np.concatenate(x) for x in zip(held, columns)]
             if not len(columns[0]):
@@ -215,23 +244,24 @@ def _verified(rows: DataFrame, radius: int) -> DataFrame:
         if held is not None:
             yield out(held)
 
-    return rows.select("bucket", "role", "fp").repartition("bucket").sortWithinPartitions("bucket", "role", "fp").mapInArrow(run, "a bigint, b bigint")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "role", *rows.columns[2:]).mapInArrow(run, "a bigint, b bigint")
 
 
-def links(values: DataFrame, radius: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Edges (a, b) that join exactly the fingerprints which chains of links join; values: distinct bigints in column fp.
+def links(values: DataFrame, radius: int, near: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Edges (a, b) that join exactly the fingerprints which chains of links join; values: distinct bigints __fp, further words after it.
 
     Buckets of more than bucket_rows rows are split exactly: by equal groups of
     the bits outside their partition (one of radius + 1 groups must be equal),
     then, where that leaves large buckets, into blocks that meet in pairs.
     """
+    words = values.columns
     total = values.count()
-    sample = values.orderBy(F.xxhash64("fp"), "fp").limit(1024).toPandas().fp.to_numpy(np.int64).view(np.uint64)
+    sample = values.orderBy(F.xxhash64("__fp"), "__fp").select("__fp").limit(1024).toPandas()["__fp"].to_numpy(np.int64).view(np.uint64)
     partitions = allocate(sample, total, radius)
-    fp = F.col("fp")
+    fp = F.col("__fp")
     rows = (
-        values.select("fp", F.explode(probes(partitions, fp)).alias("p"))
-        .select("fp", "p.part", "p.role", F.xxhash64("p.part", "p.key").alias("bucket"))
+        values.select(*words, F.explode(probes(partitions, fp)).alias("p"))
+        .select(*words, "p.part", "p.role", F.xxhash64("p.part", "p.key").alias("bucket"))
         .withColumn("n", F.count("*").over(Window.partitionBy("bucket")))
     )
     usual = rows.where(F.col("n").between(2, bucket_rows))
@@ -243,22 +273,28 @@ def links(values: DataFrame, radius: int, bucket_rows: int = BUCKET_ROWS) -> Dat
     masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in rest(p)]) for p in partitions])
     split = (
         rows.where(F.col("n") > bucket_rows)
-        .select("fp", "role", "bucket", F.posexplode(F.element_at(masks, F.col("part") + 1)).alias("g", "mask"))
-        .select("fp", "role", F.xxhash64("bucket", "g", fp.bitwiseAND(F.col("mask"))).alias("bucket"))
+        .select(*words, "role", "bucket", F.posexplode(F.element_at(masks, F.col("part") + 1)).alias("g", "mask"))
+        .select(*words, "role", F.xxhash64("bucket", "g", fp.bitwiseAND(F.col("mask"))).alias("bucket"))
         .withColumn("n", F.count("*").over(Window.partitionBy("bucket")))
         .where("n > 1")
         .withColumn("blocks", F.ceil(F.col("n") / bucket_rows).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("fp", "role"), F.col("blocks")).cast("int"))
-        .select("fp", "role", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("fp", "role", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
+        .withColumn("own", F.pmod(F.xxhash64("__fp", "role"), F.col("blocks")).cast("int"))
+        .select(*words, "role", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select(*words, "role", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
     )
-    return _verified(usual.select("bucket", "role", "fp").union(split.select("bucket", "role", "fp")), radius)
+    return _verified(usual.select("bucket", "role", *words).union(split.select("bucket", "role", *words)), radius if near is None else near)
+
 
+def classes(signatures: DataFrame, id_col: str, radius: int, near: int | None = None) -> DataFrame:
+    """__fp, root (a fingerprint that names the class) and component_id (its least id) of every distinct __fp.
 
-def classes(signatures: DataFrame, id_col: str, radius: int) -> DataFrame:
-    """__fp, root (a fingerprint that names the class) and component_id (its least id) of every distinct fingerprint."""
-    values = materialise(signatures.groupBy("__fp").agg(F.min(id_col).alias("__least")), "fingerprints")
-    found = components(links(values.select(F.col("__fp").alias("fp")), radius), "a", "b")
+    signatures: id_col, __fp and further words. Texts with equal __fp are one
+    node, with the least of their further words.
+    """
+    more = signatures.columns[2:]
+    found = signatures.groupBy("__fp").agg(F.min(id_col).alias("__least"), *(F.min(w).alias(w) for w in more))
+    values = materialise(found, "fingerprints")
+    found = components(links(values.select("__fp", *more), radius, near), "a", "b")
     joined = values.join(found, values["__fp"] == found["node"])
     named = joined.groupBy("root").agg(F.min("__least").alias("component_id"))
     linked = joined.join(named, "root").select("__fp", "root", "component_id")
@@ -280,17 +316,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 6) -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 7, words: int = 4, near: int = 40
+) -> DataFrame:
     """The rows of docs without all but one of each class of near-duplicates: the one of the least id stays.
 
-    Rows are told apart by id and fingerprint. If a class's least id is that of
-    several rows (repeated rows, null ids), one of them stays. Columns as in docs.
+    Two texts are linked if at most near of their 64 * words bits differ: 40 of
+    256 is what shingle sets of a similarity (Jaccard) of about 0.8 give. Rows
+    are told apart by id and fingerprint. If a class's least id is that of
+    several rows (repeated rows, null ids), one of them stays. Null and empty
+    texts are near-duplicates of each other. Columns as in docs.
     """
-    marked = materialise(fingerprints(docs, id_col, text_col, shingle, keep=True), "marked")
-    found = classes(marked.select(id_col, "__fp"), id_col, radius)
+    marked = materialise(fingerprints(docs, id_col, text_col, shingle, words, keep=True), "marked")
+    found = classes(marked.select(id_col, *word_names(words)), id_col, radius, near)
     own = marked.select(F.col(id_col).alias("__id"), "__fp").join(found, "__fp")
-    least = own.where(F.col("__id").eqNullSafe(F.col("component_id"))).groupBy("root", "__id").agg(F.min("__fp").alias("__kept"), F.count("*").alias("__rows"))
     # one id with several texts in a class: the least fingerprint
+    least = own.where(F.col("__id").eqNullSafe(F.col("component_id"))).groupBy("root", "__id").agg(F.min(F.struct("__fp")).alias("__kept"), F.count("*").alias("__rows"))
+    least = least.select("root", "__id", F.col("__kept.__fp").alias("__kept"), "__rows")
     joined = marked.join(least, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept")))
     single = joined.where("__rows = 1").select(*docs.columns)
     several = joined.where("__rows > 1").dropDuplicates(["root"]).select(*docs.columns)
