@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, packing, quality_rules, sharding, simhash
+from . import bpe, classifier, line_dedup, packing, quality_rules, sharding, simhash
 from .common import table
 
 
@@ -51,8 +51,45 @@ def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op10_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat, or are within two edits of, an earlier line."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_pigeonhole, op2_nearest_quality, op4_byte_bpe, op6_divergence_rules, op7_configuration_packing, op8_jump_sharding)
+    f.__name__: f for f in (op1_simhash_pigeonhole, op2_nearest_quality, op4_byte_bpe, op6_divergence_rules, op7_configuration_packing, op8_jump_sharding, op10_segment_line_dedup)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # every pair of distinct lines of near lengths; one of three parts of the shorter must be in the longer
+    "op10_segment_line_dedup": """
+WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+lines AS (
+  SELECT doc_id, i - 1 AS pos, ls[i] AS line
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM parts)
+),
+firsts AS (
+  SELECT line, min({'d': doc_id, 'p': pos}) AS place, length(line) AS n FROM lines WHERE trim(line, ' ') <> '' GROUP BY line
+),
+longs AS (SELECT line, place, n, unnest([n, n - 1, n - 2]) AS m FROM firsts WHERE n >= 20),
+pairs AS (
+  SELECT a.line AS one, b.line AS other, a.place AS p, b.place AS q
+  FROM longs a JOIN firsts b ON a.m = b.n AND b.n >= 20 AND a.line <> b.line
+  WHERE (contains(a.line, substr(b.line, 1, b.n // 3)) OR contains(a.line, substr(b.line, b.n // 3 + 1, b.n // 3))
+    OR contains(a.line, substr(b.line, 2 * (b.n // 3) + 1)))
+    AND levenshtein(a.line, b.line) <= 2
+),
+near AS (SELECT DISTINCT CASE WHEN q < p THEN one ELSE other END AS line FROM pairs),
+marked AS (
+  SELECT l.doc_id, l.pos, l.line, trim(l.line, ' ') = '' AS blank,
+    f.place IS NOT NULL AND (f.place.d <> l.doc_id OR f.place.p <> l.pos) AS again, n.line IS NOT NULL AS near
+  FROM lines l LEFT JOIN firsts f ON l.line = f.line LEFT JOIN near n ON l.line = n.line
+)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT again AND NOT near), '') AS text,
+  count(*) FILTER (WHERE NOT blank) AS n_lines, count(*) FILTER (WHERE again) AS n_exact,
+  count(*) FILTER (WHERE near AND NOT again) AS n_near
+FROM marked GROUP BY doc_id
+UNION ALL SELECT doc_id, NULL, 0, 0, 0 FROM documents WHERE text IS NULL
+""",
+}

@@ -15,7 +15,7 @@ linked too, and pairs within radius by chance are told apart.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 from math import comb
@@ -158,18 +158,25 @@ def allocate(sample: np.ndarray, total: int, radius: int) -> list[Partition]:
     return best[1]
 
 
+def _row(part: int, key: F.Column, role: int) -> F.Column:
+    return F.struct(F.lit(part).alias("part"), key.alias("key"), F.lit(role).alias("role"))
+
+
+def _flipped(part: int, key: F.Column) -> Callable[[F.Column], F.Column]:
+    return lambda flip: _row(part, key.bitwiseXOR(flip), 2)
+
+
 def probes(partitions: list[Partition], fp: F.Column) -> F.Column:
     """Array of (part, key, role) of a fingerprint: role 1 is in the index, 2 probes it, 3 does both."""
     rows = []
     for i, p in enumerate(partitions):
         key = fp.bitwiseAND(F.lit(p.mask).cast("long"))
-        row = lambda k, role, i=i: F.struct(F.lit(i).alias("part"), k.alias("key"), F.lit(role).alias("role"))
         if p.threshold == 0:
-            rows.append(F.array(row(key, 3)))
+            rows.append(F.array(_row(i, key, 3)))
         else:
             flips = [signed(sum(1 << b for b in bits)) for t in range(p.threshold + 1) for bits in combinations(p.bits, t)]
-            near = F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x, key=key, row=row: row(key.bitwiseXOR(x), 2))
-            rows.append(F.concat(F.array(row(key, 1)), near))
+            near = F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), _flipped(i, key))
+            rows.append(F.concat(F.array(_row(i, key, 1)), near))
     return F.concat(*rows)
 
 
