@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, line_dedup, packing, quality_rules, sharding, simhash
+from . import bpe, classifier, html_text, line_dedup, packing, quality_rules, sharding, simhash
 from .common import table
 
 
@@ -29,6 +29,11 @@ def op2_nearest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op3_host_suffix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k, and the text decoded from them, as digests."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -58,7 +63,7 @@ def op10_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_pigeonhole, op2_nearest_quality, op4_byte_bpe, op6_divergence_rules, op7_configuration_packing, op8_jump_sharding, op10_segment_line_dedup)
+    f.__name__: f for f in (op1_simhash_pigeonhole, op2_nearest_quality, op3_host_suffix_text, op4_byte_bpe, op6_divergence_rules, op7_configuration_packing, op8_jump_sharding, op10_segment_line_dedup)
 }
 
 ORACLES: dict[str, str] = {
