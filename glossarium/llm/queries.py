@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, html_text, line_dedup, packing, quality_rules, sharding, simhash
+from . import bpe, classifier, html_text, line_dedup, packing, quality_rules, sharding, simhash, token_output
 from .common import table
 
 
@@ -40,6 +40,13 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digests=True)
 
 
+def op5_training_order_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence of 512 ids of every document: its slot in training order and its place in the shard files."""
+    docs = table(spark, sf_dir, "documents")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_output.write_shards(docs, token_output.shard_folder(docs), ranks, public_tokenizers.PATTERN)
+
+
 def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict by Jensen-Shannon distance from the language for every document."""
     rated = quality_rules.rate_documents(table(spark, sf_dir, "documents"))
@@ -63,7 +70,7 @@ def op10_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_pigeonhole, op2_nearest_quality, op3_host_suffix_text, op4_byte_bpe, op6_divergence_rules, op7_configuration_packing, op8_jump_sharding, op10_segment_line_dedup)
+    f.__name__: f for f in (op1_simhash_pigeonhole, op2_nearest_quality, op3_host_suffix_text, op4_byte_bpe, op5_training_order_shards, op6_divergence_rules, op7_configuration_packing, op8_jump_sharding, op10_segment_line_dedup)
 }
 
 ORACLES: dict[str, str] = {
