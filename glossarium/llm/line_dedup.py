@@ -17,31 +17,47 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
 
-def _cut(length: Column, segment: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of a segment of a line of this length: the last segments take what is left over."""
+
+def _cut(length: Column, segment: Column, edits: int) -> tuple[Column, Column]:
+    """Start (from 1) and length of a segment (from 0) of a line of this length: the last segments take what is left over."""
     parts = edits + 1
     short = F.floor(length / parts).cast("int")
     longer = (length % parts).cast("int")  # so many last segments have one more
-    start = short * segment + F.greatest(longer - (parts - segment), F.lit(0)) + 1
-    return start.cast("int"), short + F.when(F.lit(parts - segment) <= longer, 1).otherwise(0)
+    start = short * segment + F.greatest(longer - (F.lit(parts) - segment), F.lit(0)) + 1
+    return start, short + F.when(F.lit(parts) - segment <= longer, 1).otherwise(0)
 
 
 def segment_keys(line: Column, length: Column, edits: int) -> Column:
-    """Array of (key, role) of a line: role 3 is in the index and probes it, 2 probes only.
+    """Array of (key, role), some null, of a line: role 3 is in the index and probes it, 2 probes only.
 
     The first and the last segment lie at the line's ends and their keys hold
     the segment's length; the keys of the others hold the whole line's length.
     """
-    rows = []
-    for i in range(edits + 1):
-        for less in range(edits + 1):
-            start, size = _cut(length - less, i, edits)
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                text = F.substring(line, start + shift, size)
-                about = size if i in (0, edits) else length - less
-                rows.append(F.struct(F.xxhash64(F.lit(i), about, text).alias("key"), F.lit(3 if less == 0 and shift == 0 else 2).alias("role")))
-    return F.array_distinct(F.array(*rows))
+    # (segment, characters less, shift, at an end); a loop over these keeps the generated code small
+    tried = [
+        (i, less, shift, i in (0, edits))
+        for i in range(edits + 1)
+        for less in range(edits + 1)
+        for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
+    ]
+    names = ("segment", "less", "shift", "end")
+    array = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, t)]) for t in tried])
+
+    def key(t: Column) -> Column:
+        own = length - t["less"]
+        start, size = _cut(own, t["segment"], edits)
+        text = F.substring(line, start + t["shift"], size)
+        row = F.struct(
+            F.xxhash64(t["segment"], F.when(t["end"], size).otherwise(own), text).alias("key"),
+            F.when((t["less"] == 0) & (t["shift"] == 0), 3).otherwise(2).alias("role"),
+        )
+        # an end of the same size has given this key already
+        same = t["end"] & (t["less"] > 0) & (_cut(own + 1, t["segment"], edits)[1] == size)
+        return F.when(~same, row)
+
+    return F.transform(array, key)
 
 
 def _common(a: Column, b: Column, room: Column, end: bool) -> Column:
@@ -141,19 +157,39 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def near_lines(lines: DataFrame, edits: int, min_length: int) -> DataFrame:
-    """h of those lines that an earlier line is near to; lines: distinct ones, with h, id and pos of the first place, line."""
-    lines = lines.withColumn("n", F.length("line"))
+def _texts_at(base: DataFrame, places: DataFrame) -> DataFrame:
+    """h, place and line of the lines at places (id, pos, h); base (dealt, id, text) is dealt by a hash of the id and is not moved."""
+    wanted = places.groupBy(F.xxhash64("id").alias("dealt")).agg(F.collect_list(F.struct("id", "pos", "h")).alias("wanted"))
+    parts = F.struct(F.split("text", "\n").alias("lines"), F.col("wanted"))
+
+    def taken(p: Column) -> Column:
+        return F.transform(p["wanted"], lambda w: F.struct(w.alias("w"), F.get(p["lines"], w["pos"]).alias("line")))
+
+    return (
+        base.join(wanted, "dealt")
+        # transform over an array of one: the text is split once
+        .select("id", F.explode(F.element_at(F.transform(F.array(parts), taken), 1)).alias("x"))
+        .where(F.col("id").eqNullSafe(F.col("x.w.id")) & (F.xxhash64("x.line") == F.col("x.w.h")))
+        .select("x.w.h", F.struct("x.w.id", "x.w.pos").alias("place"), "x.line")
+    )
+
+
+def near_lines(base: DataFrame, first: DataFrame, edits: int, min_length: int) -> DataFrame:
+    """h of those lines that an earlier line is near to; first: h, id and pos of the distinct lines, base: the texts, dealt by id."""
     by_key = Window.partitionBy("key")
     shared = (
-        lines.where(F.col("n") >= min_length)
+        _texts_at(base, first)
+        .select("h", "line", F.length("line").alias("n"))
+        .where(F.col("n") >= min_length)
         .select("h", F.explode(segment_keys(F.col("line"), F.col("n"), edits)).alias("k"))
+        .where(F.col("k").isNotNull())
         .select("h", "k.key", "k.role")
         .select("*", F.min("h").over(by_key).alias("low"), F.max("h").over(by_key).alias("high"), F.max("role").over(by_key).alias("index"))
         .where("low < high and index = 3")
         .select("h", "key", "role")
     )
-    texts = shared.join(lines.select("h", "line", "n", F.struct("id", "pos").alias("place")), "h")
+    some = first.join(shared.select(F.col("h").alias("shared_h")).distinct(), F.col("h") == F.col("shared_h")).select("h", "id", "pos")
+    texts = shared.join(_texts_at(base, some).select("h", "line", F.length("line").alias("n"), "place"), "h")
     probe = texts.select("key", *[F.col(c).alias(f"p_{c}") for c in ("h", "line", "n", "place")])
     index = texts.where("role = 3").select("key", *[F.col(c).alias(f"x_{c}") for c in ("h", "line", "n", "place")])
     alike = (
@@ -179,27 +215,37 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the same lines. Null text stays null, a text of which no line stays is
     empty. Extra columns stay as they are. No rows: no rows.
     """
-    clash = {"n_lines", "n_exact", "n_near"} & set(docs.columns)
+    clash = {"n_lines", "n_exact", "n_near", "dealt"} & set(docs.columns)
     if clash:
         raise ValueError(f"columns of docs that the result makes itself: {sorted(clash)}")
-    lines = _lines(docs, id_col, text_col)
-    first = lines.groupBy("h", "g").agg(F.min(F.struct("id", "pos", "line")).alias("f")).select("h", "g", "f.id", "f.pos", "f.line")
-    near = near_lines(first, edits, min_length).select(F.col("h").alias("near"))
+    lines = materialise(_lines(docs, id_col, text_col).drop("line"), "lines")
+    first = (
+        lines.groupBy("h", "g", "id")
+        .agg(F.min("pos").alias("pos"))
+        .groupBy("h", "g")
+        # null ids come first: no id is less
+        .agg(F.min("id").alias("least"), F.min_by("pos", "id").alias("at"), F.min(F.when(F.col("id").isNull(), F.col("pos"))).alias("at_null"))
+        .select("h", "g", F.when(F.col("at_null").isNull(), F.col("least")).alias("id"), F.coalesce("at_null", "at").alias("pos"))
+    )
+    # the texts are moved once, to their ids, and read there for keys, for candidates and for the result
+    dealt = docs.withColumn("dealt", F.xxhash64(F.col(id_col))).repartition("dealt")
+    base = dealt.select("dealt", F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    near = near_lines(base, first, edits, min_length).select(F.col("h").alias("near"))
     marks = first.select("h", "g", F.col("id").alias("first_id"), F.col("pos").alias("first_pos")).join(near, F.col("h") == F.col("near"), "left")
     gone = (
         lines.select("id", "pos", "h", "g")
         .join(marks, ["h", "g"])
         .withColumn("again", ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos"))))
         .where(F.col("again") | F.col("near").isNotNull())
-        .groupBy(F.col("id").alias("__id"))
-        .agg(F.collect_set(F.struct(F.xxhash64("pos", "h").alias("at"), "again")).alias("__gone"))
-        .select("__id", F.transform("__gone", lambda x: x["at"]).alias("__at"), F.filter("__gone", lambda x: x["again"])["at"].alias("__again"))
+        .groupBy(F.xxhash64("id").alias("dealt"))
+        .agg(F.collect_set(F.struct(F.xxhash64("id", "pos", "h").alias("at"), "again")).alias("__gone"))
+        .select("dealt", F.transform("__gone", lambda x: x["at"]).alias("__at"), F.filter("__gone", lambda x: x["again"])["at"].alias("__again"))
     )
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left").withColumn("__lines", F.split(F.col(text_col), "\n"))
+    joined = dealt.join(gone, "dealt", "left").withColumn("__lines", F.split(F.col(text_col), "\n"))
     none = F.array().cast("array<bigint>")
 
     at = F.coalesce(F.col("__at"), none)
-    kept = F.filter("__lines", lambda x, i: ~F.array_contains(at, F.xxhash64(i, F.xxhash64(x))) | (F.trim(x) == ""))
+    kept = F.filter("__lines", lambda x, i: ~F.array_contains(at, F.xxhash64(F.col(id_col), i, F.xxhash64(x))) | (F.trim(x) == ""))
     full = F.coalesce(F.size(F.filter("__lines", lambda x: F.trim(x) != "")), F.lit(0))
     text = F.when(F.col("__at").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     exact = F.coalesce(F.size("__again"), F.lit(0))
