@@ -6,8 +6,8 @@ cut into k + 1 segments by the shorter line's length, has a segment without
 edits at a place that is shifted by few characters (the multi-match-aware
 selection of Pass-Join, Li et al., 2011). So every line gives a key for each of
 its segments (the index) and for each substring that could be a segment of a
-line of up to k characters less (the probes), and lines that share a key are
-verified by a banded bit-parallel edit distance.
+line of up to k characters less (the probes), and lines that share a key, and
+have nearly the same letters, are verified by a banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -30,36 +30,37 @@ def _cut(length: Column, segment: Column, edits: int) -> tuple[Column, Column]:
 
 
 def segment_keys(line: Column, length: Column, edits: int) -> Column:
-    """Array of (key, role), some null, of a line: role 3 is in the index and probes it, 2 probes only.
-
-    The first and the last segment lie at the line's ends and their keys hold
-    the segment's length; the keys of the others hold the whole line's length.
-    """
-    # (segment, characters less, shift, at an end); a loop over these keeps the generated code small
+    """Array of (key, role) of a line: role 3 is in the index and probes it, 2 probes only. A key holds the whole line's length."""
+    # (segment, characters less, shift); a loop over these keeps the generated code small
     tried = [
-        (i, less, shift, i in (0, edits))
+        (i, less, shift)
         for i in range(edits + 1)
         for less in range(edits + 1)
         for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
     ]
-    names = ("segment", "less", "shift", "end")
+    names = ("segment", "less", "shift")
     array = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, t)]) for t in tried])
 
     def key(t: Column) -> Column:
         own = length - t["less"]
         start, size = _cut(own, t["segment"], edits)
-        text = F.substring(line, start + t["shift"], size)
-        row = F.struct(
-            F.xxhash64(t["segment"], F.when(t["end"], size).otherwise(own), text).alias("key"),
+        return F.struct(
+            F.xxhash64(t["segment"], own, F.substring(line, start + t["shift"], size)).alias("key"),
             F.when((t["less"] == 0) & (t["shift"] == 0), 3).otherwise(2).alias("role"),
         )
-        # an end of the same size has given this key already
-        same = t["end"] & (t["less"] > 0) & (_cut(own + 1, t["segment"], edits)[1] == size)
-        return F.when(~same, row)
 
     return F.transform(array, key)
 
 
+#: Letters that are counted to tell lines apart before they are aligned; the others are counted together.
+COUNTED = " etaoinsrhldu"
+
+
+def letter_counts(line: Column, length: Column) -> list[Column]:
+    """How often a line has each of COUNTED: an edit changes two of these (and the length) by one at most."""
+    return [(length - F.length(F.translate(line, c, ""))).alias(f"c{k}") for k, c in enumerate(COUNTED)]
+
+
 def _common(a: Column, b: Column, room: Column, end: bool) -> Column:
     """Length, up to room, of the common start (or end) of two strings: by halving steps."""
     steps = F.array(*[F.lit(1 << s) for s in range(17, -1, -1)])
@@ -182,19 +183,25 @@ def near_lines(base: DataFrame, first: DataFrame, edits: int, min_length: int) -
         .select("h", "line", F.length("line").alias("n"))
         .where(F.col("n") >= min_length)
         .select("h", F.explode(segment_keys(F.col("line"), F.col("n"), edits)).alias("k"))
-        .where(F.col("k").isNotNull())
         .select("h", "k.key", "k.role")
         .select("*", F.min("h").over(by_key).alias("low"), F.max("h").over(by_key).alias("high"), F.max("role").over(by_key).alias("index"))
         .where("low < high and index = 3")
         .select("h", "key", "role")
     )
     some = first.join(shared.select(F.col("h").alias("shared_h")).distinct(), F.col("h") == F.col("shared_h")).select("h", "id", "pos")
-    texts = shared.join(_texts_at(base, some).select("h", "line", F.length("line").alias("n"), "place"), "h")
-    probe = texts.select("key", *[F.col(c).alias(f"p_{c}") for c in ("h", "line", "n", "place")])
-    index = texts.where("role = 3").select("key", *[F.col(c).alias(f"x_{c}") for c in ("h", "line", "n", "place")])
+    candidates = _texts_at(base, some).withColumn("n", F.length("line"))
+    counts = letter_counts(F.col("line"), F.col("n"))
+    columns = ["h", "line", "n", "place", *(f"c{k}" for k in range(len(counts)))]
+    texts = shared.join(candidates.select("h", "line", "n", "place", *counts), "h")
+    probe = texts.select("key", *[F.col(c).alias(f"p_{c}") for c in columns])
+    index = texts.where("role = 3").select("key", *[F.col(c).alias(f"x_{c}") for c in columns])
+    less = F.col("p_n") - F.col("x_n")
+    apart = [F.col(f"p_c{k}") - F.col(f"x_c{k}") for k in range(len(counts))]
+    changed = sum((F.abs(d) for d in apart), F.abs(less - sum(apart[1:], apart[0])))
     alike = (
         (F.col("p_h") != F.col("x_h"))
-        & (F.col("p_n") - F.col("x_n")).between(0, edits)
+        & less.between(0, edits)
+        & (changed <= 2 * edits)
         & within_edits(F.col("p_line"), F.col("x_line"), edits)
     )
     # half joins: a line needs one earlier line that is near, and no list of all
