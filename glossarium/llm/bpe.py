@@ -157,15 +157,22 @@ def byte_letters() -> list[str]:
 
 
 class BlockEncoder:
-    """Encodes texts to packed ids of one numpy type by a pre-token pattern and Merges."""
+    """Encodes texts to packed ids of one numpy type by a pre-token pattern and Merges.
+
+    The pattern must be one of those that start a match at every blank after a
+    non-space and never cross it, as byte-level tokenizers' do: then the parts
+    between such blanks are encoded alone, and frequent ones but once.
+    """
 
     def __init__(self, merges: Merges, pattern: str, dtype: str = "<u4"):
         self.merges, self.dtype = merges, np.dtype(dtype)
         self.split = regex.compile(pattern).findall
         self.words: dict[str, bytes] = {}
+        #: parts after a blank; None: ends in white space, so what follows matters
+        self.parts: dict[str, bytes | None] = {}
 
     def learn(self, words: set[str]) -> None:
-        if len(self.words) > CACHE_ENTRIES:
+        if len(self.words) > CACHE_ENTRIES // 2:
             self.words.clear()
         new = sorted(words - self.words.keys())
         ids, starts = self.merges.replay([w.encode() for w in new])
@@ -174,10 +181,28 @@ class BlockEncoder:
         self.words.update({w: packed[a:b] for w, a, b in zip(new, edges, edges[1:])})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
-        self.learn(set().union(*split))
-        word = self.words.__getitem__
-        return [b"".join(map(word, s)) for s in split]
+        if len(self.parts) > CACHE_ENTRIES:
+            self.parts.clear()
+        split = [t.split(" ") for t in texts]
+        heads = [self.split(s[0]) for s in split]
+        new = set().union(*(s[1:] for s in split)) - self.parts.keys()
+        found = {x: self.split(" " + x) for x in new if x and not x[-1].isspace()}
+        self.learn(set().union(*heads, *found.values()))
+        word, part = self.words.__getitem__, self.parts.__getitem__
+        for x in new:
+            self.parts[x] = b"".join(map(word, found[x])) if x in found else None
+        packed = [b"".join(map(word, h)) for h in heads]
+        out = []
+        for text, s, head in zip(texts, split, packed):
+            try:
+                if len(s) > 1 and s[0][-1:].isspace():
+                    raise TypeError
+                out.append(head + b"".join(map(part, s[1:])))
+            except TypeError:
+                whole = self.split(text)
+                self.learn(set(whole))
+                out.append(b"".join(map(self.words.__getitem__, whole)))
+        return out
 
 
 class WordEncoder(BlockEncoder):
@@ -265,7 +290,7 @@ def encode_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tokens = kept((ranks_path, pattern, dtype), make)
         token = tokens.__getitem__
-        for batch, texts in blocks(batches, 1):
+        for batch, texts in blocks(batches, 1, 1 << 23):
             packed = encoder.encode(texts)
             decoded = (b"".join(map(token, np.frombuffer(p, encoder.dtype).tolist())) for p in packed)
             counts = pa.array([len(p) // encoder.dtype.itemsize for p in packed], pa.int64())
