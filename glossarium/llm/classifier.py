@@ -154,10 +154,12 @@ def score_documents(
     neighbours: int = 9,
     sharpness: float = 8.0,
     keep: bool = False,
+    examples: DataFrame | None = None,
 ) -> DataFrame:
     """score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= 0.5) of every row's whole text.
 
     labels: the rows to learn from, already held apart from those to be judged;
+    their texts come from examples (docs itself if not given);
     at most per_label of each label are used (the documented bound of the
     sample, which also bounds what is collected and broadcast: per_label * 2
     rows of 8 KB). The score uses the text alone. Null, empty or very short
@@ -168,7 +170,7 @@ def score_documents(
     clash = {"score", "predicted"} & set(docs.columns if keep else [id_col])
     if clash:
         raise ValueError(f"columns of docs that the result makes itself: {sorted(clash)}")
-    model = fit(*labelled_sample(docs, labels, id_col, text_col, label_col, per_label), rank, neighbours, sharpness)
+    model = fit(*labelled_sample(docs if examples is None else examples, labels, id_col, text_col, label_col, per_label), rank, neighbours, sharpness)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs if keep else docs.select(*dict.fromkeys([id_col, text_col]))
     at = source.columns.index(text_col)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, html_text, line_dedup, packing, quality_rules, sharding, simhash, token_output
+from . import bpe, classifier, html_text, line_dedup, media, packing, quality_rules, sharding, simhash, token_output
 from .common import table
 
 
@@ -63,6 +63,11 @@ def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op9_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a recording: those that align with each query (ids divisible by 100)."""
+    return media.audio_search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that repeat, or are within two edits of, an earlier line."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -70,7 +75,7 @@ def op10_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_pigeonhole, op2_nearest_quality, op3_host_suffix_text, op4_byte_bpe, op5_training_order_shards, op6_divergence_rules, op7_configuration_packing, op8_jump_sharding, op10_segment_line_dedup)
+    f.__name__: f for f in (op1_simhash_pigeonhole, op2_nearest_quality, op3_host_suffix_text, op4_byte_bpe, op5_training_order_shards, op6_divergence_rules, op7_configuration_packing, op8_jump_sharding, op9_chroma_alignment, op10_segment_line_dedup)
 }
 
 ORACLES: dict[str, str] = {
