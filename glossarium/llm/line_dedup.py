@@ -20,36 +20,31 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
-def _cut(length: Column, segment: Column, edits: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of a segment (from 0) of a line of this length: the last segments take what is left over."""
+def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """h, key and role of each line's segments and probes; lines: h, line and its length n.
+
+    Role 3 is in the index and probes it, 2 probes only. A segment is named by
+    its number, the length of the whole line it is cut from, and its text. The
+    last segments take the characters that are left over.
+    """
     parts = edits + 1
-    short = F.floor(length / parts).cast("int")
-    longer = (length % parts).cast("int")  # so many last segments have one more
-    start = short * segment + F.greatest(longer - (F.lit(parts) - segment), F.lit(0)) + 1
-    return start, short + F.when(F.lit(parts) - segment <= longer, 1).otherwise(0)
-
-
-def segment_keys(line: Column, length: Column, edits: int) -> Column:
-    """Array of (key, role) of a line: role 3 is in the index and probes it, 2 probes only. A key holds the whole line's length."""
-    # (segment, characters less, shift); a loop over these keeps the generated code small
-    tried = [
-        (i, less, shift)
-        for i in range(edits + 1)
-        for less in range(edits + 1)
+    cuts = {}
+    for less in range(edits + 1):
+        short, longer = F.col("n") - less, F.pmod(F.col("n") - less, F.lit(parts))
+        short = ((short - longer) / parts).cast("int")
+        for i in range(parts):
+            cuts[f"start_{i}_{less}"] = short * i + F.greatest(longer - (parts - i), F.lit(0)) + 1
+            cuts[f"size_{i}_{less}"] = short + F.when(longer >= parts - i, 1).otherwise(0)
+    rows = [
+        F.struct(
+            F.xxhash64(F.lit(i), F.col("n") - less, F.substring(F.col("line"), F.col(f"start_{i}_{less}") + shift, F.col(f"size_{i}_{less}"))).alias("key"),
+            F.lit(3 if less == 0 and shift == 0 else 2).alias("role"),
+        )
+        for i in range(parts)
+        for less in range(parts)
         for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
     ]
-    names = ("segment", "less", "shift")
-    array = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, t)]) for t in tried])
-
-    def key(t: Column) -> Column:
-        own = length - t["less"]
-        start, size = _cut(own, t["segment"], edits)
-        return F.struct(
-            F.xxhash64(t["segment"], own, F.substring(line, start + t["shift"], size)).alias("key"),
-            F.when((t["less"] == 0) & (t["shift"] == 0), 3).otherwise(2).alias("role"),
-        )
-
-    return F.transform(array, key)
+    return lines.withColumns(cuts).select("h", F.explode(F.array(*rows)).alias("k")).select("h", "k.key", "k.role")
 
 
 #: Letters that are counted to tell lines apart before they are aligned; the others are counted together.
@@ -182,8 +177,7 @@ def near_lines(base: DataFrame, first: DataFrame, edits: int, min_length: int) -
         _texts_at(base, first)
         .select("h", "line", F.length("line").alias("n"))
         .where(F.col("n") >= min_length)
-        .select("h", F.explode(segment_keys(F.col("line"), F.col("n"), edits)).alias("k"))
-        .select("h", "k.key", "k.role")
+        .transform(segment_keys, edits)
         .select("*", F.min("h").over(by_key).alias("low"), F.max("h").over(by_key).alias("high"), F.max("role").over(by_key).alias("index"))
         .where("low < high and index = 3")
         .select("h", "key", "role")
@@ -234,6 +228,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.min("id").alias("least"), F.min_by("pos", "id").alias("at"), F.min(F.when(F.col("id").isNull(), F.col("pos"))).alias("at_null"))
         .select("h", "g", F.when(F.col("at_null").isNull(), F.col("least")).alias("id"), F.coalesce("at_null", "at").alias("pos"))
     )
+    first = materialise(first, "first-lines")
     # the texts are moved once, to their ids, and read there for keys, for candidates and for the result
     dealt = docs.withColumn("dealt", F.xxhash64(F.col(id_col))).repartition("dealt")
     base = dealt.select("dealt", F.col(id_col).alias("id"), F.col(text_col).alias("text"))
