@@ -1,6 +1,410 @@
-"""Queries over the driver's tables and their SQL."""
+"""Queries over the driver's tables, one for each operator or family, and their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import ngrams as ng
+from .functions import smoothing as sm
+from .functions import strings as st
+from .operators import evaluation as ev
+from .operators import networks as nw
+from .operators import table as tb
+from .plans.views import WORDLIST_SQL, wordlist
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query and, where SQL can express it, its SQL over the view wl."""
+
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql is not None:
+            ORACLES[key] = f"WITH {WORDLIST_SQL}{sql}"
+        return f
+
+    return add
+
+
+def _form_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two forms that occur for one concept, once; metrics are worked out on these and not on pairs of words."""
+    forms = wordlist(spark, sf_dir).select("concept", "form").distinct()
+    a, b = forms.withColumnRenamed("form", "form_a"), forms.withColumnRenamed("form", "form_b")
+    pairs = a.join(b, "concept").where("form_a < form_b").select("form_a", "form_b").distinct()
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    return pairs.withColumn("a", chars("form_a")).withColumn("b", chars("form_b"))
+
+
+#: The same pairs in SQL, with the characters, neighbours and triples of both forms.
+_PAIRS_SQL = """, f AS (SELECT DISTINCT concept, form FROM wl),
+p AS (SELECT DISTINCT x.form AS form_a, y.form AS form_b FROM f x JOIN f y ON x.concept = y.concept AND x.form < y.form),
+g AS (SELECT form_a, form_b, length(form_a) AS la, length(form_b) AS lb,
+  list_transform(range(1, length(form_a)), lambda i: form_a[i:i+1]) AS a2, list_transform(range(1, length(form_b)), lambda i: form_b[i:i+1]) AS b2,
+  list_transform(range(1, length(form_a) - 1), lambda i: form_a[i:i+2]) AS a3, list_transform(range(1, length(form_b) - 1), lambda i: form_b[i:i+2]) AS b3,
+  list_transform(range(1, length(form_a) - 1), lambda i: form_a[i:i] || form_a[i+2:i+2]) AS ax, list_transform(range(1, length(form_b) - 1), lambda i: form_b[i:i] || form_b[i+2:i+2]) AS bx
+  FROM p)"""
+
+
+def _common_sql(x: str, y: str) -> str:
+    times = lambda z: f"len(list_filter({z}, lambda e: e = t))"
+    return f"coalesce(list_sum(list_transform(list_distinct(list_intersect({x}, {y})), lambda t: least({times(x)}, {times(y)}))), 0)"
+
+
+def _metric(metric: str, expression: str | None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _form_pairs(spark, sf_dir).select("form_a", "form_b", F.round(st.METRICS[metric](F.col("a"), F.col("b")), 9).alias("distance"))
+
+    sql = None if expression is None else f"{_PAIRS_SQL} SELECT form_a, form_b, round(({expression})::DOUBLE, 9) AS distance FROM g"
+    query(sql, f"metric_{metric}")(run)
+
+
+_metric("ldn", "levenshtein(form_a, form_b) / greatest(la, lb)")
+# swaps of neighbours whose letters are not changed again; what DuckDB has allows that, so tests hold this one against brute force
+_metric("ldn_swap", None)
+_metric("lcs", None)
+_metric("dice", f"1 - 2 * {_common_sql('a2', 'b2')} / (la + lb - 2)")
+_metric("jcd", f"1 - {_common_sql('a2', 'b2')} / (la + lb - 2 - {_common_sql('a2', 'b2')})")
+_metric("xdice", f"1 - 2 * {_common_sql('ax', 'bx')} / (la + lb - 4)")
+_metric("trigram", f"1 - 2 * {_common_sql('a3', 'b3')} / (la + lb - 4)")
+_metric("prefix", "1 - len(list_filter(range(1, least(la, lb) + 1), lambda i: form_a[i:i] = form_b[i:i])) / greatest(la, lb)")
+_metric("xxdice", "1 - 2 * list_sum(list_transform(range(1, la), lambda i: list_sum(list_transform(range(1, lb), lambda j: CASE WHEN form_a[i:i+1] = form_b[j:j+1] THEN 1.0 / (1 + (i - j) * (i - j)) ELSE 0 END)))) / (la + lb - 2)")
+
+
+@query(" SELECT * FROM wl")
+def wl_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordlist(spark, sf_dir)
+
+
+_TAXA_SQL = """, taxa AS (SELECT DISTINCT doculect FROM wl),
+pairs AS (SELECT x.doculect AS a, y.doculect AS b FROM taxa x JOIN taxa y ON x.doculect < y.doculect),
+has AS (SELECT DISTINCT doculect, concept FROM wl),
+both_have AS (SELECT x.doculect AS a, y.doculect AS b, count(*) AS n FROM has x JOIN has y ON x.concept = y.concept AND x.doculect < y.doculect GROUP BY ALL),
+refs AS (SELECT DISTINCT doculect, concept, cogid FROM wl),
+share AS (SELECT x.doculect AS a, y.doculect AS b, count(DISTINCT x.concept) AS n
+  FROM refs x JOIN refs y ON x.concept = y.concept AND x.cogid = y.cogid AND x.doculect < y.doculect GROUP BY ALL)"""
+
+
+@query(f"""{_TAXA_SQL} SELECT a, b, round(CASE WHEN coalesce(h.n, 0) = 0 THEN 1.0 ELSE 1 - coalesce(s.n, 0) / h.n END, 9) AS distance
+FROM pairs LEFT JOIN both_have h USING (a, b) LEFT JOIN share s USING (a, b)""")
+def wl_distance_swadesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.distance_swadesh(wordlist(spark, sf_dir)).withColumn("distance", F.round("distance", 9))
+
+
+@query(f"""{_TAXA_SQL} SELECT a, b, round(1 - coalesce(s.n, 0) / (SELECT count(DISTINCT concept) FROM wl), 9) AS distance
+FROM pairs LEFT JOIN share s USING (a, b)""")
+def distance_swadesh_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.distance_swadesh(wordlist(spark, sf_dir), ignore_missing=True).withColumn("distance", F.round("distance", 9))
+
+
+@query(f"""{_TAXA_SQL}, sets AS (SELECT DISTINCT doculect, cogid FROM wl), sizes AS (SELECT doculect, count(*) AS n FROM sets GROUP BY 1),
+counts AS (SELECT doculect, concept, count(*) AS n FROM wl GROUP BY ALL), cells AS (SELECT sum(m) AS n FROM (SELECT concept, max(n) AS m FROM counts GROUP BY 1)),
+gap AS (SELECT doculect, (count(*) < (SELECT n FROM cells))::INT AS g FROM wl GROUP BY 1),
+common AS (SELECT x.doculect AS a, y.doculect AS b, count(*) AS n FROM sets x JOIN sets y ON x.cogid = y.cogid AND x.doculect < y.doculect GROUP BY ALL)
+SELECT p.a, p.b, round(1 - coalesce(c.n, 0) / (sa.n + sb.n - coalesce(c.n, 0) + greatest(ga.g, gb.g)), 9) AS distance
+FROM pairs p LEFT JOIN common c USING (a, b) JOIN sizes sa ON sa.doculect = p.a JOIN sizes sb ON sb.doculect = p.b
+JOIN gap ga ON ga.doculect = p.a JOIN gap gb ON gb.doculect = p.b""")
+def distance_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.distance_jaccard(wordlist(spark, sf_dir)).withColumn("distance", F.round("distance", 9))
+
+
+@query(f"""{_TAXA_SQL}, sets AS (SELECT DISTINCT doculect, cogid FROM wl)
+SELECT q.a, q.b, (SELECT count(*) FROM wl WHERE doculect = q.a AND cogid IN (SELECT cogid FROM sets WHERE doculect = q.b)) AS shared
+FROM (SELECT a, b FROM pairs UNION ALL SELECT doculect, doculect FROM taxa) q""")
+def distance_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.shared_words(wordlist(spark, sf_dir))
+
+
+@query(" SELECT doculect, count(DISTINCT concept) AS absolute, round(count(DISTINCT concept) / (SELECT count(DISTINCT concept) FROM wl), 9) AS ratio FROM wl GROUP BY 1")
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.coverage(wordlist(spark, sf_dir)).withColumn("ratio", F.round("ratio", 9))
+
+
+@query(" SELECT doculect, concept, count(*) AS words FROM wl GROUP BY ALL")
+def synonymy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.synonymy(wordlist(spark, sf_dir))
+
+
+@query(f"{_TAXA_SQL} SELECT a, b, coalesce(n, 0) AS concepts FROM pairs LEFT JOIN both_have USING (a, b)")
+def mutual_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.mutual_coverage(wordlist(spark, sf_dir))
+
+
+@query(f"{_TAXA_SQL} SELECT round(avg(coalesce(n, 0)) / (SELECT count(DISTINCT concept) FROM wl), 9) AS average_coverage FROM pairs LEFT JOIN both_have USING (a, b)")
+def average_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.average_coverage(wordlist(spark, sf_dir)).withColumn("average_coverage", F.round("average_coverage", 9))
+
+
+@query()
+def largest_coverage_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.largest_coverage_group(wordlist(spark, sf_dir), 15)
+
+
+@query("""  SELECT sets, height, words, round((sets - height) / (words - height), 9) AS diversity
+FROM (SELECT count(DISTINCT cogid) AS sets, count(DISTINCT concept) AS height, count(*) AS words FROM wl)""")
+def diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.diversity(wordlist(spark, sf_dir)).withColumn("diversity", F.round("diversity", 9))
+
+
+@query(" SELECT cogid, doculect, string_agg(id::VARCHAR, ' ' ORDER BY id) AS ids FROM wl GROUP BY ALL")
+def etymdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.etymdict(wordlist(spark, sf_dir))
+
+
+@query("""  , taxa AS (SELECT DISTINCT doculect FROM wl), sets AS (SELECT cogid, count(DISTINCT concept) AS meanings, min(concept) AS concept FROM wl GROUP BY 1)
+SELECT s.cogid, t.doculect, CASE WHEN EXISTS (SELECT 1 FROM wl w WHERE w.cogid = s.cogid AND w.doculect = t.doculect) OR s.meanings > 1 THEN 1
+WHEN NOT EXISTS (SELECT 1 FROM wl w WHERE w.concept = s.concept AND w.doculect = t.doculect) THEN -1 ELSE 0 END AS state
+FROM sets s CROSS JOIN taxa t""")
+def paps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.paps(wordlist(spark, sf_dir), missing=-1)
+
+
+@query("""  , marked AS (SELECT *, cogid || '/' || concept AS glid FROM wl), taxa AS (SELECT DISTINCT doculect FROM wl),
+sets AS (SELECT DISTINCT glid, concept FROM marked)
+SELECT s.glid, t.doculect, CASE WHEN EXISTS (SELECT 1 FROM marked w WHERE w.glid = s.glid AND w.doculect = t.doculect) THEN 1
+WHEN NOT EXISTS (SELECT 1 FROM wl w WHERE w.concept = s.concept AND w.doculect = t.doculect) THEN -1 ELSE 0 END AS state
+FROM sets s CROSS JOIN taxa t""")
+def paps_by_meaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = wordlist(spark, sf_dir).withColumn("glid", F.concat_ws("/", "cogid", "concept"))
+    return tb.paps(marked, "glid", missing=-1)
+
+
+@query("  SELECT id, cogid, dense_rank() OVER (ORDER BY cogid) AS number FROM wl")
+def renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.renumber(wordlist(spark, sf_dir), "cogid", "number").select("id", "cogid", "number")
+
+
+@query("  SELECT id, doculect, concept, row_number() OVER (PARTITION BY concept, doculect ORDER BY id) AS slot FROM wl")
+def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.slots(wordlist(spark, sf_dir)).select("id", "doculect", "concept", F.col("slot").cast("long").alias("slot"))
+
+
+@query("""  , s AS (SELECT *, row_number() OVER (PARTITION BY concept, doculect ORDER BY id) AS slot FROM wl)
+SELECT concept, slot, min(form) FILTER (WHERE doculect = 'FRANCE') AS "FRANCE", min(form) FILTER (WHERE doculect = 'GERMANY') AS "GERMANY",
+  min(form) FILTER (WHERE doculect = 'JAPAN') AS "JAPAN" FROM s GROUP BY ALL""")
+def pivot_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matrix = tb.pivot_entries(wordlist(spark, sf_dir), "form")
+    return matrix.select("concept", F.col("slot").cast("long").alias("slot"), *[F.col(c) if c in matrix.columns else F.lit(None).cast("string").alias(c) for c in ("FRANCE", "GERMANY", "JAPAN")])
+
+
+@query("""  SELECT id, 'doculect' AS "column", doculect AS value FROM wl UNION ALL SELECT id, 'concept', concept FROM wl
+UNION ALL SELECT id, 'form', form FROM wl UNION ALL SELECT id, 'cogid', cogid FROM wl""")
+def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.triples(wordlist(spark, sf_dir), ["doculect", "concept", "form", "cogid"])
+
+
+@query("  SELECT id, doculect, concept, form, cogid FROM wl")
+def triples_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doculect", "concept", "form", "cogid"]
+    return tb.from_triples(tb.triples(wordlist(spark, sf_dir), columns), columns)
+
+
+@query("""  , taxa AS (SELECT DISTINCT doculect FROM wl), s AS (SELECT DISTINCT concept, doculect, cogid FROM wl),
+gap AS (SELECT concept, (count(DISTINCT doculect) < (SELECT count(*) FROM taxa))::INT AS g FROM s GROUP BY 1),
+r AS (SELECT concept, doculect, g + dense_rank() OVER (PARTITION BY concept ORDER BY cogid) AS k FROM s JOIN gap USING (concept)),
+c AS (SELECT concept, doculect, count(*) AS n, string_agg(CASE WHEN k <= 62 THEN substr('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', k, 1) ELSE '?' END, '' ORDER BY k) AS t FROM r GROUP BY ALL)
+SELECT k.concept, t.doculect, coalesce(CASE WHEN c.n = 1 THEN c.t ELSE '(' || c.t || ')' END, '-') AS states
+FROM (SELECT DISTINCT concept FROM wl) k CROSS JOIN taxa t LEFT JOIN c ON c.concept = k.concept AND c.doculect = t.doculect""")
+def multistate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.multistate(wordlist(spark, sf_dir))
+
+
+@query("  SELECT id, (row_number() OVER (PARTITION BY doculect, form ORDER BY id) > 1)::INT AS duplicate FROM wl")
+def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.duplicates(wordlist(spark, sf_dir)).select("id", "duplicate")
+
+
+@query("""  , o AS (SELECT concept, doculect, form, min(id) AS id FROM wl GROUP BY ALL),
+p AS (SELECT x.concept, x.doculect AS a, y.doculect AS b, x.id AS id_a, y.id AS id_b, x.form AS fa, y.form AS fb
+  FROM o x JOIN o y ON x.concept = y.concept AND x.doculect < y.doculect)
+SELECT a, b, id_a, id_b FROM (SELECT *, row_number() OVER (PARTITION BY a, b, fa, fb ORDER BY id_a, id_b) AS r FROM p) WHERE r = 1""")
+def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.word_pairs(wordlist(spark, sf_dir)).select("a", "b", "id_a", "id_b")
+
+
+@query("  SELECT doculect, cogid, count(DISTINCT form) AS forms FROM wl GROUP BY ALL HAVING count(DISTINCT form) > 1")
+def check_strict_cognates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.check_strict_cognates(wordlist(spark, sf_dir))
+
+
+_CHARS = "string_split(form, '')"
+
+
+@query("""  , c AS (SELECT doculect, unnest(list_transform(range(1, length(form) + 1), lambda i: form[i:i])) AS segment FROM wl)
+SELECT doculect, segment, count(*) AS n FROM c GROUP BY ALL""")
+def sound_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = wordlist(spark, sf_dir).select("doculect", F.explode(F.filter(F.split("form", ""), lambda x: x != "")).alias("segment"))
+    return words.groupBy("doculect", "segment").agg(F.count("*").alias("n"))
+
+
+@query("  SELECT doculect, round(avg(length(form)), 9) AS mean_length FROM wl GROUP BY 1")
+def word_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordlist(spark, sf_dir).groupBy("doculect").agg(F.round(F.avg(F.length("form")), 9).alias("mean_length"))
+
+
+_DOC_WORDS = "SELECT doc_id, list_filter(string_split_regex(text, '[ \\n]+'), lambda x: x <> '') AS w FROM documents"
+
+
+def _doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return docs.select("doc_id", F.filter(F.split("text", r"[ \n]+"), lambda x: x != "").alias("words"))
+
+
+@query(f"""  , d AS ({_DOC_WORDS}), p AS (SELECT list_concat(['$$$'], w, ['$$$']) AS w FROM d),
+g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) AS ngram FROM p) SELECT ngram, count(*) AS n FROM g GROUP BY 1""")
+def ngrams_bigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ng.count_ngrams(_doc_words(spark, sf_dir), F.col("words"), 2)
+
+
+@query(f"""  , d AS ({_DOC_WORDS}), p AS (SELECT list_concat(['$$$', '$$$'], w, ['$$$', '$$$']) AS w FROM d),
+g AS (SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])) AS ngram FROM p) SELECT ngram, count(*) AS n FROM g GROUP BY 1""")
+def ngrams_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ng.count_ngrams(_doc_words(spark, sf_dir), F.col("words"), 3)
+
+
+_FORM_WORDS = "SELECT DISTINCT form, string_split(form, ' ') AS w FROM wl"
+
+
+@query(f"""  , d AS ({_FORM_WORDS}), p AS (SELECT form, list_concat(['$$$'], w, ['$$$']) AS w FROM d)
+SELECT form, w[i] || ' ' || w[j] AS skipgram FROM (SELECT form, w, unnest(range(1, len(w) + 1)) AS i FROM p), (SELECT unnest([1, 2, 3]) AS s) k, LATERAL (SELECT i + s AS j) x WHERE j <= len(w)""")
+def ngrams_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = wordlist(spark, sf_dir).select("form").distinct()
+    return forms.select("form", F.explode(ng.skipngrams(ng.segments(F.col("form")), 2, 2)).alias("g")).select("form", F.array_join("g", " ").alias("skipgram"))
+
+
+@query(f"""  , d AS ({_FORM_WORDS}), p AS (SELECT w, list_concat(['$$$'], w, ['$$$']) AS q FROM d),
+g AS (SELECT q[i] || ' ### ' || q[i+2] AS context, w[i] AS state FROM (SELECT w, q, unnest(range(1, len(w) + 1)) AS i FROM p))
+SELECT context, state, count(*) AS n FROM g GROUP BY ALL""")
+def ngrams_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = wordlist(spark, sf_dir).select("form").distinct()
+    return ng.context_counts(forms, ng.segments(F.col("form")), 1, 1)
+
+
+_COUNTS_SQL = f"""  , d AS ({_FORM_WORDS}), p AS (SELECT w, list_concat(['$$$'], w) AS q FROM d),
+c AS (SELECT q[i] || ' ###' AS context, w[i] AS state, count(*) AS n FROM (SELECT w, q, unnest(range(1, len(w) + 1)) AS i FROM p) GROUP BY ALL),
+t AS (SELECT *, sum(n) OVER (PARTITION BY context) AS total, count(*) OVER (PARTITION BY context) AS kinds FROM c)"""
+
+
+def _smoothing(method: str, options: dict, p: str, p0: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        forms = wordlist(spark, sf_dir).select("form").distinct()
+        counts = ng.context_counts(forms, ng.segments(F.col("form")), 1, 0)
+        return sm.smooth(counts, method, **options).select("context", "state", F.round("logprob", 9).alias("logprob"), F.round("p0", 9).alias("p0"))
+
+    sql = f"{_COUNTS_SQL} SELECT context, state, round(ln({p}), 9) AS logprob, round(ln({p0}), 9) AS p0 FROM t"
+    query(sql, f"smooth_{method}")(run)
+
+
+_smoothing("uniform", {"unseen": 0.1}, "0.9 / kinds", "0.1::DOUBLE")
+_smoothing("mle", {"unseen": 0.1}, "n / total * 0.9", "0.1::DOUBLE")
+_smoothing("lidstone", {"gamma": 0.2, "bins": 100}, "(n + 0.2) / (total + 20.0)", "0.2 / (total + 20.0)")
+_smoothing("laplace", {"bins": 100}, "(n + 1) / (total + 100)", "1 / (total + 100)")
+_smoothing("ele", {"bins": 100}, "(n + 0.5) / (total + 50.0)", "0.5 / (total + 50.0)")
+_smoothing("wittenbell", {"bins": 100}, "n / (total + kinds)", "kinds / (greatest(100 - kinds, 1) * (total + kinds))")
+_smoothing("certaintydegree", {"bins": 100, "unseen": 0.1}, "n / total * least(1 - pow(kinds / 101.0, total), 0.9)", "1 - least(1 - pow(kinds / 101.0, total), 0.9)")
+
+
+@query()
+def smooth_sgt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = ng.context_counts(_doc_words(spark, sf_dir), F.col("words"), 0, 0)
+    return sm.smooth(counts, "sgt").select("context", "state", F.round("logprob", 9).alias("logprob"), F.round("p0", 9).alias("p0"))
+
+
+@query(f"""  , d AS ({_FORM_WORDS}), c AS (SELECT unnest(w) AS grapheme FROM d) SELECT grapheme, count(*) AS frequency FROM c GROUP BY 1""")
+def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = wordlist(spark, sf_dir).select("form").distinct()
+    return forms.select(F.explode(ng.segments(F.col("form"))).alias("grapheme")).groupBy("grapheme").agg(F.count("*").alias("frequency"))
+
+
+def _with_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wordlist with a second classification to hold against the first: forms that begin alike, within a concept."""
+    return wordlist(spark, sf_dir).withColumn("testid", F.concat_ws("/", "concept", F.substring("form", 1, 3))).withColumn("cogid", F.concat_ws("/", "concept", "cogid"))
+
+
+_TEST_SQL = "  , w AS (SELECT id, doculect, concept, form, concept || '/' || cogid AS cogid, concept || '/' || form[1:3] AS testid FROM wl)"
+_FIRSTS_SQL = f"""{_TEST_SQL}, g AS (SELECT cogid AS ref, doculect, min(id) AS id FROM w GROUP BY ALL), t AS (SELECT testid AS ref, doculect, min(id) AS id FROM w GROUP BY ALL)"""
+
+
+@query(f"""{_FIRSTS_SQL},
+gw AS (SELECT g.ref, w.testid AS other FROM g JOIN w USING (id)), tw AS (SELECT t.ref, w.cogid AS other FROM t JOIN w USING (id)),
+r AS (SELECT avg(x) AS recall FROM (SELECT count(*) OVER (PARTITION BY ref, other) / count(*) OVER (PARTITION BY ref) AS x FROM gw)),
+p AS (SELECT avg(x) AS precision FROM (SELECT count(*) OVER (PARTITION BY ref, other) / count(*) OVER (PARTITION BY ref) AS x FROM tw))
+SELECT round(precision, 9) AS precision, round(recall, 9) AS recall, round(2 * precision * recall / (precision + recall), 9) AS fscore FROM p, r""")
+def bcubes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.bcubes(_with_test(spark, sf_dir)).select(*[F.round(c, 9).alias(c) for c in ("precision", "recall", "fscore")])
+
+
+@query(f"""{_TEST_SQL}, s AS (SELECT concept, count(*) OVER (PARTITION BY concept, cogid, testid) / count(*) OVER (PARTITION BY concept, cogid) AS r,
+  count(*) OVER (PARTITION BY concept, cogid, testid) / count(*) OVER (PARTITION BY concept, testid) AS p FROM w),
+m AS (SELECT concept, avg(p) AS precision, avg(r) AS recall FROM s GROUP BY 1)
+SELECT concept, round(precision, 9) AS precision, round(recall, 9) AS recall, round(2 * precision * recall / (precision + recall), 9) AS fscore FROM m""")
+def bcubes_by_concept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.bcubes_by_concept(_with_test(spark, sf_dir)).select("concept", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "fscore")])
+
+
+@query(f"""{_FIRSTS_SQL},
+pg AS (SELECT x.id AS i, y.id AS j FROM g x JOIN g y ON x.ref = y.ref AND x.id < y.id), pt AS (SELECT x.id AS i, y.id AS j FROM t x JOIN t y ON x.ref = y.ref AND x.id < y.id),
+n AS (SELECT (SELECT count(*) FROM pg JOIN pt USING (i, j)) AS b, (SELECT count(*) FROM pg) AS g, (SELECT count(*) FROM pt) AS t)
+SELECT round(b / t, 9) AS precision, round(b / g, 9) AS recall, round(2 * (b / t) * (b / g) / (b / t + b / g), 9) AS fscore FROM n""")
+def pairs_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.pair_scores(_with_test(spark, sf_dir)).select(*[F.round(c, 9).alias(c) for c in ("precision", "recall", "fscore")])
+
+
+@query(f"""{_TEST_SQL}, p AS (SELECT doculect, id, length(form) AS score, (cogid LIKE '%BRASS')::INT AS rel FROM w),
+k AS (SELECT *, row_number() OVER (PARTITION BY doculect ORDER BY score, id) AS n, sum(rel) OVER (PARTITION BY doculect ORDER BY score, id) AS f FROM p)
+SELECT doculect, round(CASE WHEN sum(rel) = 0 THEN 0.0 ELSE sum(rel * f / n) / sum(rel) END, 9) AS average_precision FROM k GROUP BY 1""")
+def npoint_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _with_test(spark, sf_dir).select("doculect", "id", F.length("form").alias("score"), F.col("cogid").endswith("BRASS").alias("relevant"))
+    return ev.average_precision(rows, "score", "relevant", groups=["doculect"]).withColumn("average_precision", F.round("average_precision", 9))
+
+
+@query("  SELECT id, dense_rank() OVER (ORDER BY concept) AS extremeid FROM wl")
+def extreme_cognates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.extreme_cognates(wordlist(spark, sf_dir)).select("id", "extremeid")
+
+
+@query("""  , f AS (SELECT *, row_number() OVER (PARTITION BY cogid ORDER BY id) AS r FROM wl)
+SELECT round(avg(levenshtein(form, cogid)), 9) AS distance, round(avg(levenshtein(form, cogid) / greatest(length(form), length(cogid))), 9) AS normalized FROM f WHERE r = 1""")
+def mean_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    words = wordlist(spark, sf_dir).withColumn("gold", chars("form")).withColumn("test", chars("cogid"))
+    return ev.mean_edit_distance(words, "gold", "test").select(*[F.round(c, 9).alias(c) for c in ("distance", "normalized")])
+
+
+_COLEX_SQL = "  , o AS (SELECT DISTINCT doculect, form, concept FROM wl), c AS (SELECT x.doculect, x.form, x.concept AS a, y.concept AS b FROM o x JOIN o y ON x.doculect = y.doculect AND x.form = y.form AND x.concept < y.concept)"
+
+
+@query(f"{_COLEX_SQL} SELECT a, b, count(*) AS word_weight, count(DISTINCT doculect) AS doculect_weight, count(DISTINCT doculect) AS family_weight FROM c GROUP BY ALL")
+def colexification_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nw.edges(wordlist(spark, sf_dir))
+
+
+@query(f"{_COLEX_SQL} SELECT form, concept, count(DISTINCT doculect) AS doculects FROM (SELECT doculect, form, a AS concept FROM c UNION SELECT doculect, form, b FROM c) GROUP BY ALL")
+def colexification_bipartite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nw.bipartite_edges(wordlist(spark, sf_dir))
+
+
+@query(f"""{_COLEX_SQL}, e AS (SELECT a, b, count(*) AS w FROM c GROUP BY ALL)
+SELECT concept, count(*) AS degree, sum(w)::BIGINT AS weighted_degree FROM (SELECT a AS concept, w FROM e UNION ALL SELECT b, w FROM e) GROUP BY 1""")
+def colexification_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nw.degrees(wordlist(spark, sf_dir))
+
+
+@query(f"""{_COLEX_SQL}, s AS (SELECT DISTINCT doculect, a AS c1, b AS c2 FROM c), n AS (SELECT doculect, count(*) AS n FROM s GROUP BY 1),
+k AS (SELECT x.doculect AS a, y.doculect AS b, count(*) AS n FROM s x JOIN s y USING (c1, c2) WHERE x.doculect < y.doculect GROUP BY ALL), taxa AS (SELECT DISTINCT doculect FROM wl)
+SELECT p.doculect AS a, q.doculect AS b, CASE WHEN coalesce(x.n, 0) + coalesce(y.n, 0) - coalesce(k.n, 0) > 0 THEN round(1 - coalesce(k.n, 0) / (coalesce(x.n, 0) + coalesce(y.n, 0) - coalesce(k.n, 0)), 9) END AS distance
+FROM taxa p JOIN taxa q ON p.doculect < q.doculect LEFT JOIN n x ON x.doculect = p.doculect LEFT JOIN n y ON y.doculect = q.doculect LEFT JOIN k ON k.a = p.doculect AND k.b = q.doculect""")
+def colexification_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nw.distances(wordlist(spark, sf_dir)).withColumn("distance", F.round("distance", 9))
+
+
+@query("  SELECT concept, count(*) AS words, count(DISTINCT doculect) AS doculects, count(DISTINCT doculect) AS families FROM wl GROUP BY 1")
+def node_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nw.nodes(wordlist(spark, sf_dir))
