@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 from .functions import ngrams as ng
 from .functions import smoothing as sm
+from .functions import sounds as so
 from .functions import strings as st
+from .operators import alignments as am
+from .operators import cognates as cg
 from .operators import evaluation as ev
 from .operators import networks as nw
+from .operators import phylogeny as ph
 from .operators import table as tb
 from .plans.views import WORDLIST_SQL, wordlist
+from .sources import writers as wr
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -408,3 +413,120 @@ def colexification_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("  SELECT concept, count(*) AS words, count(DISTINCT doculect) AS doculects, count(DISTINCT doculect) AS families FROM wl GROUP BY 1")
 def node_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nw.nodes(wordlist(spark, sf_dir))
+
+
+@query("""  , k AS (SELECT doculect, concept, form FROM wl), f AS (SELECT DISTINCT concept, form FROM k),
+e AS (SELECT x.concept, x.form AS a, y.form AS b FROM f x JOIN f y ON x.concept = y.concept AND x.form <> y.form AND levenshtein(x.form, y.form) / greatest(length(x.form), length(y.form)) <= 0.4),
+r AS (WITH RECURSIVE r AS (SELECT concept, form AS a, form AS b FROM f UNION SELECT r.concept, r.a, e.b FROM r JOIN e ON r.concept = e.concept AND r.b = e.a) SELECT concept, a, min(b) AS label FROM r GROUP BY ALL)
+SELECT wl.id, wl.concept || ':' || r.label AS clusterid FROM wl JOIN r ON wl.concept = r.concept AND wl.form = r.a""")
+def cluster_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cg.single_linkage(wordlist(spark, sf_dir), st.ldn, 0.4).select("id", "clusterid")
+
+
+def _clustered(method: str, linkage: str, threshold: float) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return cg.cluster(wordlist(spark, sf_dir), method, linkage, threshold).select("id", "clusterid")
+
+    query(name=f"cluster_{linkage}_{method.replace('-', '_')}")(run)
+
+
+_clustered("sca", "upgma", 0.45)
+_clustered("edit-dist", "upgma", 0.6)
+_clustered("edit-dist", "complete", 0.6)
+_clustered("edit-dist", "mcl", 0.6)
+_clustered("turchin", "single", 0.5)
+
+
+@query()
+def doculect_distances_sca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cg.doculect_distances(wordlist(spark, sf_dir)).withColumn("distance", F.round("distance", 9))
+
+
+@query()
+def correspondences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cg.correspondences(wordlist(spark, sf_dir))
+
+
+@query()
+def log_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attested = cg.correspondences(wordlist(spark, sf_dir))
+    return cg.log_odds(attested, cg.expected_correspondences(attested)).withColumn("score", F.round("score", 9))
+
+
+@query("""  , f AS (SELECT concept, form, doculect, min(id) AS id FROM wl GROUP BY ALL) SELECT id, concept, string_split(form, ' ')[1] AS first FROM f""")
+def partial_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = wordlist(spark, sf_dir).groupBy("concept", "form", "doculect").agg(F.min("id").alias("id"))
+    parts = cg.partial_slices(words.withColumn("segments", F.split(F.replace("form", F.lit(" "), F.lit(" + ")), " ")))
+    return parts.where("part = 0").select("id", "concept", F.array_join("morpheme", " ").alias("first"))
+
+
+@query()
+def msa_progressive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return am.align_sets(wordlist(spark, sf_dir)).select("id", F.array_join("alignment", " ").alias("alignment"))
+
+
+@query()
+def msa_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = wordlist(spark, sf_dir).withColumn("cogid", F.concat_ws("/", "concept", "cogid"))
+    return am.align_sets(words, method="library").select("id", F.array_join("alignment", " ").alias("alignment"))
+
+
+@query()
+def msa_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return am.consensus(am.align_sets(wordlist(spark, sf_dir)))
+
+
+@query()
+def msa_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return am.identity_of_sets(am.align_sets(wordlist(spark, sf_dir))).withColumn("identity", F.round("identity", 9))
+
+
+@query()
+def msa_correspondences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return am.correspondence_counts(am.align_sets(wordlist(spark, sf_dir)))
+
+
+@query("""  SELECT DISTINCT form, length(regexp_replace(form, '[^aeiouy]', '', 'g')) AS vowels FROM wl""")
+def sound_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = wordlist(spark, sf_dir).select("form").distinct()
+    kinds = so.class_column(F.filter(F.split("form", ""), lambda c: c != ""))
+    return forms.select("form", F.size(F.filter(kinds, lambda c: c == "V")).cast("long").alias("vowels"))
+
+
+def _gain_loss(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    words = wordlist(spark, sf_dir).withColumn("glid", F.concat_ws("/", "cogid", "concept"))
+    tree = ph.doculect_tree(words)
+    return ph.scenarios(tb.paps(words, "glid", missing=-1), tree, "glid"), tree
+
+
+@query()
+def gain_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gain_loss(spark, sf_dir)[0]
+
+
+@query()
+def origins_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = ph.origin_stats(_gain_loss(spark, sf_dir)[0])
+    return stats.withColumn("mean", F.round("mean", 9)).withColumn("patchy", F.round("patchy", 9))
+
+
+@query()
+def vocabulary_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ph.vocabulary_sizes(*_gain_loss(spark, sf_dir))
+
+
+@query()
+def lateral_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ph.lateral_edges(_gain_loss(spark, sf_dir)[0])
+
+
+@query()
+def doculect_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = wordlist(spark, sf_dir)
+    return spark.createDataFrame([(m, ph.doculect_tree(words, m)) for m in ("upgma", "neighbor")], "method string, newick string")
+
+
+@query()
+def nexus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = wordlist(spark, sf_dir).withColumn("glid", F.concat_ws("/", "cogid", "concept"))
+    return wr.state_rows(tb.paps(words, "glid", missing=-1), "glid")
