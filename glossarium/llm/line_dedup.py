@@ -48,7 +48,7 @@ def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
 
 
 #: Letters that are counted to tell lines apart before they are aligned; the others are counted together.
-COUNTED = " etaoinsrhldu"
+COUNTED = " abcdefghijklmnopqrstuvwxyz,."
 
 
 def letter_counts(line: Column, length: Column) -> list[Column]:
@@ -57,8 +57,8 @@ def letter_counts(line: Column, length: Column) -> list[Column]:
 
 
 def _common(a: Column, b: Column, room: Column, end: bool) -> Column:
-    """Length, up to room, of the common start (or end) of two strings: by halving steps."""
-    steps = F.array(*[F.lit(1 << s) for s in range(17, -1, -1)])
+    """Length, up to room and 1023, of the common start (or end) of two strings: by halving steps."""
+    steps = F.array(*[F.lit(1 << s) for s in range(9, -1, -1)])
 
     def further(done: Column, step: Column) -> Column:
         at = -(done + step) if end else done + 1
@@ -155,7 +155,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _texts_at(base: DataFrame, places: DataFrame) -> DataFrame:
     """h, place and line of the lines at places (id, pos, h); base (dealt, id, text) is dealt by a hash of the id and is not moved."""
-    wanted = places.groupBy(F.xxhash64("id").alias("dealt")).agg(F.collect_list(F.struct("id", "pos", "h")).alias("wanted"))
+    wanted = places.groupBy(F.xxhash64("id").alias("dealt")).agg(F.collect_list(F.struct("pos", "h")).alias("wanted"))
     parts = F.struct(F.split("text", "\n").alias("lines"), F.col("wanted"))
 
     def taken(p: Column) -> Column:
@@ -165,30 +165,34 @@ def _texts_at(base: DataFrame, places: DataFrame) -> DataFrame:
         base.join(wanted, "dealt")
         # transform over an array of one: the text is split once
         .select("id", F.explode(F.element_at(F.transform(F.array(parts), taken), 1)).alias("x"))
-        .where(F.col("id").eqNullSafe(F.col("x.w.id")) & (F.xxhash64("x.line") == F.col("x.w.h")))
-        .select("x.w.h", F.struct("x.w.id", "x.w.pos").alias("place"), "x.line")
+        .where(F.xxhash64("x.line") == F.col("x.w.h"))
+        .select("x.w.h", F.struct("id", "x.w.pos").alias("place"), "x.line")
     )
 
 
 def near_lines(base: DataFrame, first: DataFrame, edits: int, min_length: int) -> DataFrame:
     """h of those lines that an earlier line is near to; first: h, id and pos of the distinct lines, base: the texts, dealt by id."""
     by_key = Window.partitionBy("key")
+    # a row to shuffle is two numbers: the key, and h with its last bit for "in the index"
+    name, indexed = F.col("hr").bitwiseAND(-2), F.col("hr").bitwiseAND(1)
     shared = (
         _texts_at(base, first)
         .select("h", "line", F.length("line").alias("n"))
         .where(F.col("n") >= min_length)
         .transform(segment_keys, edits)
-        .select("*", F.min("h").over(by_key).alias("low"), F.max("h").over(by_key).alias("high"), F.max("role").over(by_key).alias("index"))
-        .where("low < high and index = 3")
-        .select("h", "key", "role")
+        .select("key", F.col("h").bitwiseAND(-2).bitwiseOR((F.col("role") == 3).cast("long")).alias("hr"))
+        .select("*", F.min(name).over(by_key).alias("low"), F.max(name).over(by_key).alias("high"), F.max(indexed).over(by_key).alias("index"))
+        .where("low < high and index = 1")
+        .select("key", name.alias("h2"), indexed.alias("index"))
     )
-    some = first.join(shared.select(F.col("h").alias("shared_h")).distinct(), F.col("h") == F.col("shared_h")).select("h", "id", "pos")
+    halved = first.withColumn("h2", F.col("h").bitwiseAND(-2))
+    some = halved.join(shared.select("h2").distinct(), "h2", "left_semi").select("h", "id", "pos")
     candidates = _texts_at(base, some).withColumn("n", F.length("line"))
     counts = letter_counts(F.col("line"), F.col("n"))
     columns = ["h", "line", "n", "place", *(f"c{k}" for k in range(len(counts)))]
-    texts = shared.join(candidates.select("h", "line", "n", "place", *counts), "h")
+    texts = shared.join(candidates.select(F.col("h").bitwiseAND(-2).alias("h2"), "h", "line", "n", "place", *counts), "h2")
     probe = texts.select("key", *[F.col(c).alias(f"p_{c}") for c in columns])
-    index = texts.where("role = 3").select("key", *[F.col(c).alias(f"x_{c}") for c in columns])
+    index = texts.where("index = 1").select("key", *[F.col(c).alias(f"x_{c}") for c in columns])
     less = F.col("p_n") - F.col("x_n")
     apart = [F.col(f"p_c{k}") - F.col(f"x_c{k}") for k in range(len(counts))]
     changed = sum((F.abs(d) for d in apart), F.abs(less - sum(apart[1:], apart[0])))
