@@ -81,7 +81,9 @@ def markov_clusters(d: np.ndarray, threshold: float, inflation: float = 2.0, ste
     with np.errstate(divide="ignore"):
         near = np.where(d <= threshold, -np.log2(np.clip(d, 1e-6, None) ** 2), 0.0)
     m = np.clip(near, 0, None)
-    np.fill_diagonal(m, 1.0)
+    np.fill_diagonal(m, 0.0)
+    # loops as heavy as a node's heaviest edge: lighter ones make pairs of nodes swing apart
+    np.fill_diagonal(m, np.where(m.max(axis=0, initial=0.0) > 0, m.max(axis=0, initial=0.0), 1.0))
     m = m / m.sum(axis=0)
     for _ in range(steps):
         new = (m @ m) ** inflation
