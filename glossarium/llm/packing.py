@@ -56,10 +56,11 @@ def trace(last: np.ndarray, room: int) -> Counter:
     return out
 
 
-def solve_lp(demand: np.ndarray, capacity: int, rounds: int = 8, eta: float = 1.0, left: int = 5000) -> dict[Filling, float]:
+def solve_lp(demand: np.ndarray, capacity: int, rounds: int = 20, eta: float = 1.0, left: int = 5000) -> dict[Filling, float]:
     """Fractional uses of fillings that place (all but about left of) the demand by length."""
     todo = demand.astype(float)
-    prices = np.arange(capacity + 1) / capacity
+    # long pieces are worth a little more than their share: short ones are easier to place later
+    prices = (np.arange(capacity + 1) / capacity) ** 1.1
     uses: dict[Filling, float] = defaultdict(float)
     t = 0
     while todo.sum() > (left if t >= rounds else 0):
@@ -148,7 +149,7 @@ def tokenised_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept((tokenizer_path, "words"), lambda: word_encoder(shared.value))
         end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for batch, texts in blocks(batches, 1):
+        for batch, texts in blocks(batches, 1, 1 << 23):
             row, piece, start, length, crc, packed = [], [], [], [], [], []
             for i, own in enumerate(encoder.encode(texts)):
                 own += end
