@@ -112,7 +112,7 @@ def references(docs: DataFrame, lang_col: str, text_col: str, common: int) -> di
             lang, key, n = zip(*rows) if rows else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(key, pa.binary()), pa.array(n, pa.int64())], ["lang", "key", "n"])
 
-        for batch, texts in blocks(batches, 1):
+        for batch, texts in blocks(batches, 1, 1 << 22):
             for lang, text in zip(batch.column(0).to_pylist(), texts):
                 lang = lang or ""
                 words.setdefault(lang, Counter()).update(text.encode("utf-8", "surrogatepass").split())
@@ -192,7 +192,7 @@ def rate_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reference = shared.value
-        for batch, texts in blocks(batches, text_at):
+        for batch, texts in blocks(batches, text_at, 1 << 22):
             langs = [x or "" for x in batch.column(lang_at).cast(pa.string()).to_pylist()]
             counts, classes, commons = [], [], []
             for text, lang in zip(texts, langs):

@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, word
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in first), *(f"{n} bigint" for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches, at):
+        for batch, texts in blocks(batches, at, 1 << 22):
             found = np.array([fingerprint(t, shingle, words) for t in texts], np.int64).T
             yield pa.RecordBatch.from_arrays([*(batch.columns if keep else [batch.column(0)]), *map(pa.array, found)], [*first.names, *names])
 
