@@ -10,8 +10,10 @@ passes, and the limit has a part that falls with the root of the length.
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -27,12 +29,18 @@ SPACES = " \t\n\v\f\r"
 #: Names of the character classes.
 CLASSES = ("lower", "upper", "digit", "space", "mark", "symbol", "other")
 
-_CLASS = np.full(0x110000, 6, np.uint8)
-for _c, _test in ((0, str.islower), (1, str.isupper), (2, str.isdigit)):
-    _CLASS[[i for i in range(0x500) if _test(chr(i))]] = _c
-_CLASS[[i for i in range(128) if chr(i) in ".,;:'\"?!()-"]] = 4
-_CLASS[[ord(c) for c in SPACES]] = 3
-_CLASS[[ord(c) for c in SYMBOLS]] = 5
+#: Punctuation that counts as marks.
+MARKS = ".,;:'\"?!()-"
+
+
+@cache
+def class_table() -> np.ndarray:
+    """The class of every code point: lower and upper letters and digits by Unicode category (Ll, Lu, Nd)."""
+    kinds = {"Ll": 0, "Lu": 1, "Nd": 2}
+    table = np.array([kinds.get(unicodedata.category(chr(i)), 6) for i in range(0x110000)], np.uint8)
+    for k, chars in ((3, SPACES), (4, MARKS), (5, SYMBOLS)):
+        table[[ord(c) for c in chars]] = k
+    return table
 
 
 def numbered(words: list[bytes]) -> tuple[dict[bytes, int], np.ndarray]:
@@ -75,7 +83,7 @@ def base_counts(text: str, code: np.ndarray, distinct: int) -> tuple[int, int, i
 
 def class_counts(text: str) -> np.ndarray:
     """Characters of each of CLASSES in the text."""
-    return np.bincount(_CLASS[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=len(CLASSES))
+    return np.bincount(class_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=len(CLASSES))
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:

@@ -79,6 +79,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_divergence_rules": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS ws
+  FROM documents
+),
+tokens AS (SELECT k, lang, unnest(ws) AS word FROM d),
+freq AS (SELECT lang, word, count(*) AS n FROM tokens GROUP BY ALL),
+top AS (SELECT lang, word, n FROM freq QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 30),
+totals AS (SELECT lang, sum(n) AS total FROM freq GROUP BY 1),
+ref_words AS (
+  SELECT lang, word, n / total AS q FROM top JOIN totals USING (lang)
+  UNION ALL SELECT lang, NULL, 1 - sum(n) / any_value(total) FROM top JOIN totals USING (lang) GROUP BY lang
+),
+doc_words AS (
+  SELECT k, x.lang, t.word, count(*) AS n FROM tokens x LEFT JOIN top t ON x.lang = t.lang AND x.word = t.word GROUP BY ALL
+),
+word_bins AS (
+  SELECT d.k, r.q, coalesce(w.n, 0) / greatest(len(d.ws), 1) AS p
+  FROM d JOIN ref_words r USING (lang) LEFT JOIN doc_words w ON w.k = d.k AND w.word IS NOT DISTINCT FROM r.word
+),
+classed AS (
+  SELECT k, lang, length(text) AS n, unnest([0, 1, 2, 3, 4, 5]) AS class, unnest([
+    length(text) - length(regexp_replace(text, '[\p{Ll}]', '', 'g')), length(text) - length(regexp_replace(text, '[\p{Lu}]', '', 'g')),
+    length(text) - length(regexp_replace(text, '[\p{Nd}]', '', 'g')), length(text) - length(regexp_replace(text, '[ \t\n\x0B\f\r]', '', 'g')),
+    length(text) - length(regexp_replace(text, '[.,;:''"?!()-]', '', 'g')), length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g'))]) AS c
+  FROM d
+),
+classes AS (SELECT * FROM classed UNION ALL SELECT k, lang, any_value(n), 6, any_value(n) - sum(c) FROM classed GROUP BY k, lang),
+ref_classes AS (SELECT lang, class, s / sum(s) OVER (PARTITION BY lang) AS q FROM (SELECT lang, class, sum(c) AS s FROM classes GROUP BY lang, class)),
+class_bins AS (SELECT c.k, r.q, c.c / greatest(c.n, 1) AS p FROM classes c JOIN ref_classes r USING (lang, class)),
+word_distance AS (
+  SELECT k, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS wd FROM word_bins GROUP BY k
+),
+class_distance AS (
+  SELECT k, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS cd FROM class_bins GROUP BY k
+),
+windows AS (SELECT k, i, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2] AS g FROM (SELECT k, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+repeated AS (SELECT k, i FROM windows QUALIFY count(*) OVER (PARTITION BY k, g) > 1),
+hits AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM repeated) GROUP BY 1),
+lines AS (SELECT k, count(*) - count(DISTINCT line) AS n FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]') GROUP BY 1),
+counted AS (
+  SELECT d.k, d.doc_id, len(ws) AS n_words, length(text) - length(regexp_replace(text, '[ \t\n\x0B\f\r]', '', 'g')) AS n_spaces, length(text) AS n_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(h.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN lines l USING (k) LEFT JOIN hits h USING (k)
+)
+SELECT doc_id, n_words, n_chars - n_spaces AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND cd <= 0.19 + 0.5 / sqrt(n_words) AND wd <= 0.17 + 2 / sqrt(n_words) AS kept
+FROM counted JOIN class_distance USING (k) LEFT JOIN word_distance USING (k)
+""",
     # every pair of distinct lines of near lengths; one of three parts of the shorter must be in the longer
     "op10_segment_line_dedup": """
 WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
