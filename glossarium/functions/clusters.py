@@ -64,12 +64,14 @@ def order_labels(labels: list) -> list[int]:
 
 
 def flat_cluster(d: np.ndarray, threshold: float, method: str = "upgma") -> list[int]:
-    """Cluster numbers by upgma, single, complete or ward linkage cut at threshold, mcl or dbscan; another name gives each its own."""
+    """Cluster numbers by upgma, single, complete or ward linkage cut at threshold, mcl, infomap or dbscan; another name gives each its own."""
     kinds = {"upgma": "average", "single": "single", "complete": "complete", "ward": "ward"}
     if method in kinds:
         return labels_of(len(d), agglomerate(d, kinds[method], threshold))
     if method == "mcl":
         return markov_clusters(d, threshold)
+    if method == "infomap":
+        return infomap_clusters(d, threshold)
     if method == "dbscan":
         return labels_of(len(d), agglomerate(d, "single", threshold))
     return list(range(1, len(d) + 1))
@@ -245,3 +247,40 @@ def find_threshold(d: np.ndarray, steps: int = 18) -> float:
     degrees = [float(((1 - d) * (d <= t) * off).sum() / max(1, len(d))) for t in np.arange(1, steps + 1) / 20]
     gains = np.diff(degrees)
     return float((int(gains.argmin()) + 1) / 20) if len(gains) else 0.5
+
+
+def map_equation(weights: np.ndarray, labels: np.ndarray) -> float:
+    """Bits a step of a random walk on an undirected graph takes with a code book for each cluster (Rosvall and Bergstrom, 2008)."""
+    total = weights.sum()
+    if total == 0:
+        return 0.0
+    flow = weights.sum(axis=1) / total
+    log = lambda p: np.where(p > 0, p * np.log2(np.where(p > 0, p, 1)), 0.0)
+    names = np.unique(labels)
+    inside = np.array([flow[labels == k].sum() for k in names])
+    leave = np.array([weights[np.ix_(labels == k, labels != k)].sum() / total for k in names])
+    return float(log(np.array([leave.sum()]))[0] - 2 * log(leave).sum() - log(flow).sum() + log(leave + inside).sum())
+
+
+def infomap_clusters(d: np.ndarray, threshold: float) -> list[int]:
+    """Clusters of the graph of distances within threshold that make the map equation small: nodes, then whole clusters, move while it falls."""
+    d = np.asarray(d, float)
+    w = np.where(d <= threshold, 1 - d + 1e-9, 0.0)
+    np.fill_diagonal(w, 0.0)
+    labels = np.arange(len(d))
+    best = map_equation(w, labels)
+    improved = True
+    while improved:
+        improved = False
+        units = [[i] for i in range(len(d))] + [np.flatnonzero(labels == k).tolist() for k in np.unique(labels)]
+        for unit in units:
+            targets = np.unique(labels[np.flatnonzero(w[unit].sum(axis=0) > 0)])
+            for target in targets:
+                if target == labels[unit[0]]:
+                    continue
+                trial = labels.copy()
+                trial[unit] = target
+                value = map_equation(w, trial)
+                if value < best - 1e-12:
+                    best, labels, improved = value, trial, True
+    return order_labels(labels.tolist())

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import generate as ge
 from .functions import ngrams as ng
 from .functions import smoothing as sm
 from .functions import sounds as so
@@ -434,6 +435,7 @@ _clustered("sca", "upgma", 0.45)
 _clustered("edit-dist", "upgma", 0.6)
 _clustered("edit-dist", "complete", 0.6)
 _clustered("edit-dist", "mcl", 0.6)
+_clustered("edit-dist", "infomap", 0.6)
 _clustered("turchin", "single", 0.5)
 
 
@@ -530,3 +532,16 @@ def doculect_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nexus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = wordlist(spark, sf_dir).withColumn("glid", F.concat_ws("/", "cogid", "concept"))
     return wr.state_rows(tb.paps(words, "glid", missing=-1), "glid")
+
+
+@query("""  , d AS (SELECT DISTINCT form FROM wl), p AS (SELECT list_concat(['#'], list_transform(range(1, length(form) + 1), lambda i: form[i:i]), ['$']) AS w FROM d)
+SELECT w[i] AS prev, w[i + 1] AS next, count(*) AS n FROM (SELECT w, unnest(range(1, len(w))) AS i FROM p) GROUP BY ALL""")
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = wordlist(spark, sf_dir).select("form").distinct()
+    return ge.transitions(forms.withColumn("s", F.filter(F.split("form", ""), lambda x: x != "")), "s")
+
+
+@query()
+def random_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = wordlist(spark, sf_dir).select("form").distinct()
+    return ge.random_words(forms.withColumn("s", F.filter(F.split("form", ""), lambda x: x != "")), "s", 50, 7)

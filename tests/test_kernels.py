@@ -101,7 +101,7 @@ def test_trees_of_distances():
 
 def test_other_clusterings():
     two = np.array([[0, 0.1, 0.9, 0.9], [0.1, 0, 0.9, 0.9], [0.9, 0.9, 0, 0.1], [0.9, 0.9, 0.1, 0]])
-    for labels in (cl.flat_cluster(two, 0.5, "mcl"), cl.flat_cluster(two, 0.5, "ward"), cl.flat_cluster(two, 0.5, "dbscan"), cl.affinity_propagation(1 - two)):
+    for labels in (cl.flat_cluster(two, 0.5, "mcl"), cl.flat_cluster(two, 0.5, "ward"), cl.flat_cluster(two, 0.5, "dbscan"), cl.flat_cluster(two, 0.5, "infomap"), cl.affinity_propagation(1 - two)):
         assert labels == [1, 1, 2, 2]
     assert cl.flat_cluster(two, 0.5, "none") == [1, 2, 3, 4]
     assert cl.fuzzy_clusters(two, 0.5) == [[1], [1], [2], [2]]
@@ -159,3 +159,22 @@ def test_gain_loss_is_the_cheapest():
             (x := dict(zip(inner, values)) | states)["root"] + sum(x[n] != x[p] for n, p in parent.items()) for values in itertools.product((0, 1), repeat=len(inner))
         )
         assert len(scenario) == best and gains == sum(s for _, s in scenario)
+
+
+def test_structural():
+    found = al.structural_alignments("abab", "bab")
+    assert found == [(list("abab"), list("-bab"))]
+    for x, y in al.structural_alignments("waldemar", "vladimir"):
+        assert "".join(x).replace("-", "") == "waldemar" and "".join(y).replace("-", "") == "vladimir"
+    with pytest.raises(ValueError):
+        al.structural_alignments("a" * 20, "b")
+
+
+def test_generation():
+    from glossarium.functions import generate as ge
+
+    walker = ge.Walker([("#", "a", 2), ("a", "b", 1), ("a", "$", 1), ("b", "$", 1)])
+    assert {"".join(walker.walk(random.Random(k))) for k in range(30)} == {"a", "ab"}
+    assert abs(walker.score(["a", "b"]) - np.log10(0.5)) < 1e-12 and walker.score(["b"]) == float("-inf")
+    assert [len(list(ge.label_sets(n))) for n in (1, 2, 3, 4)] == [1, 2, 5, 15]
+    assert ge.random_labels(5, random.Random(1))[0] == 1
