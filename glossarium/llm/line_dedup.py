@@ -225,23 +225,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if clash:
         raise ValueError(f"columns of docs that the result makes itself: {sorted(clash)}")
     lines = materialise(_lines(docs, id_col, text_col).drop("line"), "lines")
-    first = (
-        lines.groupBy("h", "g", "id")
-        .agg(F.min("pos").alias("pos"))
-        .groupBy("h", "g")
-        # null ids come first: no id is less
-        .agg(F.min("id").alias("least"), F.min_by("pos", "id").alias("at"), F.min(F.when(F.col("id").isNull(), F.col("pos"))).alias("at_null"))
-        .select("h", "g", F.when(F.col("at_null").isNull(), F.col("least")).alias("id"), F.coalesce("at_null", "at").alias("pos"))
-    )
+    # null ids come first, as in any order of structs
+    first = lines.groupBy("h", "g").agg(F.min(F.struct("id", "pos")).alias("f")).select("h", "g", "f.id", "f.pos")
     first = materialise(first, "first-lines")
     # the texts are moved once, to their ids, and read there for keys, for candidates and for the result
     dealt = docs.withColumn("dealt", F.xxhash64(F.col(id_col))).repartition("dealt")
     base = dealt.select("dealt", F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     near = near_lines(base, first, edits, min_length).select(F.col("h").alias("near"))
-    marks = first.select("h", "g", F.col("id").alias("first_id"), F.col("pos").alias("first_pos")).join(near, F.col("h") == F.col("near"), "left")
+    marks = first.select("h", F.col("g").alias("first_g"), F.col("id").alias("first_id"), F.col("pos").alias("first_pos"))
+    marks = marks.join(near.withColumn("h", F.col("near")), "h", "left")
     gone = (
         lines.select("id", "pos", "h", "g")
-        .join(marks, ["h", "g"])
+        .join(marks, "h")
+        # not as a second key: the first hash deals the marks once for both joins
+        .where(F.col("g").bitwiseXOR(F.col("first_g")) == 0)
         .withColumn("again", ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos"))))
         .where(F.col("again") | F.col("near").isNotNull())
         .groupBy(F.xxhash64("id").alias("dealt"))
