@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Entries of a worker's cache; it is emptied beyond that (memory, not results).
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 _SHIFT = 18
 _NONE = (1 << _SHIFT) - 1
 _NEVER = np.int32(2**31 - 1)

@@ -18,13 +18,13 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import urlparse
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import BlockEncoder, Merges, blocks, kept, load_ranks
@@ -69,32 +69,46 @@ def permute(numbers: np.ndarray, n: int, key: int, inverse: bool = False) -> np.
     return x.astype(np.int64)
 
 
-def sequences(docs: DataFrame, ranks_path: str, pattern: str, stride: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """Sequences of at most stride ids of every row: id_col, piece, n_tokens, ids (16-bit little-endian, padded with end_id to stride).
+@dataclass(frozen=True)
+class Order:
+    """Numbers own * per + piece below domain, permuted by key, in ranges of span."""
+
+    per: int
+    domain: int
+    key: int
+    span: int
+
+
+def sequences(docs: DataFrame, ranks_path: str, pattern: str, stride: int, end_id: int, id_col: str, text_col: str, own: Column, order: Order) -> DataFrame:
+    """Sequences of at most stride ids of every row: id_col, piece, n_tokens, ids (16-bit little-endian, padded with end_id to stride), value and shard.
 
     A document is its ids and then end_id, so a null or empty text is one
-    sequence of one token.
+    sequence of one token. own: the document's number; value: that of the
+    sequence, permuted; shard: the range it falls into.
     """
     ranks = load_ranks(ranks_path)
     if max(max(ranks.values()), end_id) >= 1 << 16:
         raise ValueError("ids of more than 16 bits")
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    source = docs.select(id_col, text_col)
+    source = docs.select(id_col, text_col, own.cast("long").alias("__own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept((ranks_path, pattern, "<u2"), lambda: BlockEncoder(Merges.of_ranks(shared.value), pattern, "<u2"))
         end = np.array([end_id], "<u2").tobytes()
-        for batch, texts in blocks(batches, 1, 1 << 23):
+        for batch, texts in blocks(batches, 1, 1 << 22):
             row, piece, count, ids = [], [], [], []
-            for i, own in enumerate(encoder.encode(texts)):
-                own += end
-                for k, at in enumerate(range(0, len(own), 2 * stride)):
-                    part = own[at : at + 2 * stride]
+            for i, packed in enumerate(encoder.encode(texts)):
+                packed += end
+                for k, at in enumerate(range(0, len(packed), 2 * stride)):
+                    part = packed[at : at + 2 * stride]
                     row.append(i), piece.append(k), count.append(len(part) // 2), ids.append(part + end * (stride - len(part) // 2))
+            number = batch.column(2).to_numpy()[row] * order.per + np.array(piece, np.int64)
+            value = permute(number, order.domain, order.key)
             columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(count, pa.int32()), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "piece", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(value), pa.array(value // order.span)], [id_col, "piece", "n_tokens", "ids", "value", "shard"])
 
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, piece int, n_tokens int, ids binary")
+    kind = source.schema[id_col].dataType.simpleString()
+    return source.mapInArrow(run, f"`{id_col}` {kind}, piece int, n_tokens int, ids binary, value bigint, shard bigint")
 
 
 def _place(out_dir: str) -> tuple[fs.FileSystem, str]:
@@ -140,17 +154,11 @@ def write_shards(
     domain = room * per
     span = -(-domain // shards)
 
-    @F.pandas_udf("bigint")
-    def permuted(numbers: pd.Series) -> pd.Series:
-        return pd.Series(permute(numbers.to_numpy(), domain, key))
-
     own = F.pmod(F.xxhash64(id_col), F.lit(room)) if wide else F.coalesce(F.col(id_col) - low, F.lit(room - 1))
     pieces = (
-        sequences(docs, ranks_path, pattern, stride, end_id, id_col, text_col)
-        .withColumn("__value", permuted((own * per + F.col("piece")).cast("long")))
-        .withColumn("shard", F.expr(f"__value div {span}L"))
+        sequences(docs, ranks_path, pattern, stride, end_id, id_col, text_col, own, Order(per, domain, key, span))
         .repartition(shards, "shard")
-        .sortWithinPartitions("shard", "__value", id_col, "piece")
+        .sortWithinPartitions("shard", "value", id_col, "piece")
         .select(id_col, "piece", "n_tokens", "shard", "ids")
     )
     filesystem, root = _place(out_dir)
