@@ -107,9 +107,8 @@ def _banded(p: Column, edits: int) -> Column:
         letter = F.get(p["columns"], j - 1)
         match = F.lit(0)
         for bit in range(width):
-            row = j - edits + bit  # from 1; outside the line nothing matches
-            hit = (row >= 1) & (row <= p["m"]) & (F.get(p["rows"], F.greatest(row - 1, F.lit(0))) == letter)
-            match = match + F.when(hit, 1 << bit).otherwise(0)
+            # outside the line get() is null and nothing matches
+            match = match + F.when(F.get(p["rows"], j + (bit - edits - 1)) == letter, 1 << bit).otherwise(0)
         vp, vn = state["vp"], state["vn"]
         eq = F.struct(match.alias("x"))
 
@@ -136,7 +135,7 @@ def _banded(p: Column, edits: int) -> Column:
     first = sum(1 << bit for bit in range(edits, width))
     start = F.struct(F.lit(first).alias("vp"), F.lit(0).alias("vn"), (p["m"] - p["n"]).cast("int").alias("miss"))
     state, done = start, 0
-    for upto in (16, 64, 256, None):
+    for upto in (32, None):
         last = p["n"] if upto is None else F.least(p["n"], F.lit(upto))
         todo = F.when((last > done), F.sequence(F.lit(done + 1), F.greatest(last, F.lit(done + 1)))).otherwise(F.array().cast("array<int>"))
         state = F.element_at(F.transform(F.array(state), _further(todo, step, edits)), 1)
