@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import shingle_sets
 from .bpe import blocks
 from .common import materialise
 from .components import components
@@ -46,6 +47,21 @@ def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def shingles(text: str, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the text's word shingles, with repeats; of a text with fewer words than a shingle, of the whole."""
+    parts = text.encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(parts)
+    if len(parts) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(line, 42)], np.uint64)
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[: len(parts) - shingle + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+
+
 def fingerprint(text: str, shingle: int, words: int = 1) -> list[int]:
     """SimHash of the text's word shingles, as signed 64-bit words; 0 without words.
 
@@ -53,19 +69,9 @@ def fingerprint(text: str, shingle: int, words: int = 1) -> list[int]:
     fewer words than a shingle is one shingle. Repeats count. A bit is set if
     it is in over half of the shingles' XXH64 (seed 42).
     """
-    parts = text.encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
+    values = shingles(text, shingle)
+    if not len(values):
         return [0] * words
-    line = b" ".join(parts)
-    if len(parts) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(line, 42)]
-    else:
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = (ends - lengths)[: len(parts) - shingle + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
-    values = np.array(hashes, np.uint64)
     out = []
     for word in range(words):
         counts = np.zeros(BITS, np.int64)
@@ -323,24 +329,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 7, words: int = 4, near: int = 40
-) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without all but one of each class of near-duplicates: the one of the least id stays.
 
-    Two texts are linked if at most near of their 64 * words bits differ: 40 of
-    256 is what shingle sets of a similarity (Jaccard) of about 0.8 give. Rows
-    are told apart by id and fingerprint. If a class's least id is that of
-    several rows (repeated rows, null ids), one of them stays. Null and empty
-    texts are near-duplicates of each other. Columns as in docs.
+    Two texts are linked if their shingle sets have a similarity (Jaccard) of
+    at least similarity, by the exact sets; candidates: see shingle_sets. Rows
+    are told apart by id and set. If a class's least id is that of several rows
+    (repeated rows, null ids), one of them stays. Null and empty texts are
+    near-duplicates of each other. Columns as in docs.
     """
-    marked = materialise(fingerprints(docs, id_col, text_col, shingle, words, keep=True), "marked")
-    found = classes(marked.select(id_col, *word_names(words)), id_col, radius, near)
-    own = marked.select(F.col(id_col).alias("__id"), "__fp").join(found, "__fp")
-    # one id with several texts in a class: the least fingerprint
-    least = own.where(F.col("__id").eqNullSafe(F.col("component_id"))).groupBy("root", "__id").agg(F.min(F.struct("__fp")).alias("__kept"), F.count("*").alias("__rows"))
-    least = least.select("root", "__id", F.col("__kept.__fp").alias("__kept"), "__rows")
-    joined = marked.join(least, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept")))
+    marked = materialise(shingle_sets.signatures(docs, text_col, shingle), "marked")
+    found = shingle_sets.classes(marked, id_col, text_col, shingle, similarity)
+    own = marked.select(F.col(id_col).alias("__id"), "__key").join(found, "__key")
+    # one id with several texts in a class: the least set
+    least = own.where(F.col("__id").eqNullSafe(F.col("component_id"))).groupBy("root", "__id").agg(F.min("__key").alias("__kept"), F.count("*").alias("__rows"))
+    joined = marked.join(least, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept")))
     single = joined.where("__rows = 1").select(*docs.columns)
     several = joined.where("__rows > 1").dropDuplicates(["root"]).select(*docs.columns)
     return single.union(several)

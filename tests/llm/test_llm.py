@@ -342,6 +342,45 @@ def test_near_copies_go(spark):
     assert {2 * k for k in range(40)} <= kept and len(kept) <= 44
 
 
+def test_links_are_those_of_brute_force(spark):
+    """Pairs of similarity 0.7 to 0.95, chains and a large group, against the exact sets of all pairs."""
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for share in (0.01, 0.02, 0.03, 0.04, 0.06):
+        for _ in range(40):
+            text = words(250)
+            cut = int(250 * share * 2)
+            at = rng.randrange(250 - 4 * cut)
+            texts += [text, text[:at] + words(4 * cut) + text[at + 4 * cut :]]
+    base = words(300)
+    for _ in range(60):
+        at = rng.randrange(280)
+        texts.append(base[:at] + words(rng.randrange(20)) + base[at + 20 :])
+    rng.shuffle(texts)
+    sets = [{" ".join(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    near = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            shared = len(a & sets[j])
+            similarity = shared / (len(a) + len(sets[j]) - shared)
+            near += 0.8 <= similarity <= 0.9
+            if similarity >= 0.8:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    assert near > 100
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {find(i) for i in range(len(texts))}
+
+
 # 10
 
 
