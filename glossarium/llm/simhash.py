@@ -9,8 +9,8 @@ from a bounded sample of fingerprints; the choice changes cost, never what is
 linked within radius.
 
 With further words of 64 bits a candidate is verified on all words, against a
-limit of its own (near): then pairs beyond radius that meet in a bucket can be
-linked too, and pairs within radius by chance are told apart.
+limit of its own (near), which must not be beyond radius: what lies further is
+only met by chance, and by other chances for other partitions and sizes.
 """
 
 from __future__ import annotations
@@ -267,6 +267,8 @@ def links(values: DataFrame, radius: int, near: int | None = None, bucket_rows:
     the bits outside their partition (one of radius + 1 groups must be equal),
     then, where that leaves large buckets, into blocks that meet in pairs.
     """
+    if near is not None and near > radius:
+        raise ValueError(f"near = {near} is beyond radius = {radius}: which pairs meet would depend on the partitions")
     words = values.columns
     total = values.count()
     sample = values.orderBy(F.xxhash64("__fp"), "__fp").select("__fp").limit(1024).toPandas()["__fp"].to_numpy(np.int64).view(np.uint64)

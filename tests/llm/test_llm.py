@@ -381,6 +381,11 @@ def test_links_are_those_of_brute_force(spark):
     assert kept == {find(i) for i in range(len(texts))}
 
 
+def test_links_beyond_radius_are_refused(spark):
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1, 2)], "__fp long, __fp1 long"), 7, 40)
+
+
 # 10
 
 
