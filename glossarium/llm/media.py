@@ -24,6 +24,8 @@ from .common import materialise
 FRAME, STEP, LOWEST, OCTAVES = 2048, 512, 110.0, 4
 #: Frames that the widest filter covers.
 SPAN = 8
+#: Recordings of a class that one task joins to it.
+CLASS_ROWS = 1024
 
 
 def filter_bank() -> list[tuple[int, int, int, int]]:
@@ -150,6 +152,18 @@ def align_recordings(
     return asked.select("query_id", "own").join(kept, "own").select("query_id", "match_id", "class_size", "offset", "hits", "overlap", "bit_error")
 
 
+def class_members(prints: DataFrame, id_col: str = "id", fp_col: str = "fp") -> DataFrame:
+    """member_id, match_id and class_size of every row: the class of align_recordings it is in; of empty fingerprints, null."""
+    some = prints.select(F.col(id_col).alias("member_id"), F.when(F.size(fp_col) > 0, F.xxhash64(fp_col)).alias("class"))
+    heard = some.where("class is not null")
+    classes = heard.groupBy("class").agg(F.min("member_id").alias("match_id"), F.count("*").alias("class_size"))
+    # the few large classes are joined without a shuffle, so that none fills a task
+    large = F.broadcast(classes.where(F.col("class_size") > CLASS_ROWS))
+    usual = heard.join(large.select("class"), "class", "left_anti").join(classes.where(F.col("class_size") <= CLASS_ROWS), "class")
+    silent = some.where("class is null").select("member_id", F.lit(None).cast(prints.schema[id_col].dataType).alias("match_id"), F.lit(None).cast("long").alias("class_size"))
+    return heard.join(large, "class").drop("class").unionByName(usual.drop("class")).unionByName(silent)
+
+
 def tone_wav(vector: list[float] | None, note: int = 512, rate: int = 4000) -> bytes:
     """A recording that plays a vector: for each component a tone of one of 24 half tones from 220 Hz; null: no samples."""
     values = np.nan_to_num(np.array([0.0 if x is None else x for x in vector or ()], float))
@@ -178,7 +192,18 @@ def play_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, audio binary")
 
 
+def _prints(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    return materialise(fingerprints(play_vectors(vectors, id_col, vector_col), id_col, "audio"), "fingerprints")
+
+
 def audio_search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100) -> DataFrame:
     """align_recordings for the recordings of vectors; queries: every row whose id is divisible by every."""
-    prints = materialise(fingerprints(play_vectors(vectors, id_col, vector_col), id_col, "audio"), "fingerprints")
+    prints = _prints(vectors, id_col, vector_col)
     return align_recordings(prints, prints.where(F.col(id_col) % every == 0), id_col)
+
+
+def audio_search_members(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100) -> DataFrame:
+    """The rows of audio_search, and a row for every recording with its class: member_id, match_id, class_size; the other columns are null."""
+    prints = _prints(vectors, id_col, vector_col)
+    found = align_recordings(prints, prints.where(F.col(id_col) % every == 0), id_col)
+    return found.unionByName(class_members(prints, id_col), allowMissingColumns=True)

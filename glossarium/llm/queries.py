@@ -64,8 +64,8 @@ def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector as a recording: those that align with each query (ids divisible by 100)."""
-    return media.audio_search(table(spark, sf_dir, "embeddings"))
+    """Every vector as a recording: the classes that align with each query (ids divisible by 100), and the class of every recording."""
+    return media.audio_search_members(table(spark, sf_dir, "embeddings"))
 
 
 def op10_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -490,6 +490,17 @@ def test_fingerprints_align(spark):
     assert len(media.fingerprint(b"no audio")) == 0 and len(media.fingerprint(None)) == 0
 
 
+def test_members_of_classes(spark, monkeypatch):
+    monkeypatch.setattr(media, "CLASS_ROWS", 2)
+    rng = np.random.default_rng(12)
+    one, two, three = (rng.normal(size=64).tolist() for _ in range(3))
+    vectors = spark.createDataFrame([(300, one), (512, one), (777, one), (8, two), (9, two), (10, three), (11, None)], "vec_id long, embedding array<double>")
+    rows = media.audio_search_members(vectors).collect()
+    assert [(r.match_id, r.class_size) for r in rows if r.query_id is not None] == [(300, 3)]
+    members = {r.member_id: (r.match_id, r.class_size) for r in rows if r.query_id is None}
+    assert members == {300: (300, 3), 512: (300, 3), 777: (300, 3), 8: (8, 2), 9: (8, 2), 10: (10, 1), 11: (None, None)}
+
+
 def test_recall_of_the_index(spark):
     """Against brute force over all offsets."""
     vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
