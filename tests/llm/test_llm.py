@@ -475,6 +475,19 @@ def test_extraction(spark):
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_and_quotes_stay(spark):
+    menu = "<p>Home About us Contact the team and more Terms</p>"
+    story = lambda i: "<p>" + " ".join(f"word{i}x{k}" for k in range(30)) + "</p>"
+    quote = "<p>we hold these words to be quoted by two pages only</p>"
+    html = [menu + story(i) + (quote if i < 2 else "") for i in range(12)]
+    rows = [(i, "http://a.org", h) for i, h in enumerate([*html, html[5], html[5], html[5], html[5]])]
+    rows += [(100, "http://two.org", quote + story(50)), (101, "http://two.org", quote + story(51))]
+    texts = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert not any("Home About" in t for t in texts.values())
+    assert all("quoted by two" in texts[i] for i in (0, 1, 100, 101))
+    assert texts[5] == texts[12] == texts[15] == story(5)[3:-4]
+
+
 # 9
 
 
