@@ -461,6 +461,17 @@ def test_page_blocks():
     assert html_text.page_blocks("") == [] and html_text.page_blocks("a &lt; b &am") == [(html_text.PLAIN, "a < b &am")]
 
 
+@pytest.mark.parametrize("start", ["<head><title>t</title>", "<svg/>", "<iframe src='x'/>", "<button>", "<select>", "<head><title>t</title></head><body><svg><path/></svg>"])
+def test_what_follows_unclosed_elements_stays(start):
+    assert html_text.page_blocks(f"{start}<article><p>the text</p></article>")[-1] == (html_text.MAIN, "the text")
+
+
+def test_comments_as_articles_do_not_hide_main():
+    html = '<main><p>the text</p><section><article class="comment"><p>nice</p></article></section></main>'
+    assert [t for z, t in html_text.page_blocks(html) if z == html_text.MAIN] == ["the text"]
+    assert html_text.page_blocks("<script>var a = '<p>'; never closed<p>x") == []
+
+
 def test_extraction(spark):
     menu = "<div><p>Home About us Contact the team and more Terms</p></div>"
     page = lambda i: f"{menu}<p>Unique story {i} about thing {i * 7} is told here</p><p>Copyright 2020 all rights reserved by the owners of the site</p>"
