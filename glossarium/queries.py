@@ -200,6 +200,13 @@ def pivot_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.select("concept", F.col("slot").cast("long").alias("slot"), *[F.col(c) if c in matrix.columns else F.lit(None).cast("string").alias(c) for c in ("FRANCE", "GERMANY", "JAPAN")])
 
 
+@query("""  SELECT concept, row_number() OVER (PARTITION BY concept, doculect ORDER BY id) AS slot, doculect, form FROM wl""")
+def pivot_entries_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matrix = tb.pivot_entries(wordlist(spark, sf_dir), "form").withColumn("slot", F.col("slot").cast("long"))
+    doculects = [c for c in matrix.columns if c not in ("concept", "slot")]
+    return matrix.unpivot(["concept", "slot"], doculects, "doculect", "form").where("form is not null")
+
+
 @query("""  SELECT id, 'doculect' AS "column", doculect AS value FROM wl UNION ALL SELECT id, 'concept', concept FROM wl
 UNION ALL SELECT id, 'form', form FROM wl UNION ALL SELECT id, 'cogid', cogid FROM wl""")
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -462,6 +469,13 @@ def partial_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.where("part = 0").select("id", "concept", F.array_join("morpheme", " ").alias("first"))
 
 
+@query("""  SELECT id, concept, unnest(range(0, len(p))) AS part, unnest(p) AS morpheme FROM (SELECT id, concept, string_split(form, ' ') AS p FROM wl)""")
+def partial_slices_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = wordlist(spark, sf_dir)
+    parts = cg.partial_slices(words.withColumn("segments", F.split(F.replace("form", F.lit(" "), F.lit(" + ")), " ")))
+    return parts.select("id", "concept", F.col("part").cast("long").alias("part"), F.array_join("morpheme", " ").alias("morpheme"))
+
+
 @query()
 def msa_progressive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return am.align_sets(wordlist(spark, sf_dir)).select("id", F.array_join("alignment", " ").alias("alignment"))

@@ -202,3 +202,14 @@ def test_stream(spark, words, tmp_path):
     q.stop()
     batch = ng.context_counts(words, ng.segments(F.col("form")), 1, 0)
     assert sorted(map(tuple, spark.table("contexts").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_whole_matrix_and_all_parts(spark):
+    from glossarium import queries
+    from glossarium.plans.views import wordlist
+
+    words = wordlist(spark, "/root/testdata/sf0.001").collect()
+    cells = queries.QUERIES["pivot_entries_all"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.concept, r.doculect, r.form) for r in cells) == sorted((r.concept, r.doculect, r.form) for r in words)
+    parts = queries.QUERIES["partial_slices_all"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.id, r.part, r.morpheme) for r in parts) == sorted((r.id, k, m) for r in words for k, m in enumerate(r.form.split(" ")))
