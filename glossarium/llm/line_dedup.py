@@ -2,12 +2,14 @@
 
 Lines that occur before (in the order of document id and line number) go, and
 so do lines within max_edits edits of an earlier line. A pair within k edits,
-cut into k + 1 segments by the shorter line's length, has a segment without
-edits at a place that is shifted by few characters (the multi-match-aware
-selection of Pass-Join, Li et al., 2011). So every line gives a key for each of
-its segments (the index) and for each substring that could be a segment of a
-line of up to k characters less (the probes), and lines that share a key, and
-have nearly the same letters, are verified by a banded bit-parallel edit distance.
+of which one line is cut into k + 1 segments, has a segment without edits at a
+place that is shifted by few characters (the multi-match-aware selection of
+Pass-Join, Li et al., 2011). Lines of near lengths form a class with segments of
+one size, the first from the line's start on, the last up to its end; so one
+key for each end serves as index and probe of the whole class, only the
+segments between are probed with shifts, and only a line whose shorter partners
+lie in the class below probes that, too. Lines that share a key, and have
+nearly the same letters, are verified by a banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -19,40 +21,50 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: Lines that one side of a key brings to one task; those of larger keys are dealt into blocks that all meet.
+KEY_ROWS = 1024
+#: Lines with more than this part of all occurrences are common; there are fewer than it says.
+COMMON = 4096
 
-def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """h, key and role of each line's segments and probes; lines: h, line and its length n.
 
-    Role 3 is in the index and probes it, 2 probes only. A segment is named by
-    its number, the length of the whole line it is cut from, and its text. The
-    last segments take the characters that are left over.
+def class_floor(n: Column) -> Column:
+    """The least length of the class of length n: its leading three bits. Classes of lengths from 16 on are at least 4 wide."""
+    shift = F.greatest(F.length(F.bin(n)) - 3, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", n.cast("int"), shift), shift)
+
+
+def segment_keys(lines: DataFrame, edits: int, min_length: int) -> DataFrame:
+    """lines (line and its length n among them) with key and index of each segment; index is 1 where it is the line's own, 0 where it only probes.
+
+    A key names the segment's number, the class and the text. less: how many
+    characters shorter a partner in the index is; a class is probed from the
+    first such number on that leads to it. Lines have min_length characters at least.
     """
     parts = edits + 1
-    cuts = {}
-    for less in range(edits + 1):
-        short, longer = F.col("n") - less, F.pmod(F.col("n") - less, F.lit(parts))
-        short = ((short - longer) / parts).cast("int")
+    floors = {f"__floor_{less}": class_floor(F.col("n") - less) for less in range(parts)}
+    rows = []
+    for less in range(parts):
+        floor = F.col(f"__floor_{less}")
+        size = F.col(f"__size_{less}")
+        new = F.lit(True) if less == 0 else (floor != F.col(f"__floor_{less - 1}")) & (F.col("n") - less >= max(1, min_length))
         for i in range(parts):
-            cuts[f"start_{i}_{less}"] = short * i + F.greatest(longer - (parts - i), F.lit(0)) + 1
-            cuts[f"size_{i}_{less}"] = short + F.when(longer >= parts - i, 1).otherwise(0)
-    rows = [
-        F.struct(
-            F.xxhash64(F.lit(i), F.col("n") - less, F.substring(F.col("line"), F.col(f"start_{i}_{less}") + shift, F.col(f"size_{i}_{less}"))).alias("key"),
-            F.lit(3 if less == 0 and shift == 0 else 2).alias("role"),
-        )
-        for i in range(parts)
-        for less in range(parts)
-        for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
-    ]
-    return lines.withColumns(cuts).select("h", F.explode(F.array(*rows)).alias("k")).select("h", "k.key", "k.role")
+            last = i == edits
+            # after i segments at most i edits are left of it and edits - i right of it
+            shifts = [0] if i == 0 or last else range(max(-i, less - (edits - i)), i + 1)
+            for shift in shifts:
+                start = F.col("n") - size + 1 if last and i else size * i + (1 + shift)
+                key = F.xxhash64(F.lit(i), floor, F.substring("line", start, size))
+                rows.append(F.when(new, F.struct(key.alias("key"), F.lit(int(less == 0 and shift == 0)).alias("index"))))
+    sized = lines.withColumns(floors).withColumns({f"__size_{less}": F.expr(f"__floor_{less} div {parts}").cast("int") for less in range(parts)})
+    return sized.select(*lines.columns, F.explode(F.array(*rows)).alias("k")).where("k is not null").select(*lines.columns, "k.key", "k.index")
 
 
-#: Letters that are counted to tell lines apart before they are aligned; the others are counted together.
-COUNTED = " abcdefghijklmnopqrstuvwxyz,."
+#: Letters are counted in these groups to tell lines apart before they are aligned; all others are counted together.
+COUNTED = (" ", "ea", "it", "on", "srl", "hdcu", "mpfgwybv")
 
 
 def letter_counts(line: Column, length: Column) -> list[Column]:
-    """How often a line has each of COUNTED: an edit changes two of these (and the length) by one at most."""
+    """How many letters of each group a line has: an edit changes two of these (and the length) by one at most."""
     return [(length - F.length(F.translate(line, c, ""))).alias(f"c{k}") for k, c in enumerate(COUNTED)]
 
 
@@ -143,70 +155,82 @@ def _banded(p: Column, edits: int) -> Column:
     return state["miss"] <= edits
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Every line that is not blank: id, pos (from 0), line and two hashes that name it."""
-    return (
-        docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-        .where(F.trim("line") != "")
-        .select("id", "pos", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
-    )
+def _row_name(row: Column, docs: DataFrame) -> Column:
+    """A hash of all columns of a row (but maps, which have none): equal rows have one name."""
+    return F.xxhash64(*[row[f.name] for f in docs.schema["row"].dataType.fields if "map<" not in f.dataType.simpleString()])
 
 
-def _texts_at(base: DataFrame, places: DataFrame) -> DataFrame:
-    """h, place and line of the lines at places (id, pos, h); base (dealt, id, text) is dealt by a hash of the id and is not moved."""
-    wanted = places.groupBy(F.xxhash64("id").alias("dealt")).agg(F.collect_list(F.struct("id", "pos", "h")).alias("wanted"))
-    parts = F.struct(F.split("text", "\n").alias("lines"), F.col("wanted"))
+def _lines_at(base: DataFrame, places: DataFrame, carried: str, id_col: str, text_col: str) -> DataFrame:
+    """name, id, line and the fields of carried (pos among them) of the lines at places.
+
+    places: name and the struct carried; base (row and name) is dealt by name
+    and is not moved.
+    """
+    wanted = places.groupBy("name").agg(F.collect_list(carried).alias("wanted"))
+    row = F.col("row")
+    # the whole row is asked for by every branch, so that all read the same exchange
+    text = F.when(_row_name(row, base) == F.col("name"), row[text_col])
+    parts = F.struct(F.split(text, "\n").alias("lines"), F.col("wanted"))
 
     def taken(p: Column) -> Column:
         return F.transform(p["wanted"], lambda w: F.struct(w.alias("w"), F.get(p["lines"], w["pos"]).alias("line")))
 
-    return (
-        base.join(wanted, "dealt")
-        # transform over an array of one: the text is split once
-        .select("id", F.explode(F.element_at(F.transform(F.array(parts), taken), 1)).alias("x"))
-        # the id is asked for by every branch, so that all read the same exchange
-        .where(F.col("id").eqNullSafe(F.col("x.w.id")) & (F.xxhash64("x.line") == F.col("x.w.h")))
-        .select("x.w.h", F.struct("x.w.id", "x.w.pos").alias("place"), "x.line")
-    )
+    # transform over an array of one: the text is split once
+    found = base.join(wanted, "name").select("name", row[id_col].alias("id"), F.explode(F.element_at(F.transform(F.array(parts), taken), 1)).alias("x"))
+    return found.where("x.line is not null").select("name", "id", "x.w.*", "x.line")
 
 
-def near_lines(base: DataFrame, first: DataFrame, edits: int, min_length: int) -> DataFrame:
-    """h of those lines that an earlier line is near to; first: h, id and pos of the distinct lines, base: the texts, dealt by id."""
-    by_key = Window.partitionBy("key")
-    # a row to shuffle is two numbers: the key, and h with its last bit for "in the index"
-    name, indexed = F.col("hr").bitwiseAND(-2), F.col("hr").bitwiseAND(1)
-    shared = (
-        _texts_at(base, first)
-        .select("h", "line", F.length("line").alias("n"))
+def _place(prefix: str) -> Column:
+    """Order of the documents' lines: by id (null first), line number and the document's name."""
+    return F.struct(*[F.col(f"{prefix}{c}") for c in ("id", "pos", "name")])
+
+
+def near_lines(base: DataFrame, first: DataFrame, edits: int, min_length: int, id_col: str, text_col: str) -> DataFrame:
+    """name, pos and hash h of those of the distinct lines' first places that an earlier line is near to; first: these places, base: the rows, dealt by name.
+
+    A line that is near an earlier one goes by one such partner (half join): no
+    list of all is made. Where more than KEY_ROWS lines share a key, the lines
+    that may go are copied to blocks of their possible partners.
+    """
+    # a row to shuffle is three numbers: key, document, and line number with its last bit for "in the index"
+    keyed = (
+        _lines_at(base, first.select("name", F.struct("pos").alias("p")), "p", id_col, text_col)
+        .select("name", "pos", "line", F.length("line").alias("n"))
         .where(F.col("n") >= min_length)
-        .transform(segment_keys, edits)
-        .select("key", F.col("h").bitwiseAND(-2).bitwiseOR((F.col("role") == 3).cast("long")).alias("hr"))
-        .select("*", F.min(name).over(by_key).alias("low"), F.max(name).over(by_key).alias("high"), F.max(indexed).over(by_key).alias("index"))
-        .where("low < high and index = 1")
-        .select("key", name.alias("h2"), indexed.alias("index"))
+        .transform(segment_keys, edits, min_length)
+        .select("key", "name", (F.col("pos").cast("long") * 2 + F.col("index")).alias("at"))
     )
-    halved = first.withColumn("h2", F.col("h").bitwiseAND(-2))
-    some = halved.join(shared.select("h2").distinct(), "h2", "left_semi").select("h", "id", "pos")
-    candidates = _texts_at(base, some).withColumn("n", F.length("line"))
+    by_key = Window.partitionBy("key")
+    over = {
+        "one": F.min("name").over(by_key) < F.max("name").over(by_key),
+        "two": F.min(F.shiftright("at", 1)).over(by_key) < F.max(F.shiftright("at", 1)).over(by_key),
+        "indexed": F.max(F.col("at").bitwiseAND(1)).over(by_key) == 1,
+        "rows": F.count("*").over(by_key),
+    }
+    carried = F.struct(
+        F.shiftright("at", 1).cast("int").alias("pos"), "key", F.col("at").bitwiseAND(1).cast("int").alias("index"), F.ceil(F.col("rows") / KEY_ROWS).cast("int").alias("blocks")
+    )
+    shared = keyed.select("*", *[c.alias(n) for n, c in over.items()]).where("indexed and (one or two)").select("name", carried.alias("p"))
+    texts = _lines_at(base, shared, "p", id_col, text_col).withColumn("n", F.length("line"))
     counts = letter_counts(F.col("line"), F.col("n"))
-    columns = ["h", "line", "n", "place", *(f"c{k}" for k in range(len(counts)))]
-    texts = shared.join(candidates.select(F.col("h").bitwiseAND(-2).alias("h2"), "h", "line", "n", "place", *counts), "h2")
-    probe = texts.select("key", *[F.col(c).alias(f"p_{c}") for c in columns])
-    index = texts.where("index = 1").select("key", *[F.col(c).alias(f"x_{c}") for c in columns])
-    less = F.col("p_n") - F.col("x_n")
-    apart = [F.col(f"p_c{k}") - F.col(f"x_c{k}") for k in range(len(counts))]
+    texts = texts.select("*", *counts)
+    left = texts.select(*[F.col(c).alias(f"l_{c}") for c in texts.columns if c != "blocks"], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("l_block"))
+    right = texts.select(*[F.col(c).alias(f"r_{c}") for c in texts.columns if c != "blocks"], F.pmod(F.xxhash64("name", "pos"), F.col("blocks")).cast("int").alias("r_block"))
+    less = F.col("l_n") - F.col("r_n")
+    apart = [F.col(f"l_c{k}") - F.col(f"r_c{k}") for k in range(len(counts))]
     changed = sum((F.abs(d) for d in apart), F.abs(less - sum(apart[1:], apart[0])))
+    longer, shorter = (F.when(less >= 0, F.col(f"{a}_line")).otherwise(F.col(f"{b}_line")) for a, b in (("l", "r"), ("r", "l")))
     alike = (
-        (F.col("p_h") != F.col("x_h"))
-        & less.between(0, edits)
+        (F.col("l_key") == F.col("r_key"))
+        & (F.col("l_block") == F.col("r_block"))
+        & (F.col("l_index") + F.col("r_index") > 0)
+        & (F.abs(less) <= edits)
         & (changed <= 2 * edits)
-        & within_edits(F.col("p_line"), F.col("x_line"), edits)
+        & (_place("r_") < _place("l_"))
+        & within_edits(longer, shorter, edits)
     )
-    # half joins: a line needs one earlier line that is near, and no list of all
-    same = probe["key"] == index["key"]
-    later_probe = probe.join(index, same & (F.col("x_place") < F.col("p_place")) & alike, "left_semi").select(F.col("p_h").alias("h"))
-    later_index = index.join(probe, same & (F.col("p_place") < F.col("x_place")) & alike, "left_semi").select(F.col("x_h").alias("h"))
-    return later_probe.union(later_index).distinct()
+    gone = left.join(right, alike, "left_semi")
+    return gone.select(F.col("l_name").alias("name"), F.col("l_pos").alias("pos"), F.xxhash64("l_line").alias("h")).distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_length: int = 20) -> DataFrame:
@@ -216,45 +240,61 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the others, n_exact those gone as equal to an earlier line, n_near those gone
     as within edits edits of an earlier one (first places count; lines of under
     min_length characters go only as equal). Earlier: by id, null first, then by
-    line number. Rows with one id and equal text count as one document and keep
-    the same lines. Null text stays null, a text of which no line stays is
-    empty. Extra columns stay as they are. No rows: no rows.
+    line number, then (rows of one id) by a hash of the row. Rows that are equal
+    in all columns count as one document and keep the same lines. Null text stays
+    null, a text of which no line stays is empty. Extra columns stay as they are;
+    one named n_lines, n_exact or n_near gives way to the result's. No rows: no
+    rows.
     """
-    clash = {"n_lines", "n_exact", "n_near", "dealt"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns of docs that the result makes itself: {sorted(clash)}")
-    lines = materialise(_lines(docs, id_col, text_col).drop("line"), "lines")
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    named = named.select("row", _row_name(F.col("row"), named).alias("name"))
+    row = F.col("row")
+    lines = (
+        named.select("name", row[id_col].alias("id"), F.posexplode(F.split(row[text_col], "\n")).alias("pos", "line"))
+        .where(F.trim("line") != "")
+        # two hashes name a line
+        .select("name", "id", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
+    )
+    lines = materialise(lines, "lines")
     # null ids come first, as in any order of structs
-    first = lines.groupBy("h", "g").agg(F.min(F.struct("id", "pos")).alias("f")).select("h", "g", "f.id", "f.pos")
-    first = materialise(first, "first-lines")
-    # the texts are moved once, to their ids, and read there for keys, for candidates and for the result
-    dealt = docs.withColumn("dealt", F.xxhash64(F.col(id_col))).repartition("dealt")
-    base = dealt.select("dealt", F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    near = near_lines(base, first, edits, min_length).select(F.col("h").alias("near"))
-    marks = first.select("h", F.col("g").alias("first_g"), F.col("id").alias("first_id"), F.col("pos").alias("first_pos"))
-    marks = marks.join(near.withColumn("h", F.col("near")), "h", "left")
+    first = lines.groupBy("h", "g").agg(F.min(F.struct("id", "pos", "name")).alias("f"), F.count("*").alias("times"))
+    first = materialise(first.select("h", "g", "f.pos", "f.name", "times"), "first-lines")
+    total = first.agg(F.sum("times")).first()[0] or 0
+
+    # the texts are moved once, to their names, and read there for keys, for candidates and for the result
+    dealt = named.repartition("name")
+    near = near_lines(dealt, first, edits, min_length, id_col, text_col).select("name", "pos", "h", F.lit(False).alias("again"))
+    repeated = first.where("times > 1").select("h", "g", F.col("name").alias("first_name"), F.col("pos").alias("first_pos"), "times")
+    # fewer than COMMON lines can have so large a part of all: their occurrences are found without a shuffle
+    often = F.broadcast(repeated.where(F.col("times") > total / COMMON).drop("times"))
+    usual = lines.join(often, ["h", "g"], "left_anti").join(repeated.where(F.col("times") <= total / COMMON).drop("times"), ["h", "g"])
+    again = lines.join(often, ["h", "g"]).unionByName(usual).where("name <> first_name or pos <> first_pos")
     gone = (
-        lines.select("id", "pos", "h", "g")
-        .join(marks, "h")
-        # not as a second key: the first hash deals the marks once for both joins
-        .where(F.col("g").bitwiseXOR(F.col("first_g")) == 0)
-        .withColumn("again", ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos"))))
-        .where(F.col("again") | F.col("near").isNotNull())
-        .groupBy(F.xxhash64("id").alias("dealt"))
-        .agg(F.collect_set(F.struct(F.xxhash64("id", "pos", "h").alias("at"), "again")).alias("__gone"))
-        .select("dealt", F.transform("__gone", lambda x: x["at"]).alias("__at"), F.filter("__gone", lambda x: x["again"])["at"].alias("__again"))
+        again.select("name", "pos", "h", F.lit(True).alias("again"))
+        .union(near)
+        .groupBy("name")
+        .agg(F.collect_list(F.struct("pos", "h", "again")).alias("gone"))
     )
-    joined = dealt.join(gone, "dealt", "left").withColumn("__lines", F.split(F.col(text_col), "\n"))
-    none = F.array().cast("array<bigint>")
-
-    at = F.coalesce(F.col("__at"), none)
-    kept = F.filter("__lines", lambda x, i: ~F.array_contains(at, F.xxhash64(F.col(id_col), i, F.xxhash64(x))) | (F.trim(x) == ""))
-    full = F.coalesce(F.size(F.filter("__lines", lambda x: F.trim(x) != "")), F.lit(0))
-    text = F.when(F.col("__at").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    exact = F.coalesce(F.size("__again"), F.lit(0))
-    counts = [
-        F.when(F.col(text_col).isNull(), 0).otherwise(full).cast("long").alias("n_lines"),
-        F.when(F.col("__again").isNull(), 0).otherwise(exact).cast("long").alias("n_exact"),
-        F.when(F.col("__at").isNull(), 0).otherwise(F.size("__at") - F.size("__again")).cast("long").alias("n_near"),
-    ]
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], *counts)
+
+    def kept(p: Column) -> Column:
+        """Of (lines, gone places in order): the runs of lines between them."""
+        none = F.array().cast("array<int>")
+        ends = F.coalesce(p["gone"]["pos"], none)
+        starts = F.concat(F.array(F.lit(0)), F.transform(ends, lambda x: x + 1))
+        ends = F.concat(ends, F.array(F.size(p["lines"])))
+        runs = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda r: F.slice(p["lines"], r["a"] + 1, r["b"] - r["a"]))
+        text = F.when(p["lines"].isNotNull(), F.array_join(F.flatten(runs), "\n"))
+        full = F.size(F.filter(p["lines"], lambda x: F.trim(x) != ""))
+        exact = F.size(F.filter(p["gone"], lambda x: x["again"]))
+        counts = {"n_lines": full, "n_exact": exact, "n_near": F.size(p["gone"]) - exact}
+        return F.struct(text.alias("text"), *[F.when(p["lines"].isNull() | (c < 0), 0).otherwise(c).cast("long").alias(n) for n, c in counts.items()])
+
+    def checked(p: Column) -> Column:
+        """The gone places of the row's own lines, in order: rows of one name can differ, if hardly ever."""
+        own = F.array_sort(F.filter(p["gone"], lambda x: F.xxhash64(F.get(p["lines"], x["pos"])) == x["h"]))
+        return F.struct(p["lines"].alias("lines"), F.coalesce(own, F.array().cast("array<struct<pos:int,h:bigint,again:boolean>>")).alias("gone"))
+
+    parts = F.struct(F.split(row[text_col], "\n").alias("lines"), F.col("gone"))
+    cut = dealt.join(gone, "name", "left").select("row", F.element_at(F.transform(F.transform(F.array(parts), checked), kept), 1).alias("cut"))
+    return cut.select(*[(F.col("cut.text") if c == text_col else row[c]).alias(c) for c in columns], "cut.n_lines", "cut.n_exact", "cut.n_near")
