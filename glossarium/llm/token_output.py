@@ -1,6 +1,6 @@
 """Token ids in training order: fixed-stride binary shards for sequential, resumable reads.
 
-Documents are encoded (byte-level BPE) and cut into sequences of stride tokens,
+Documents are encoded (byte-level BPE, by tiktoken) and cut into sequences of stride tokens,
 the last one padded. A sequence's number follows from its document id and its
 place there, and a keyed Feistel permutation with cycle-walking maps the
 numbers, a bijection that any task computes alone: no shuffle buffer, no table.
@@ -23,11 +23,12 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import BlockEncoder, Merges, blocks, kept, load_ranks
+from .bpe import blocks, kept, load_ranks
 from .common import materialise, shared_dir
 
 ROUNDS = 6
@@ -79,6 +80,12 @@ class Order:
     span: int
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of a matrix as binary values."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * (rows.shape[1] * rows.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
+
+
 def sequences(docs: DataFrame, ranks_path: str, pattern: str, stride: int, end_id: int, id_col: str, text_col: str, own: Column, order: Order) -> DataFrame:
     """Sequences of at most stride ids of every row: id_col, piece, n_tokens, ids (16-bit little-endian, padded with end_id to stride), value and shard.
 
@@ -93,18 +100,21 @@ def sequences(docs: DataFrame, ranks_path: str, pattern: str, stride: int, end_i
     source = docs.select(id_col, text_col, own.cast("long").alias("__own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept((ranks_path, pattern, "<u2"), lambda: BlockEncoder(Merges.of_ranks(shared.value), pattern, "<u2"))
-        end = np.array([end_id], "<u2").tobytes()
+        encoding = kept((ranks_path, pattern, "tiktoken"), lambda: tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={}))
         for batch, texts in blocks(batches, 1, 1 << 22):
-            row, piece, count, ids = [], [], [], []
-            for i, packed in enumerate(encoder.encode(texts)):
-                packed += end
-                for k, at in enumerate(range(0, len(packed), 2 * stride)):
-                    part = packed[at : at + 2 * stride]
-                    row.append(i), piece.append(k), count.append(len(part) // 2), ids.append(part + end * (stride - len(part) // 2))
-            number = batch.column(2).to_numpy()[row] * order.per + np.array(piece, np.int64)
-            value = permute(number, order.domain, order.key)
-            columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(count, pa.int32()), pa.array(ids, pa.binary())]
+            found = [np.array(encoding.encode_ordinary(t), "<u2") for t in texts]
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) + 1
+            pieces = -(-sizes // stride)
+            starts = np.cumsum(pieces) - pieces
+            ids = np.full((int(pieces.sum()), stride), end_id, "<u2")
+            flat = ids.reshape(-1)
+            for start, own_ids in zip((starts * stride).tolist(), found):
+                flat[start : start + len(own_ids)] = own_ids
+            row = np.repeat(np.arange(len(found)), pieces)
+            piece = np.arange(len(ids)) - starts[row]
+            count = np.minimum(sizes[row] - piece * stride, stride)
+            value = permute(batch.column(2).to_numpy()[row] * order.per + piece, order.domain, order.key)
+            columns = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(count, pa.int32()), _binary(ids)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(value), pa.array(value // order.span)], [id_col, "piece", "n_tokens", "ids", "value", "shard"])
 
     kind = source.schema[id_col].dataType.simpleString()
@@ -134,10 +144,11 @@ def write_shards(
     Result: id_col (a bigint), piece, n_tokens, slot, shard, byte_offset,
     ids_crc32 (of the record as it is in the file). meta.json holds what a
     reader needs. A shard file is written under another name and then moved, so
-    a task that is run again leaves the same file. shards: as many as shuffle
-    partitions if not given. Rows of one id, and all null ids, have the same
-    numbers and follow each other in any order. Other columns are not used. No
-    rows: no shard files.
+    a task that is run again leaves the same file; what failed tasks left is
+    removed at the end. shards: as many as shuffle partitions if not given. Rows
+    of one id have the same numbers and follow each other, by piece and ids;
+    rows without id are numbered by a hash of their text. Other columns are not
+    used. No rows: no shard files.
 
     The ids are shuffled once, by shard, and written; the shards' first slots
     follow from the counts in the manifest. What is collected and broadcast is
@@ -154,11 +165,13 @@ def write_shards(
     domain = room * per
     span = -(-domain // shards)
 
-    own = F.pmod(F.xxhash64(id_col), F.lit(room)) if wide else F.coalesce(F.col(id_col) - low, F.lit(room - 1))
+    nameless = F.pmod(F.xxhash64(text_col), F.lit(room))
+    named = F.pmod(F.xxhash64(id_col), F.lit(room)) if wide else F.col(id_col) - low
+    own = F.when(F.col(id_col).isNull(), nameless).otherwise(named)
     pieces = (
         sequences(docs, ranks_path, pattern, stride, end_id, id_col, text_col, own, Order(per, domain, key, span))
         .repartition(shards, "shard")
-        .sortWithinPartitions("shard", "value", id_col, "piece")
+        .sortWithinPartitions("shard", "value", id_col, "piece", "ids")
         .select(id_col, "piece", "n_tokens", "shard", "ids")
     )
     filesystem, root = _place(out_dir)
@@ -196,6 +209,9 @@ def write_shards(
     kind = docs.schema[id_col].dataType.simpleString()
     written = pieces.mapInArrow(run, f"`{id_col}` {kind}, piece int, n_tokens int, shard bigint, byte_offset bigint, ids_crc32 bigint")
     manifest = materialise(written, "shards")
+    for left in filesystem.get_file_info(fs.FileSelector(root)):
+        if os.path.basename(left.path).startswith("_"):
+            filesystem.delete_file(left.path)
     counts = manifest.groupBy("shard").agg(F.count("*").alias("n")).orderBy("shard").collect()
     firsts, n = [], 0
     for r in counts:
