@@ -2,12 +2,15 @@
 
 Only the histogram of piece lengths (at most one row per length up to the
 capacity) comes to the driver. There the configuration LP - how often to use
-each way of filling a sequence - is solved by multiplicative weights: prices of
-lengths, a knapsack table that prices every filling at once, fillings used for
-a share of what is still to be placed, prices of what they used lowered. The
-solution is rounded down; the items left over, whose number is bounded by that
-of the fillings and not by the corpus, are placed by best fit. Tasks then place
-every piece by its rank among the pieces of its length.
+each way of filling a sequence, so that every piece is placed - is solved by
+multiplicative weights: lengths have prices (the dual), a knapsack table prices
+every filling at once, fillings are used for a share of the demand, and the
+prices of lengths ahead of their share fall. Any prices, divided by the dearest
+filling's, are a feasible dual, so each table also certifies a lower bound. The
+solution is rounded: whole uses first, then what is left of them by a running
+sum over fillings in order; the LP of what is still to be placed is solved
+anew, until nothing is left or this gains no more. Best fit places the residue.
+Tasks then place every piece by its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -28,107 +33,181 @@ Filling = tuple[tuple[int, int], ...]  # (length, times), longest first
 
 
 def price_fillings(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Knapsack by dynamic programming: the best value for each room up to capacity, and the length placed last (0: none)."""
+    """Knapsack by dynamic programming: the best value for each room up to capacity, and the length placed last (-1: none, one less room)."""
     value, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    worth = prices[lengths]
+    worth = np.full(capacity + 1, -1.0)
+    worth[lengths] = prices[lengths]
     for room in range(1, capacity + 1):
-        fit = np.searchsorted(lengths, room, side="right")
-        value[room], last[room] = value[room - 1], -1
-        if fit:
-            got = value[room - lengths[:fit]] + worth[:fit]
-            best = int(got.argmax())
-            if got[best] > value[room]:
-                value[room], last[room] = got[best], lengths[best]
+        got = value[room - 1 :: -1] + worth[1 : room + 1]
+        best = int(got.argmax())
+        if got[best] > value[room - 1]:
+            value[room], last[room] = got[best], best + 1
+        else:
+            value[room], last[room] = value[room - 1], -1
     return value, last
 
 
-def trace(last: np.ndarray, room: int) -> Counter:
-    """The filling that the table chose for a room."""
-    out: Counter = Counter()
+def trace(last: np.ndarray, room: int, demand: np.ndarray, seed: int) -> Filling:
+    """The filling that the table chose beside one piece of length seed; no length more often than demanded."""
+    out = {seed: 1}
     while room > 0:
-        if (length := int(last[room])) > 0:
-            out[length] += 1
+        length = int(last[room])
+        if length > 0 and out.get(length, 0) < demand[length]:
+            out[length] = out.get(length, 0) + 1
             room -= length
-        elif length == 0:
-            break
         else:
             room -= 1
-    return out
+    return tuple(sorted(out.items(), reverse=True))
 
 
-def solve_lp(demand: np.ndarray, capacity: int, rounds: int = 20, eta: float = 1.0, left: int = 5000) -> dict[Filling, float]:
-    """Fractional uses of fillings that place (all but about left of) the demand by length."""
-    todo = demand.astype(float)
-    # long pieces are worth a little more than their share: short ones are easier to place later
-    prices = (np.arange(capacity + 1) / capacity) ** 1.1
-    uses: dict[Filling, float] = defaultdict(float)
-    t = 0
-    while todo.sum() > (left if t >= rounds else 0):
-        lengths = np.flatnonzero(todo > 1e-9)
-        if not len(lengths):
+@dataclass(frozen=True)
+class Solution:
+    """uses: how often each filling is used; value: their sum; bound: no packing, whole or not, has fewer."""
+
+    uses: dict[Filling, float]
+    value: float
+    bound: float
+
+
+def solve_lp(demand: np.ndarray, capacity: int) -> Solution:
+    """The best of solutions from several prices to begin with, until its value can mean no sequence more than the bound.
+
+    Prices as long as the pieces suit demands with many short ones; with mostly
+    long pieces those should be worth more than their share.
+    """
+    lengths = np.flatnonzero(demand)
+    volume = np.arange(capacity + 1) / capacity
+    bound = float((demand * volume).sum() / price_fillings(volume, lengths, capacity)[0][capacity])
+    best = None
+    for power, rounds in ((1.0, 6), (1.1, 6), (1.3, 6), (1.3, 24)):
+        found = multiplicative_weights(demand, capacity, volume**power, rounds)
+        bound = max(bound, found.bound)
+        best = found if best is None or found.value < best.value else best
+        if best.value <= ceil(bound - 1e-6):
             break
-        _, last = price_fillings(prices, lengths, capacity)
-        share = 1 / max(1, rounds - t)
-        used = np.zeros(capacity + 1)
-        start = todo.copy()
+    return Solution(best.uses, best.value, bound)
+
+
+def multiplicative_weights(demand: np.ndarray, capacity: int, prices: np.ndarray, rounds: int, eta: float = 0.05) -> Solution:
+    """Fractional uses of fillings that place all of the demand by length.
+
+    In each round every length still to be placed seeds a filling, which is used
+    for the round's share of it, as far as the others in it last. From the last
+    planned round on the share is all, so that each filling uses up a length and
+    the rounds end.
+    """
+    todo, prices = demand.astype(float), prices.copy()
+    uses: dict[Filling, float] = defaultdict(float)
+    bound, t = 0.0, 0
+    while len(lengths := np.flatnonzero(todo > 1e-9)):
+        value, last = price_fillings(prices, lengths, capacity)
+        bound = max(bound, float((demand * prices)[lengths].sum() / value[capacity]))
+        share, start, used = 1 / max(1, rounds - t), todo.copy(), np.zeros(capacity + 1)
         for seed in lengths[::-1].tolist():
             if todo[seed] <= 1e-9:
                 continue
-            filling = trace(last, capacity - seed)
-            filling[seed] += 1
-            amount = min(start[seed] * share / filling[seed], *(todo[x] / n for x, n in filling.items()))
-            if amount <= 1e-9:
-                continue
-            uses[tuple(sorted(filling.items(), reverse=True))] += amount
-            for x, n in filling.items():
-                todo[x] -= amount * n
-                used[x] += amount * n
-        busy = used > 0
-        prices[busy] *= np.exp(-eta * used[busy] / np.maximum(start[busy], 1e-9) * 0.05)
+            filling = trace(last, capacity - seed, demand, seed)
+            amount = min(todo[x] / n for x, n in filling)
+            amount = min(amount, start[seed] * share / dict(filling)[seed])
+            if amount > 1e-9:
+                uses[filling] += amount
+                for x, n in filling:
+                    todo[x] -= amount * n
+                    used[x] += amount * n
+        prices[lengths] *= np.exp(-eta * (used[lengths] / start[lengths] - share))
         t += 1
-        if t > rounds + 200:
-            break
-    return uses
+    return Solution(dict(uses), sum(uses.values()), bound)
+
+
+def round_uses(uses: dict[Filling, float], demand: np.ndarray) -> tuple[Counter, np.ndarray]:
+    """Whole uses of fillings within the demand, one at least, and what of it is left."""
+    out, left, parts = Counter(), demand.copy(), []
+
+    def use(filling: Filling, wanted: int) -> int:
+        times = min(wanted, *(int(left[x]) // n for x, n in filling))
+        if times > 0:
+            out[filling] += times
+            for x, n in filling:
+                left[x] -= times * n
+        return max(0, times)
+
+    for filling, amount in uses.items():
+        parts.append((filling, amount - use(filling, int(amount + 1e-9))))
+    total = 0.0
+    for filling, part in sorted(parts, reverse=True):
+        total += part
+        if total >= 1:
+            # a filling that is no longer possible leaves its turn to the next
+            total -= use(filling, 1)
+    if not out:
+        use(max(uses, key=uses.get), 1)
+    return out, left
 
 
 def best_fit(todo: np.ndarray, capacity: int) -> Counter:
-    """Fillings for the items left: longest first, each into the sequence with the least room that is enough."""
-    free: dict[int, list[list[int]]] = defaultdict(list)
-    rooms = np.zeros(capacity + 1, np.int64)
+    """Fillings for the pieces left: longest first, each into the sequence with the least room that is enough; equal sequences are filled together."""
+    free: dict[int, Counter] = defaultdict(Counter)  # by room: what is in the sequences, and how many there are
+    rooms = np.zeros(capacity + 1, bool)
     for length in np.flatnonzero(todo)[::-1].tolist():
-        for _ in range(int(todo[length])):
+        n = int(todo[length])
+        while n:
             fit = np.flatnonzero(rooms[length:])
+            room = length + int(fit[0]) if len(fit) else capacity
             if len(fit):
-                room = length + int(fit[0])
-                items = free[room].pop()
-                rooms[room] -= 1
+                items, there = free[room].popitem()
+                rooms[room] = bool(free[room])
             else:
-                room, items = capacity, []
-            items.append(length)
-            free[room - length].append(items)
-            rooms[room - length] += 1
-    return Counter(tuple(sorted(Counter(items).items(), reverse=True)) for lists in free.values() for items in lists)
+                items, there = (), n
+            each = min(room // length, n)
+            used = min(there, n // each)
+            n -= used * each
+            if there > used and len(fit):
+                free[room][items] += there - used
+                rooms[room] = True
+            free[room - each * length][*items, (length, each)] += used
+            rooms[room - each * length] = True
+    out: Counter = Counter()
+    for fillings in free.values():
+        for items, times in fillings.items():
+            whole: Counter = Counter()
+            for length, n in items:
+                whole[length] += n
+            out[tuple(sorted(whole.items(), reverse=True))] += times
+    return out
+
 
+def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[Filling, int]], dict[str, float]]:
+    """Fillings and how often each is used, so that every piece of the histogram has its place; and figures of the way there.
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
-    """Fillings and how often each is used, so that every piece of the histogram has its place."""
+    Of the passes of LP and rounding the result is the last that, with best fit
+    for what it left, needs fewest sequences; a worse pass ends the search. If
+    that is not certified to be least, best fit for all is tried, too.
+    """
     demand = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         demand[length] = n
-    result: Counter = Counter()
-    if demand[capacity]:
-        result[(capacity, 1),] = int(demand[capacity])
+    placed: Counter = Counter()
+    if full := int(demand[capacity]):
+        placed[(capacity, 1),] = full
         demand[capacity] = 0
-    if demand.any():
-        for filling, amount in solve_lp(demand, capacity).items():
-            times = int(amount + 1e-9)
-            times = min([times, *(int(demand[x]) // n for x, n in filling)])
-            if times:
-                result[filling] += times
-                for x, n in filling:
-                    demand[x] -= times * n
-        result.update(best_fit(demand, capacity))
-    return sorted(result.items(), reverse=True)
+    figures = {"lp": float(full), "bound": float(full), "residue": 0}
+    best, left, passes, alone = placed, demand, 0, placed
+    while left.any():
+        found = solve_lp(left, capacity)
+        if not passes:
+            figures |= {"lp": full + found.value, "bound": full + found.bound}
+        whole, left = round_uses(found.uses, left)
+        placed = placed + whole
+        now = placed + best_fit(left, capacity)
+        passes += 1
+        if passes > 1 and now.total() > best.total():
+            break
+        best, figures["residue"] = now, int(left.sum())
+    if best.total() > ceil(figures["bound"] - 1e-6):
+        fit = alone + best_fit(demand, capacity)
+        if fit.total() < best.total():
+            best, figures["residue"] = fit, int(demand.sum())
+    return sorted(best.items(), reverse=True), figures | {"bins": best.total(), "passes": passes}
 
 
 def tokenised_pieces(
@@ -178,7 +257,7 @@ def place(pieces: DataFrame, capacity: int = 2048, id_col: str = "doc_id", salts
     """
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     entries, base = [], 0
-    for filling, times in plan(histogram, capacity):
+    for filling, times in plan(histogram, capacity)[0]:
         offset = 0
         for length, n in filling:
             entries.append((length, n, offset, base, times))

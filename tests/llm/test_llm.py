@@ -157,7 +157,9 @@ def test_plan():
     rng = random.Random(2)
     for n in (1, 10, 3000):
         lengths = [rng.randint(1, 100) for _ in range(n)]
-        found = packing.plan(dict(Counter(lengths)), 100)
+        found, figures = packing.plan(dict(Counter(lengths)), 100)
+        print(figures)
+        assert figures["bound"] <= figures["lp"] <= figures["bound"] * 1.05 + 1 and figures["bins"] >= figures["bound"] - 1e-6
         used = Counter()
         for filling, times in found:
             assert sum(x * k for x, k in filling) <= 100
@@ -165,7 +167,33 @@ def test_plan():
                 used[x] += k * times
         assert used == Counter(lengths)
         assert sum(t for _, t in found) <= brute_bins(lengths, 100) + 1
-    assert packing.plan({}, 100) == []
+        assert figures["bins"] == sum(t for _, t in found)
+        lengths = [min(100, int(rng.lognormvariate(2.5, 0.8)) + 1) for _ in range(n)]
+        figures = packing.plan(dict(Counter(lengths)), 100)[1]
+        print(figures)
+        assert figures["bins"] == -(-sum(lengths) // 100) or n < 100
+        assert figures["lp"] - figures["bound"] < 1 and figures["residue"] <= max(30, n // 10)
+    assert packing.plan({}, 100)[0] == []
+
+
+def test_bound_is_a_bound():
+    # three of 34 never fit into 100: half of them are needed, though their sum is about a third
+    found, figures = packing.plan({34: 60, 33: 3}, 100)
+    assert figures["bins"] == 31 and 30 <= figures["bound"] <= figures["lp"] <= 31
+
+
+def test_fillings_of_the_knapsack():
+    rng = random.Random(5)
+    for _ in range(20):
+        prices = np.array([rng.random() for _ in range(31)])
+        lengths = np.array(sorted(rng.sample(range(1, 31), 6)))
+        value, last = packing.price_fillings(prices, lengths, 30)
+        best = [0.0] * 31
+        for room in range(1, 31):
+            best[room] = max([best[room - 1], *(best[room - x] + prices[x] for x in lengths.tolist() if x <= room)])
+        assert np.allclose(value, best)
+        filling = packing.trace(last, 30, np.full(31, 99), 1)
+        assert abs(sum(prices[x] * n for x, n in filling) - prices[1] - best[30]) < 1e-9
 
 
 def test_packing(docs, empty):
@@ -472,6 +500,48 @@ def test_comments_as_articles_do_not_hide_main():
     assert html_text.page_blocks("<script>var a = '<p>'; never closed<p>x") == []
 
 
+def test_names_of_furniture():
+    named = html_text._named
+    assert [named(x) for x in ("ad", "site-header", "commentList", "reader_comments x", "nav2", "ad-slot-3")] == [html_text.FURNITURE] * 6
+    assert [named(x) for x in ("menu-history", "form-of-government", "ad-astra y")] == [html_text.SUSPECT] * 3
+    assert [named(x) for x in ("", "story", "adage", "headline", "sharecropping")] == [html_text.MAIN] * 5
+
+
+def test_nested_pages():
+    zones = lambda html: [(z, t) for z, t in html_text.page_blocks(html) if z != html_text.FURNITURE]
+    main, suspect = html_text.MAIN, html_text.SUSPECT
+    assert zones('<main><h1>T</h1><p>no</p><article><p>a</p><h2>b</h2></article><h2>More</h2></main>') == [(main, "T"), (main, "a"), (main, "b")]
+    assert zones('<main><header><h1>T</h1></header><article>a</article></main><header><h1>Site</h1></header>') == [(main, "T"), (main, "a")]
+    assert zones('<main><h1>T</h1><p>text</p><article class="comment"><h3>c</h3>nice</article></main>') == [(main, "T"), (main, "text")]
+    assert zones('<article><section class="menu-history"><h2>Menus</h2><p>of old</p></section><p>x</p></article>') == [(suspect, "Menus"), (suspect, "of old"), (main, "x")]
+    assert zones('<article><dialog>no</dialog><dialog open>maybe</dialog><div><div class="sidebar-left"><p>no</p></div><p>a<math><mi>x</mi></math></p></div></article>') == [(suspect, "maybe"), (main, "ax")]
+    assert zones('<article><p>a<div class="ad">no</div>b<nav><ul><li>no<li>no</ul></nav><table><tr><td>c<td>d</table></article><aside>no</aside>') == [(main, "a"), (main, "b"), (main, "c d")]
+
+
+def test_suspects_go_if_they_repeat(spark):
+    box = "<div class='share-the-word'><p>tell all of your friends about this page and about the others</p></div>"
+    own = lambda i: " ".join(f"menu{i}x{k}" for k in range(12))
+    page = lambda i: f"<article><p>Story {i}</p>{box}<section class='menu-history'><p>{own(i)}</p></section></article>"
+    rows = [(i, "http://a.org", page(i)) for i in range(6)]
+    texts = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert texts == {i: f"Story {i}\n{own(i)}" for i in range(6)}
+
+
+def test_repeats_are_those_of_brute_force(spark):
+    rng, depth = random.Random(33), 4
+    streams = {(h, p): [rng.randint(0, 3) for _ in range(rng.randint(0, 60))] for h in ("a", "b") for p in range(8)}
+    rows = [(h, 10 * p + (h == "b"), bytearray(np.array(s, ">u4").tobytes())) for (h, p), s in streams.items()]
+    rows += rows[:5]  # copies are no evidence
+    found = html_text.repeated_suffixes(spark.createDataFrame(rows, "__host string, __page long, __stream binary"), depth, share=0.5)
+    expected = set()
+    for host in ("a", "b"):
+        own = {p: s for (h, p), s in streams.items() if h == host and s}
+        where = Counter(w for s in own.values() for w in {tuple(s[i : i + depth]) for i in range(len(s) - depth + 1)})
+        need = max(3, -(-len(own) // 2))
+        expected |= {(10 * p + (host == "b"), i) for p, s in own.items() for i in range(len(s) - depth + 1) if where[tuple(s[i : i + depth])] >= need}
+    assert {tuple(r) for r in found.collect()} == expected and expected
+
+
 def test_extraction(spark):
     menu = "<div><p>Home About us Contact the team and more Terms</p></div>"
     page = lambda i: f"{menu}<p>Unique story {i} about thing {i * 7} is told here</p><p>Copyright 2020 all rights reserved by the owners of the site</p>"
