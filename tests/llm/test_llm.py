@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from glossarium.llm import bpe, classifier, html_text, line_dedup, media, packing, quality_rules, sharding, simhash, token_output
+from glossarium.llm import bpe, classifier, html_text, line_dedup, media, packing, quality_rules, sharding, shingle_sets, simhash, token_output
 from glossarium.llm.components import components
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -409,6 +409,22 @@ def test_links_are_those_of_brute_force(spark):
     assert kept == {find(i) for i in range(len(texts))}
 
 
+def test_prefix_pairs_miss_none(spark):
+    rng = random.Random(8)
+    sets = []
+    for _ in range(60):
+        base = rng.sample(range(400), rng.randint(1, 40))
+        sets += [set(base), *(set(base) - set(rng.sample(base, len(base) // 8)) | set(rng.sample(range(400), rng.randint(0, 4))) for _ in range(3))]
+    # one pattern of which every text has a quarter of its own
+    sets += [set(range(1000, 1045)) | {2000 + 20 * i + k for k in range(15)} for i in range(50)]
+    nodes = spark.createDataFrame([(i, len(x), i % 7) for i, x in enumerate(sets)], "key long, size int, class long")
+    table = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "key long, set array<long>")
+    found = [tuple(sorted(r)) for r in shingle_sets.prefix_pairs(nodes, table, 0.8).collect()]
+    alike = {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if i % 7 != j % 7 and len(x & y) >= 0.8 * len(x | y)}
+    assert alike <= set(found) and len(alike) > 20 and len(found) == len(set(found))
+    assert not any(i >= 240 for i, _ in found)
+
+
 def test_links_beyond_radius_are_refused(spark):
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([(1, 2)], "__fp long, __fp1 long"), 7, 40)
