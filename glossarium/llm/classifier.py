@@ -25,6 +25,8 @@ from .bpe import blocks
 
 SHAPES, GRAMS, SHARES = 8**4, 1 << 12, 16
 WIDTH = SHAPES + GRAMS + SHARES
+#: Rows that are weighted at a time.
+ROWS = 256
 #: Damped counts are kept as bytes: this many steps to each power of e.
 STEPS = 20
 
@@ -73,8 +75,19 @@ class Voters:
             part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)
         return x
 
+    def times(self, damped: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """weighted(damped) @ right, of which only ROWS rows are weighted at a time."""
+        return np.concatenate([self.weighted(damped[i : i + ROWS]) @ right for i in range(0, len(damped), ROWS)])
+
+    def turned_times(self, damped: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """weighted(damped).T @ right, in the same way."""
+        out = np.zeros((WIDTH, right.shape[1]), np.float32)
+        for i in range(0, len(damped), ROWS):
+            out += self.weighted(damped[i : i + ROWS]).T @ right[i : i + ROWS]
+        return out
+
     def latent(self, damped: np.ndarray) -> np.ndarray:
-        z = self.weighted(damped) @ self.axes
+        z = self.times(damped, self.axes)
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def score(self, damped: np.ndarray) -> np.ndarray:
@@ -97,12 +110,12 @@ def fit(damped: np.ndarray, labels: np.ndarray, prior: float, rank: int, neighbo
     model = Voters(idf, np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), labels.astype(float), prior, neighbours, sharpness)
     if not len(damped):
         return model
-    x = model.weighted(damped)
-    rank = min(rank, len(x))
-    basis = x.T @ np.random.default_rng(0).standard_normal((len(x), min(len(x), rank + 16))).astype(np.float32)
+    n = len(damped)
+    rank = min(rank, n)
+    basis = model.turned_times(damped, np.random.default_rng(0).standard_normal((n, min(n, rank + 16))).astype(np.float32))
     for _ in range(4):
-        basis = np.linalg.qr(x.T @ (x @ np.linalg.qr(basis)[0]))[0]
-    _, _, turned = np.linalg.svd(x @ basis, full_matrices=False)
+        basis = np.linalg.qr(model.turned_times(damped, model.times(damped, np.linalg.qr(basis)[0])))[0]
+    _, _, turned = np.linalg.svd(model.times(damped, basis), full_matrices=False)
     model.axes = np.ascontiguousarray((basis @ turned[:rank].T).astype(np.float32))
     model.vectors = model.latent(damped)
     return model
@@ -165,11 +178,10 @@ def score_documents(
     rows of 8 KB). The score uses the text alone. Null, empty or very short
     text (no 3 bytes): the share of label 1 in labels. No labels: 0.5. Repeated
     rows: one result each. No rows: no rows. Result: id_col, score, predicted,
-    or with keep=True all columns of docs and these two.
+    or with keep=True all columns of docs (but for old ones of the same names)
+    and these two.
     """
-    clash = {"score", "predicted"} & set(docs.columns if keep else [id_col])
-    if clash:
-        raise ValueError(f"columns of docs that the result makes itself: {sorted(clash)}")
+    docs = docs.drop("score", "predicted")
     model = fit(*labelled_sample(docs if examples is None else examples, labels, id_col, text_col, label_col, per_label), rank, neighbours, sharpness)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs if keep else docs.select(*dict.fromkeys([id_col, text_col]))

@@ -185,17 +185,16 @@ def rate_documents(
     root of n_words. A text under min_words gets no distance verdict (it is
     base_failed). Null or empty text: no words, base_failed. Null language: a
     language of its own. Repeated rows: one result each. No rows: no rows.
+    Columns of docs that are named like one of the result's give way to it.
     """
     spark = docs.sparkSession
+    added = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, class_distance double, word_distance double, kept boolean"
+    docs = docs.drop(*(x.split()[0] for x in added.split(", ")))
     shared = spark.sparkContext.broadcast(references(docs, lang_col, text_col, common))
     source = docs if keep else docs.select(*dict.fromkeys([id_col, text_col, lang_col]))
     names = source.columns
     text_at, lang_at = names.index(text_col), names.index(lang_col)
     first = source.schema if keep else docs.select(id_col).schema
-    added = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, class_distance double, word_distance double, kept boolean"
-    clash = [c for c in first.names if c in {x.split()[0] for x in added.split(", ")}]
-    if clash:
-        raise ValueError(f"columns of docs that the result makes itself: {clash}")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in first), added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

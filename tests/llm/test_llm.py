@@ -409,6 +409,16 @@ def test_links_are_those_of_brute_force(spark):
     assert kept == {find(i) for i in range(len(texts))}
 
 
+def test_clashing_names(docs):
+    odd = docs.withColumns({"score": F.lit("x"), "kept": F.lit(1), "n_words": F.lit(None), "n_lines": F.lit(2), "row": F.lit(3), "name": F.lit(4)})
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    assert dict(classifier.score_documents(odd, labels, keep=True).dtypes)["score"] == "double"
+    rated = quality_rules.rate_documents(odd, keep=True)
+    assert dict(rated.dtypes)["kept"] == "boolean" and rated.columns.count("n_words") == 1 and rated.count() == docs.count()
+    cut = line_dedup.dedup_lines(odd)
+    assert dict(cut.dtypes)["n_lines"] == "bigint" and {r["row"] for r in cut.collect()} == {3} and cut.columns.count("name") == 1
+
+
 def test_prefix_pairs_miss_none(spark):
     rng = random.Random(8)
     sets = []
