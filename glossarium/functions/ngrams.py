@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +15,21 @@ def segments(text: Column) -> Column:
     return F.when(text.contains(" "), F.split(F.trim(text), r"\s+")).otherwise(F.filter(F.split(text, ""), lambda x: x != ""))
 
 
+def bound(array: Column, use: Callable[[Column], Column]) -> Column:
+    """use(array), with the array computed once, however often use and its lambdas ask for it."""
+    return F.element_at(F.transform(F.array(array), use), 1)
+
+
 def _windows(array: Column, size: int) -> Column:
     """All runs of size neighbours; none if the array is shorter."""
-    last = F.size(array) - size + 1
-    return F.when(last < 1, F.array().cast("array<array<string>>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.slice(array, i, size))
-    )
+
+    def runs(whole: Column) -> Column:
+        last = F.size(whole) - size + 1
+        return F.when(last < 1, F.array().cast("array<array<string>>")).otherwise(
+            F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.slice(whole, i, size))
+        )
+
+    return bound(array, runs)
 
 
 def ngrams(array: Column, order: int, pad: str | None = PAD) -> Column:
@@ -71,14 +82,18 @@ def posngrams(array: Column, pre: int = 0, post: int = 0, pad: str = PAD, state:
     """(context, state, index) for each segment: its neighbours, the state's mark at its own place, the segment, its place from 0."""
     before = F.array(*[F.lit(pad)] * pre).cast("array<string>")
     after = F.array(*[F.lit(pad)] * post).cast("array<string>")
-    padded = F.concat(before, array, after)
 
-    def at(x: Column, i: Column) -> Column:
-        left = F.slice(padded, i + 1, pre) if pre else before
-        right = F.slice(padded, i + pre + 2, post) if post else after
-        return F.struct(F.concat(left, F.array(F.lit(state)), right).alias("context"), x.alias("state"), i.cast("int").alias("index"))
+    def found(padded: Column) -> Column:
+        def at(i: Column) -> Column:
+            left = F.slice(padded, i + 1, pre) if pre else before
+            right = F.slice(padded, i + pre + 2, post) if post else after
+            return F.struct(F.concat(left, F.array(F.lit(state)), right).alias("context"), F.get(padded, i + pre).alias("state"), i.cast("int").alias("index"))
+
+        n = F.size(padded) - pre - post
+        places = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, at)
 
-    return F.transform(array, at)
+    return bound(F.concat(before, array, after), found)
 
 
 def inner_ngrams(array: Column) -> Column:

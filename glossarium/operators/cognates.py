@@ -18,6 +18,7 @@ from ..functions import align as al
 from ..functions import sounds
 from ..functions.clusters import flat_cluster, order_labels
 from ..functions.ngrams import segments
+from .graphs import components
 from .table import word_pairs
 
 Distance = Callable[[list[str], list[str]], float]
@@ -50,20 +51,19 @@ def form_distances(pairs: DataFrame, method: str | Distance = "sca", a: str = "e
     """a, b and distance of every distinct pair of forms; forms that cannot be compared have distance 1."""
     distance = DISTANCES[method] if isinstance(method, str) else method
 
-    @F.pandas_udf("double")
-    def measure(left: pd.Series, right: pd.Series) -> pd.Series:
-        split: dict[str, list[str]] = {}
-        out = []
-        for x, y in zip(left, right):
-            try:
-                p, q = (split.setdefault(w, _segmented(w)) for w in (x, y))
-                out.append(distance(p, q))
-            except (ValueError, ZeroDivisionError):
-                out.append(1.0)
-        return pd.Series(out)
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            split = {w: _segmented(w) for w in {*rows[a], *rows[b]}}
+            # empty forms cannot be compared
+            found = [distance(split[x], split[y]) if split[x] and split[y] else 1.0 for x, y in zip(rows[a], rows[b])]
+            yield rows.assign(distance=np.array(found, float))
 
-    # equal pairs are measured once, spread over the tasks by both forms
-    return pairs.select(a, b).distinct().withColumn("distance", measure(F.col(a), F.col(b)))
+    return _spread(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)).mapInPandas(measure, f"`{a}` string, `{b}` string, distance double")
+
+
+def _spread(pairs: DataFrame) -> DataFrame:
+    """The distinct pairs, over as many tasks as the cluster runs at once: few short rows would else be put into one task."""
+    return pairs.distinct().repartition(max(pairs.sparkSession.sparkContext.defaultParallelism, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def doculect_distances(df: DataFrame, method: str | Distance = "sca") -> DataFrame:
@@ -75,18 +75,20 @@ def doculect_distances(df: DataFrame, method: str | Distance = "sca") -> DataFra
 def correspondences(df: DataFrame, threshold: float = 0.7, mode: str = "overlap", gop: float = -2.0) -> DataFrame:
     """How often segments x of doculect a and y of b meet in alignments of word pairs within threshold ('-' is a gap): a, b, x, y, n."""
 
-    @F.pandas_udf("struct<x:array<string>,y:array<string>,distance:double>")
-    def aligned(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p, q in zip(left, right):
-            x, y = _segmented(p), _segmented(q)
-            rows.append((*al.align_pair(x, y, None, gop / 2, 0.5, mode)[:2], edit_distance(x, y)))
-        return pd.DataFrame(rows, columns=["x", "y", "distance"])
+    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for p, q in zip(rows.entry_a, rows.entry_b):
+                x, y = _segmented(p), _segmented(q)
+                if edit_distance(x, y) <= threshold:
+                    out.append((p, q, *al.align_pair(x, y, None, gop / 2, 0.5, mode)[:2]))
+            yield pd.DataFrame(out, columns=["entry_a", "entry_b", "x", "y"])
 
     pairs = word_pairs(df)
-    kept = pairs.select("entry_a", "entry_b").distinct().withColumn("r", aligned("entry_a", "entry_b")).where(F.col("r.distance") <= threshold)
-    columns = pairs.join(kept, ["entry_a", "entry_b"]).select("a", "b", F.explode(F.arrays_zip(F.col("r.x").alias("x"), F.col("r.y").alias("y"))).alias("c"))
-    return columns.groupBy("a", "b", F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg(F.count("*").alias("n"))
+    kept = _spread(pairs.select("entry_a", "entry_b")).mapInPandas(aligned, "entry_a string, entry_b string, x array<string>, y array<string>")
+    counted = pairs.groupBy("a", "b", "entry_a", "entry_b").agg(F.count("*").alias("times"))
+    columns = counted.join(kept, ["entry_a", "entry_b"]).select("a", "b", "times", F.explode(F.arrays_zip("x", "y")).alias("c"))
+    return columns.groupBy("a", "b", F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg(F.sum("times").alias("n"))
 
 
 def expected_correspondences(attested: DataFrame) -> DataFrame:
@@ -149,22 +151,18 @@ def cluster(df: DataFrame, method: str | Distance = "sca", linkage: str = "upgma
 def single_linkage(df: DataFrame, distance: Callable[[Column, Column], Column], threshold: float, name: str = "clusterid") -> DataFrame:
     """df with single-linkage clusters by a native distance: the connected forms of each concept, named by the least form.
 
-    Works by passing on least names over the near pairs until nothing changes;
-    the rounds are bounded by the longest path between near forms.
+    A distance is worked out once for two forms, whatever concepts share them,
+    and a concept's forms are never gathered in one task.
     """
     forms = df.select("concept", "form").distinct()
     a, b = forms.withColumnRenamed("form", "x"), forms.withColumnRenamed("form", "y")
-    near = a.join(b, "concept").where((F.col("x") != F.col("y")) & (distance(segments_of("x"), segments_of("y")) <= threshold)).select("concept", "x", "y").persist()
-    labels = forms.select("concept", F.col("form").alias("x"), F.col("form").alias("label"))
-    while True:
-        passed = near.join(labels.select("concept", F.col("x").alias("y"), F.col("label").alias("other")), ["concept", "y"]).groupBy("concept", "x").agg(F.min("other").alias("other"))
-        new = labels.join(passed, ["concept", "x"], "left").select("concept", "x", F.least("label", F.coalesce("other", "label")).alias("new"), "label")
-        new = new.persist()
-        changed = new.where("new < label").count()
-        labels = new.select("concept", "x", F.col("new").alias("label"))
-        if not changed:
-            break
-    return df.join(labels.withColumnRenamed("x", "form"), ["concept", "form"]).select(*df.columns, F.concat_ws(":", "concept", "label").alias(name))
+    pairs = a.join(b, "concept").where("x < y")
+    near = pairs.select("x", "y").distinct().where(distance(segments_of("x"), segments_of("y")) <= threshold)
+    node = lambda c: F.struct("concept", F.col(c).alias("form"))
+    found = components(pairs.join(near, ["x", "y"]).select(node("x").alias("a"), node("y").alias("b")), "a", "b")
+    labels = found.select("node.concept", "node.form", F.col("root.form").alias("label"))
+    named = F.concat_ws(":", "concept", F.coalesce("label", "form")).alias(name)
+    return df.join(labels, ["concept", "form"], "left").select(*df.columns, named)
 
 
 def segments_of(column: str) -> Column:

@@ -11,12 +11,12 @@ from ..operators.table import number_rows
 def wordlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, doculect, concept, form, cogid: words are parts, doculects the nations that supply them.
 
-    Doculect and concept are dimension-sized, the forms grow with the data. The
-    filters and the five columns that are read reach the parquet scans.
+    Doculect and concept are dimension-sized, the words grow with the data. All
+    lines and parts count; only the columns that are needed are read.
     """
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    lines = read("lineitem").where("l_quantity >= 49").select("l_partkey", "l_suppkey").distinct()
-    parts = read("part").where("p_size <= 25").select("p_partkey", "p_brand", "p_name", "p_type")
+    lines = read("lineitem").select("l_partkey", "l_suppkey").distinct()
+    parts = read("part").select("p_partkey", "p_brand", "p_name", "p_type")
     suppliers = read("supplier").select("s_suppkey", "s_nationkey")
     nations = read("nation").select("n_nationkey", "n_name")
     rows = (
@@ -37,6 +37,5 @@ wl AS (
     SELECT DISTINCT n_name AS doculect, p_brand AS concept, p_name AS form, p_type AS cogid
     FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
     JOIN part ON l_partkey = p_partkey
-    WHERE l_quantity >= 49 AND p_size <= 25
   )
 )"""

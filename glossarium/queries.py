@@ -192,12 +192,16 @@ def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.slots(wordlist(spark, sf_dir)).select("id", "doculect", "concept", F.col("slot").cast("long").alias("slot"))
 
 
-@query("""  , s AS (SELECT *, row_number() OVER (PARTITION BY concept, doculect ORDER BY id) AS slot FROM wl)
-SELECT concept, slot, min(form) FILTER (WHERE doculect = 'FRANCE') AS "FRANCE", min(form) FILTER (WHERE doculect = 'GERMANY') AS "GERMANY",
-  min(form) FILTER (WHERE doculect = 'JAPAN') AS "JAPAN" FROM s GROUP BY ALL""")
+#: The nations of the driver's tables, which are the doculects.
+NATIONS = [f"NATION_{k}" for k in range(25)]
+_COLUMNS_SQL = ", ".join(f"""min(form) FILTER (WHERE doculect = '{n}') AS "{n}\"""" for n in NATIONS)
+
+
+@query(f"""  , s AS (SELECT *, row_number() OVER (PARTITION BY concept, doculect ORDER BY id) AS slot FROM wl)
+SELECT concept, slot, {_COLUMNS_SQL} FROM s GROUP BY ALL""")
 def pivot_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     matrix = tb.pivot_entries(wordlist(spark, sf_dir), "form")
-    return matrix.select("concept", F.col("slot").cast("long").alias("slot"), *[F.col(c) if c in matrix.columns else F.lit(None).cast("string").alias(c) for c in ("FRANCE", "GERMANY", "JAPAN")])
+    return matrix.select("concept", F.col("slot").cast("long").alias("slot"), *[F.col(f"`{c}`") if c in matrix.columns else F.lit(None).cast("string").alias(c) for c in NATIONS])
 
 
 @query("""  SELECT concept, row_number() OVER (PARTITION BY concept, doculect ORDER BY id) AS slot, doculect, form FROM wl""")
@@ -462,11 +466,12 @@ def log_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cg.log_odds(attested, cg.expected_correspondences(attested)).withColumn("score", F.round("score", 9))
 
 
-@query("""  , f AS (SELECT concept, form, doculect, min(id) AS id FROM wl GROUP BY ALL) SELECT id, concept, string_split(form, ' ')[1] AS first FROM f""")
+@query("""  SELECT id, concept, string_split(form, ' ')[1] AS first, len(string_split(form, ' ')) AS parts FROM wl""")
 def partial_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = wordlist(spark, sf_dir).groupBy("concept", "form", "doculect").agg(F.min("id").alias("id"))
+    words = wordlist(spark, sf_dir)
     parts = cg.partial_slices(words.withColumn("segments", F.split(F.replace("form", F.lit(" "), F.lit(" + ")), " ")))
-    return parts.where("part = 0").select("id", "concept", F.array_join("morpheme", " ").alias("first"))
+    first = F.min(F.when(F.col("part") == 0, F.array_join("morpheme", " "))).alias("first")
+    return parts.groupBy("id", "concept").agg(first, F.count("*").alias("parts"))
 
 
 @query("""  SELECT id, concept, unnest(range(0, len(p))) AS part, unnest(p) AS morpheme FROM (SELECT id, concept, string_split(form, ' ') AS p FROM wl)""")
