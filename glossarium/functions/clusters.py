@@ -78,7 +78,7 @@ def flat_cluster(d: np.ndarray, threshold: float, method: str = "upgma") -> list
 
 
 def markov_clusters(d: np.ndarray, threshold: float, inflation: float = 2.0, steps: int = 1000) -> list[int]:
-    """Markov clustering of the graph of distances within threshold, edges weighted by -log2 of the squared distance's complement, with loops."""
+    """Markov clustering of the graph of distances within threshold, edges weighted by -log2 of the squared distance, with loops."""
     d = np.asarray(d, float)
     with np.errstate(divide="ignore"):
         near = np.where(d <= threshold, -np.log2(np.clip(d, 1e-6, None) ** 2), 0.0)

@@ -34,6 +34,12 @@ def uniform(df: DataFrame, unseen: float = 0.0) -> DataFrame:
     return _with(df, (1 - F.lit(unseen)) / _kinds(), F.lit(unseen))
 
 
+def random(df: DataFrame, seed: int = 0, unseen: float = 0.0) -> DataFrame:
+    """Shares drawn anew for every state of a context, whatever its count; a seed gives the same shares again."""
+    draw = (F.pmod(F.xxhash64(F.lit(seed), "context", "state"), F.lit(2**53)) + 1) / F.lit(float(2**53))
+    return _with(df, draw / F.sum(draw).over(Window.partitionBy("context")) * (1 - F.lit(unseen)), F.lit(unseen))
+
+
 def mle(df: DataFrame, unseen: float = 0.0) -> DataFrame:
     """Relative frequency, less the mass kept for unseen states."""
     return _with(df, F.col("n") / _total() * (1 - F.lit(unseen)), F.lit(unseen))
@@ -100,6 +106,7 @@ def simple_good_turing(df: DataFrame, unseen: float = 0.0, confidence: float = 0
 
 METHODS: dict[str, Callable[..., DataFrame]] = {
     "uniform": uniform,
+    "random": random,
     "mle": mle,
     "lidstone": lidstone,
     "laplace": laplace,

@@ -8,11 +8,12 @@ row of the matrix as the state, so they stay inside the JVM.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .ngrams import PAD, ngrams
+from .ngrams import ngrams
 
 Cell = Callable[[Column, Column, Column, Column, Column, Column, Column], Column]
 
@@ -106,13 +107,54 @@ def lcs(a: Column, b: Column, normalized: bool = True) -> Column:
     return 1 - _share(s, longer) if normalized else longer - s
 
 
-def gram_distance(a: Column, b: Column, order: int, normalized: bool = True) -> Column:
-    """Edit distance over the padded n-grams of two sequences (orders 2 and 3: bigram and trigram distance)."""
-    x, y = (F.transform(ngrams(s, order, PAD), lambda g: F.array_join(g, " ")) for s in (a, b))
-    d = edit_distance(x, y)
+def _common(x: Column, y: Column, order: int, version: str) -> Column:
+    """How much two n-grams have in common, from 0 to 1: equal or not (binary), elements of x that y has anywhere (comprehensive), places at which they agree (positional)."""
+    if version == "binary":
+        return (x == y).cast("double")
+    if version == "comprehensive":
+        return F.size(F.filter(x, lambda e: F.array_contains(y, e))) / F.lit(float(order))
+    return sum(((F.get(x, k) == F.get(y, k)).cast("double") for k in range(order)), F.lit(0.0)) / order
+
+
+def gram_distance(a: Column, b: Column, order: int, version: str = "binary", normalized: bool = True) -> Column:
+    """Edit distance over the n-grams of two sequences padded with '-', a substitution by what two n-grams do not share.
+
+    The binary version takes all n-grams, the others leave out the last one of
+    each sequence.
+    """
+    x, y = (ngrams(s, order, "-") for s in (a, b))
+    if version != "binary":
+        x, y = (F.slice(s, 1, F.size(s) - 1) for s in (x, y))
+    d = edit_distance(x, y, lambda p, q: 1 - _common(p, q, order, version))
     return _share(d, F.greatest(F.size(x), F.size(y))) if normalized else d
 
 
+def gram_similarity(a: Column, b: Column, order: int, version: str = "binary", normalized: bool = True) -> Column:
+    """Best alignment of the n-grams that begin at or before an element of their own, by what they share, taken from the longer sequence (Kondrak, 2005)."""
+    x, y = (F.slice(ngrams(s, order, "-"), 1, F.size(s)) for s in (a, b))
+    cell = lambda left, above, corner, p, q, i, j: F.greatest(left, above, corner + _common(p, q, order, version))
+    s, longer = _last(fold_matrix(x, y, lambda k: F.lit(0), cell)), _longer(a, b)
+    return 1 - _share(s, longer) if normalized else longer - s
+
+
+def jcdn(a: Column, b: Column, normalized: bool = True) -> Column:
+    """Jaccard distance over n-grams up to three, padded with '-'.
+
+    The grams of b are those at the place where the last ones of a begin, as
+    often as b has places; totals are those of neighbours without pads. So
+    results are what users of this measure know, not a metric.
+    """
+    pads = F.array(*[F.lit("-")] * 2)
+    x, y = F.concat(pads, a, pads), F.concat(pads, b, pads)
+    gram = lambda s, i, k: F.array_join(F.slice(s, i, k), ",")
+    own = F.flatten(F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda i: F.array(*[gram(x, i, F.lit(k)) for k in (1, 2, 3)])))
+    other = F.flatten(F.array_repeat(F.array(*[gram(y, F.size(x) - 1, F.lit(k)) for k in (1, 2, 3)]), F.size(y) - 1))
+    common = overlap(own, other)
+    total = F.size(a) + F.size(b) - 2 - common
+    value = 1 - common / total if normalized else (total - common).cast("double")
+    return F.when(total == 0, 0.0).otherwise(value)
+
+
 def _pairs(array: Column, skip: int = 1) -> Column:
     n = F.size(array) - skip
     some = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat_ws(",", F.get(array, i - 1), F.get(array, i - 1 + skip)))
@@ -213,4 +255,11 @@ METRICS: dict[str, Callable[..., Column]] = {
     "xdice": xdice,
     "trigram": trigram,
     "xxdice": xxdice,
+    "jcdn": jcdn,
+    **{
+        f"{prefix}{kind}{k}": partial(function, order=order, version=version)
+        for order, prefix in ((2, "bi"), (3, "tri"))
+        for kind, function in (("dist", gram_distance), ("sim", gram_similarity))
+        for k, version in enumerate(("binary", "comprehensive", "positional"), 1)
+    },
 }

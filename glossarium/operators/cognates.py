@@ -30,8 +30,7 @@ def sca_distance(a: list[str], b: list[str], mode: str = "overlap", gop: float =
     pa, pb = sounds.prosody(a), sounds.prosody(b)
     vowel = lambda x: x in ("V", "1")
     scorer = lambda x, y: (5.0 if vowel(x) else 10.0) if x == y else -5.0 if vowel(x) == vowel(y) else -10.0
-    weights = lambda p: [sounds.WEIGHTS.get(c, 1.0) for c in p]
-    return al.align_pair(ca, cb, scorer, gop, scale, mode, weights(pa), weights(pb), pa, pb, factor, "T_")[3]
+    return al.align_pair(ca, cb, scorer, gop, scale, mode, sounds.gap_weights(pa), sounds.gap_weights(pb), pa, pb, factor, "T_")[3]
 
 
 def edit_distance(a: list[str], b: list[str]) -> float:

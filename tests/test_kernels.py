@@ -123,13 +123,28 @@ def test_classes_and_prosody():
         so.classes(["?", "!"])
     assert so.prosody(list("tata"), "cv") == "CVCV"
     assert so.prosody(list("tam"))[0] == "A" and so.prosody(list("tam"))[-1] == "N"
-    assert so.turchin(list("waldemar"), list("vladimir")) in (0, 1)
+    assert so.first_consonants(list("waldemar")) == "WR" and so.first_consonants(list("vladimir")) == "PR"
+    assert so.turchin(list("waldemar"), list("vladimir")) == 1 and so.turchin(list("tak"), list("dax")) == 0
     assert so.turchin(list("tak"), list("dog")) == 0
     assert so.syllables(list("tata")) == [["t", "a"], ["t", "a"]]
     assert so.morphemes(["a", "+", "b", "c"]) == [["a"], ["b", "c"]]
     assert so.clean("abd/ak (x)") == ["a b d", "a k"]
 
 
+def test_gap_weights_and_grams():
+    assert so.gap_weights("AXBYN") == [2.0, 1.5, 1.75, 1.3, 0.8]
+    assert so.gap_weights("AXT") == [1.6, 3.0, 1.0]
+    assert [t for t, _ in so.prosodic_grams(list("tam"))] == list("tam") and "".join(p for _, p in so.prosodic_grams(list("tam"))) == so.prosody(list("tam"))
+
+
+def test_asjp():
+    assert so.asjp_tokens("haus") == ["h", "au", "s"] and so.asjp_tokens("haus", merge_vowels=False) == list("haus")
+    assert so.asjp_tokens("tw~a") == ["tw~", "a"] and so.asjp_tokens("ndy$o") == ["ndy$", "o"] and so.asjp_tokens('t"a*') == ['t"', "a*"]
+    assert so.asjp_tokens("") == []
+    with pytest.raises(ValueError):
+        so.asjp_tokens("a b")
+
+
 def test_model():
     assert so.read_model("A : x, y\nB : z")["z"] == "B"
     with pytest.raises(ValueError):

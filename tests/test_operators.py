@@ -1,6 +1,9 @@
 """Every query with SQL against DuckDB on the smallest tables, and operators on cases by hand."""
 
 import os
+from collections import Counter
+from functools import lru_cache
+from itertools import combinations
 
 import duckdb
 import pytest
@@ -86,6 +89,7 @@ def edit(a, b, swap):
     return d[len(a), len(b)]
 
 
+@lru_cache(None)
 def subsequence(a, b):
     if not a or not b:
         return 0
@@ -98,11 +102,33 @@ def test_metrics(spark):
     a, b = F.col("a"), F.col("b")
     rows = df.select("x", "y", st.ldn(a, b, False).alias("l"), st.ldn_swap(a, b, False).alias("s"), st.longest_common_subsequence(a, b).alias("c"), st.needleman_wunsch(a, b).alias("n"), st.ident(a, b).alias("i")).collect()
     for r in rows:
-        assert r.l == edit(r.x, r.y, False) and r.s == edit(r.x, r.y, True) and r.c == subsequence(r.x[:9], r.y[:9]) or len(r.x) > 9
+        assert r.l == edit(r.x, r.y, False) and r.s == edit(r.x, r.y, True) and r.c == subsequence(r.x, r.y)
         assert r.i == int(r.x == r.y)
     assert rows[0].l == 5 and rows[0].s == 3
 
 
+def all_grams(s, at=None):
+    padded = ["-", "-", *s, "-", "-"]
+    return Counter(",".join(padded[i if at is None else at :][:k]) for i in range(len(padded) - 1) for k in (1, 2, 3))
+
+
+def test_jcdn(spark):
+    pairs = [("abc", "abd"), ("abc", "abcd"), ("a", "aaaa"), ("abab", "ab"), ("", "a")]
+    df = spark.createDataFrame(pairs, "x string, y string").withColumn("a", cg.segments_of("x")).withColumn("b", cg.segments_of("y"))
+    for r in df.select("x", "y", st.jcdn(F.col("a"), F.col("b")).alias("d"), st.jcdn(F.col("a"), F.col("b"), False).alias("n")).collect():
+        common = (all_grams(r.x) & all_grams(r.y, len(r.x) + 2)).total()
+        total = len(r.x) + len(r.y) - 2 - common
+        assert r.d == (1 - common / total if total else 0) and r.n == (total - common if total else 0)
+
+
+def test_gram_versions(spark):
+    one = spark.createDataFrame([(list("ab"), list("ba"))], "a array<string>, b array<string>")
+    value = lambda name: one.select(st.METRICS[name](F.col("a"), F.col("b"))).first()[0]
+    # -a ab (b-) against -b ba (a-): by places -a and -b differ by a half, ab and ba by one
+    assert value("bidist1") == 1.0 and value("bidist2") == 0.25 and value("bidist3") == 0.75
+    assert value("bisim1") == 1.0 and value("bisim2") == 0.25 and value("bisim3") == 0.75
+
+
 def test_percent_identity(spark):
     df = spark.createDataFrame([(list("ab-c"), list("abd-"))], "a array<string>, b array<string>")
     values = df.select(*[st.percent_identity(F.col("a"), F.col("b"), m).alias(str(m)) for m in range(1, 6)]).first()
@@ -159,6 +185,44 @@ def test_alignment_of_sets(words):
     assert am.consensus(aligned).where("cogid = '3'").first().consensus == "x y z"
 
 
+def test_residue_scores_count_pairs(spark):
+    gold = {1: "ab-c", 2: "a-bc", 3: "abbc", 4: "abbc", 5: "-bc-"}
+    test = {1: "abc-", 2: "abc-", 3: "abbc", 4: "abbc", 5: "bc--"}
+    frame = lambda x: spark.createDataFrame([(k, "s", list(v)) for k, v in x.items()], "id long, cogid string, alignment array<string>")
+    times = Counter(v.replace("-", "") for v in gold.values())
+    firsts = {v.replace("-", ""): k for k, v in reversed(gold.items())}
+
+    def met(rows):
+        places = {w: {p: sum(c != "-" for c in rows[k][:p]) for p, c in enumerate(rows[k]) if c != "-"} for w, k in firsts.items()}
+        return {(x, y, places[x][p], places[y][p]) for x, y in combinations(sorted(firsts), 2) for p in places[x].keys() & places[y].keys()}
+
+    weigh = lambda pairs: sum(1 / times[x] / times[y] for x, y, _, _ in pairs)
+    g, t = met(gold), met(test)
+    row = am.residue_scores(frame(gold), frame(test)).first()
+    assert row.sp_recall == pytest.approx(weigh(g & t) / weigh(g)) and row.sp_precision == pytest.approx(weigh(g & t) / weigh(t))
+    assert row.jaccard == pytest.approx(weigh(g & t) / weigh(g | t))
+    assert list(am.residue_scores(frame(gold), frame(gold)).first())[1:] == [1.0] * 4
+    assert list(am.column_scores(frame(gold), frame(gold)).first())[1:] == [1.0] * 4
+    assert am.row_scores(frame(gold), frame(test)).first().rows == 0.4
+    assert am.column_scores(frame(gold).limit(0), frame(test).limit(0)).count() == 0
+
+
+def test_pairwise_scores(spark):
+    frame = lambda *x: spark.createDataFrame([(k, list(a), list(b)) for k, (a, b) in enumerate(x)], "k long, a array<string>, b array<string>")
+    gold, test = frame(("ab-", "abc"), ("xy", "xy")), frame(("a-b", "abc"), ("xy", "xy"))
+    row = am.pairwise_scores(gold, test, ["k"]).first()
+    assert (row.half_rows, row.rows, row.precision, row.recall, row.sp) == (0.75, 0.5, 0.6, 0.6, 0.75)
+    assert row.jaccard == 3 / 5 and [r.k for r in am.pairwise_differences(gold, test, ["k"]).collect()] == [0]
+
+
+def test_random_shares(spark):
+    counts_ = spark.createDataFrame([("x", "a", 5), ("x", "b", 1), ("y", "a", 2)], "context string, state string, n long")
+    again = [sorted(map(tuple, sm.smooth(counts_, "random", seed=s, unseen=0.1).collect())) for s in (1, 1, 2)]
+    assert again[0] == again[1] != again[2]
+    shares = sm.smooth(counts_, "random", seed=1, unseen=0.1).groupBy("context").agg(F.sum(F.exp("logprob")).alias("s")).collect()
+    assert all(abs(r.s - 0.9) < 1e-9 for r in shares)
+
+
 def test_scorer(words):
     attested = cg.correspondences(words, threshold=1.0)
     assert attested.where("x = 'a' and y = 'a'").count() == 3
