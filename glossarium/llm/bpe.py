@@ -12,6 +12,7 @@ task that read them: there is no shuffle.
 from __future__ import annotations
 
 import base64
+import ctypes
 import hashlib
 import json
 import unicodedata
@@ -244,6 +245,7 @@ def word_encoder(tokenizer: str, dtype: str = "<u4") -> WordEncoder:
 
 def blocks(batches: Iterator[pa.RecordBatch], text: int, size: int = 1 << 24) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches of about size bytes of text, one row at least, with their texts (null: empty)."""
+    part = None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -253,6 +255,15 @@ def blocks(batches: Iterator[pa.RecordBatch], text: int, size: int = 1 << 24) ->
         for a, b in zip(edges, edges[1:]):
             part = batch.slice(a, b - a)
             yield part, [x or "" for x in part.column(text).to_pylist()]
+        part = None
+    release()
+
+
+def release() -> None:
+    """Hands freed memory back to the system: later stages use the same workers, and what their allocators hold is the executor's."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 _KEPT: dict[tuple, object] = {}
@@ -266,6 +277,11 @@ def kept(key: tuple, make: Callable[[], object]) -> object:
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Drops what an earlier stage has kept in this worker; for stages that keep nothing."""
+    _KEPT.clear()
+
+
 def encode_documents(
     docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", dtype: str = "<u4", digests: bool = False
 ) -> DataFrame:

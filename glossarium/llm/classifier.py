@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import blocks
+from .bpe import blocks, forget
 
 SHAPES, GRAMS, SHARES = 8**4, 1 << 12, 16
 WIDTH = SHAPES + GRAMS + SHARES
@@ -137,6 +137,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         chosen = some if chosen is None else chosen.union(some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch, texts in blocks(batches, 2):
             found = pa.array([damped_counts(t).tobytes() for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["id", "label", "found"])
@@ -191,6 +192,7 @@ def score_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        forget()
         for batch, texts in blocks(batches, at, 1 << 21):
             scores = []
             for i in range(0, len(texts), 256):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import blocks
+from .bpe import blocks, forget
 
 #: Fixed values of the base rules: characters that count as symbols, and ASCII white space.
 SYMBOLS = "#*$%&|<>"
@@ -120,6 +120,7 @@ def references(docs: DataFrame, lang_col: str, text_col: str, common: int) -> di
             lang, key, n = zip(*rows) if rows else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(key, pa.binary()), pa.array(n, pa.int64())], ["lang", "key", "n"])
 
+        forget()
         for batch, texts in blocks(batches, 1, 1 << 22):
             for lang, text in zip(batch.column(0).to_pylist(), texts):
                 lang = lang or ""
@@ -199,6 +200,7 @@ def rate_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reference = shared.value
+        forget()
         for batch, texts in blocks(batches, text_at, 1 << 22):
             langs = [x or "" for x in batch.column(lang_at).cast(pa.string()).to_pylist()]
             counts, classes, commons = [], [], []
