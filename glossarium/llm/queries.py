@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, html_text, line_dedup, media, packing, quality_rules, sharding, simhash, token_output
+from . import bpe, classifier, html_text, language_id, line_dedup, media, packing, periodic_runs, quality_rules, sharding, simhash, token_output, vector_codes
 from .common import table
 
 
@@ -74,9 +74,73 @@ def op10_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+def op11_kd_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector as four codebook numbers, with its error and its label's."""
+    coded, books = vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+    hexed = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    digest = F.lit(books.digest() if books else None).cast("string")
+    return coded.select("vec_id", hexed.alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document's words, of which a tenth repeat a stretch, as digests."""
+    return periodic_runs.run_digests(periodic_runs.find_runs(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+def op13_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by cross-parsing against labelled text; a quarter of the ids is not learnt from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    apart = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    found = language_id.identify_languages(docs.select("doc_id", "text"), docs.where(~apart))
+    return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_pigeonhole, op2_nearest_quality, op3_host_suffix_text, op4_byte_bpe, op5_training_order_shards, op6_divergence_rules, op7_configuration_packing, op8_jump_sharding, op9_chroma_alignment, op10_segment_line_dedup)
-}
+    f.__name__: f
+    for f in (
+        op1_simhash_pigeonhole, op2_nearest_quality, op3_host_suffix_text, op4_byte_bpe, op5_training_order_shards, op6_divergence_rules, op7_configuration_packing,
+        op8_jump_sharding, op9_chroma_alignment, op10_segment_line_dedup, op11_kd_vector_codes, op12_periodic_runs, op13_cross_parsing_language,
+    )
+}
+
+
+def _vector_code_sql(parts: int = 4, size: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """SQL for op11: all distances of all parts in every round."""
+    steps = [
+        f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS k, vec_id, label, [floor({scale} * x::DOUBLE)::BIGINT for x in embedding] AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = len(embedding)
+),
+parts AS (
+  SELECT k, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM (SELECT k, v, unnest(range({parts})) AS p FROM kept)
+),
+e0 AS (SELECT p, k - 1 AS e, x AS y FROM parts WHERE k <= {size})"""
+    ]
+    distance = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(x, y)])::BIGINT"
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT k, p, arg_min({{'e': e, 'd': {distance}}}, {{'d': {distance}, 'e': e}}) AS f FROM parts JOIN e{r} USING (p) GROUP BY k, p)")
+        if r < rounds:
+            steps.append(
+                f"""s{r} AS (
+  SELECT p, e, i, sum(c)::BIGINT AS s, count(*) AS n
+  FROM (SELECT a.p, a.f.e AS e, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS c FROM a{r} a JOIN parts USING (k, p)) GROUP BY p, e, i
+),
+m{r} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS y FROM s{r} GROUP BY p, e),
+e{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.y, o.y) AS y FROM e{r} o LEFT JOIN m{r} m USING (p, e))"""
+            )
+    return (
+        ",\n".join(steps)
+        + f""",
+digest AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM e{rounds}),
+coded AS (
+  SELECT k, string_agg(printf('%02x', f.e), '' ORDER BY p) AS code, sum(f.d)::BIGINT AS error FROM a{rounds} GROUP BY k
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (k) CROSS JOIN digest
+"""
+    )
+
 
 ORACLES: dict[str, str] = {
     "op6_divergence_rules": r"""
@@ -160,4 +224,5 @@ SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT
 FROM marked GROUP BY doc_id
 UNION ALL SELECT doc_id, NULL, 0, 0, 0 FROM documents WHERE text IS NULL
 """,
+    "op11_kd_vector_codes": _vector_code_sql(),
 }
