@@ -274,7 +274,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         again.select("name", "pos", "h", F.lit(True).alias("again"))
         .union(near)
         .groupBy("name")
-        .agg(F.collect_list(F.struct("pos", "h", "again")).alias("gone"))
+        # a set: copies of a row have one name, and each of their places goes once
+        .agg(F.collect_set(F.struct("pos", "h", "again")).alias("gone"))
     )
 
     def kept(p: Column) -> Column:

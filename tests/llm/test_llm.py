@@ -502,6 +502,17 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_repeated_rows(spark):
+    line, other = "a line of some fifty characters that comes up again", "quite another line, which only these copies have"
+    near = line.replace("fifty", "forty")
+    one, again, alone = (1, line), (2, f"x\n{line}\ny\n{line}\n{near}"), (3, f"{other}\nz")
+    schema = "doc_id long, text string"
+    want = {1: (line, 1, 0, 0), 2: ("x\ny", 5, 2, 1), 3: (f"{other}\nz", 2, 0, 0)}
+    for rows in ([one, again, alone], [one, again, again, alone, alone, alone], [one, one, again, again, again, alone]):
+        found = line_dedup.dedup_lines(spark.createDataFrame(rows, schema)).collect()
+        assert sorted(found) == sorted((i, *want[i]) for i, _ in rows)
+
+
 # 3
 
 
