@@ -64,43 +64,13 @@ def order_labels(labels: list) -> list[int]:
 
 
 def flat_cluster(d: np.ndarray, threshold: float, method: str = "upgma") -> list[int]:
-    """Cluster numbers by upgma, single, complete or ward linkage cut at threshold, mcl, infomap or dbscan; another name gives each its own."""
+    """Cluster numbers by upgma, single, complete or ward linkage cut at threshold, or infomap."""
     kinds = {"upgma": "average", "single": "single", "complete": "complete", "ward": "ward"}
-    if method in kinds:
-        return labels_of(len(d), agglomerate(d, kinds[method], threshold))
-    if method == "mcl":
-        return markov_clusters(d, threshold)
     if method == "infomap":
         return infomap_clusters(d, threshold)
-    if method == "dbscan":
-        return labels_of(len(d), agglomerate(d, "single", threshold))
-    return list(range(1, len(d) + 1))
-
-
-def markov_clusters(d: np.ndarray, threshold: float, inflation: float = 2.0, steps: int = 1000) -> list[int]:
-    """Markov clustering of the graph of distances within threshold, edges weighted by -log2 of the squared distance, with loops."""
-    d = np.asarray(d, float)
-    with np.errstate(divide="ignore"):
-        near = np.where(d <= threshold, -np.log2(np.clip(d, 1e-6, None) ** 2), 0.0)
-    m = np.clip(near, 0, None)
-    np.fill_diagonal(m, 0.0)
-    # loops as heavy as a node's heaviest edge: lighter ones make pairs of nodes swing apart
-    np.fill_diagonal(m, np.where(m.max(axis=0, initial=0.0) > 0, m.max(axis=0, initial=0.0), 1.0))
-    m = m / m.sum(axis=0)
-    for _ in range(steps):
-        new = (m @ m) ** inflation
-        new = new / new.sum(axis=0)
-        if np.allclose(new, m, atol=1e-10):
-            break
-        m = new
-    parent = list(range(len(d)))
-    def find(x: int) -> int:
-        while parent[x] != x:
-            x = parent[x]
-        return x
-    for i, j in zip(*np.nonzero(m > 1e-6)):
-        parent[max(find(i), find(j))] = min(find(i), find(j))
-    return order_labels([find(i) for i in range(len(d))])
+    if method not in kinds:
+        raise ValueError(f"unknown method: {method}")
+    return labels_of(len(d), agglomerate(d, kinds[method], threshold))
 
 
 def link_communities(d: np.ndarray, threshold: float) -> list[list[int]]:

@@ -19,6 +19,7 @@ from ..functions import sounds
 from ..functions.clusters import flat_cluster, order_labels
 from ..functions.ngrams import segments
 from .graphs import components
+from .linkage import flat_clusters, linked
 from .table import word_pairs
 
 Distance = Callable[[list[str], list[str]], float]
@@ -125,14 +126,19 @@ def log_odds(attested: DataFrame, expected: DataFrame, smooth: float = 1.0, unse
 def cluster(df: DataFrame, method: str | Distance = "sca", linkage: str = "upgma", threshold: float = 0.45, name: str = "clusterid") -> DataFrame:
     """df with the cluster of each word: words of a concept whose forms are near by the distance and linkage.
 
-    A concept's distinct forms are one group (a matrix of them is what linkage
-    needs); its words, however many, only join in the labels. Labels are
-    "concept:number".
+    Distinct forms of a concept are clustered by rounds over the table of their
+    distances (operators.linkage); its words, however many, only join in the
+    labels, "concept:least form of the cluster". Linkage is one of
+    linkage.METHODS, or infomap or ward: these two need a concept's forms in one
+    matrix, so one group holds them, and their labels are "concept:number".
     """
     forms = df.select("concept", "form").distinct()
     a, b = forms.withColumnRenamed("form", "entry_a"), forms.withColumnRenamed("form", "entry_b")
     pairs = a.join(b, "concept").where("entry_a < entry_b")
     measured = pairs.join(form_distances(pairs, method), ["entry_a", "entry_b"]).select("concept", "entry_a", "entry_b", "distance")
+    if linkage not in ("infomap", "ward"):
+        table = measured.select(F.col("concept").alias("block"), F.col("entry_a").alias("a"), F.col("entry_b").alias("b"), "distance")
+        return with_clusters(df, flat_clusters(table, threshold, linkage), name)
     alone = forms.select("concept", F.col("form").alias("entry_a"), F.col("form").alias("entry_b"), F.lit(0.0).alias("distance"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -147,23 +153,31 @@ def cluster(df: DataFrame, method: str | Distance = "sca", linkage: str = "upgma
     return df.join(labels, ["concept", "form"]).select(*df.columns, F.concat_ws(":", "concept", F.col("label").cast("string")).alias(name))
 
 
-def single_linkage(df: DataFrame, distance: Callable[[Column, Column], Column], threshold: float, name: str = "clusterid") -> DataFrame:
-    """df with single-linkage clusters by a native distance: the connected forms of each concept, named by the least form.
+def form_pairs(df: DataFrame, distance: Callable[[Column, Column], Column]) -> DataFrame:
+    """block (the concept), a, b and distance of every two forms of a concept, by a native distance of their characters.
 
-    A distance is worked out once for two forms, whatever concepts share them,
-    and a concept's forms are never gathered in one task.
+    A distance is worked out once for two forms, whatever concepts share them.
     """
-    forms = df.select("concept", "form").distinct()
-    a, b = forms.withColumnRenamed("form", "x"), forms.withColumnRenamed("form", "y")
-    pairs = a.join(b, "concept").where("x < y")
-    near = pairs.select("x", "y").distinct().where(distance(segments_of("x"), segments_of("y")) <= threshold)
-    node = lambda c: F.struct("concept", F.col(c).alias("form"))
-    found = components(pairs.join(near, ["x", "y"]).select(node("x").alias("a"), node("y").alias("b")), "a", "b")
-    labels = found.select("node.concept", "node.form", F.col("root.form").alias("label"))
-    named = F.concat_ws(":", "concept", F.coalesce("label", "form")).alias(name)
+    forms = df.select(F.col("concept").alias("block"), "form").distinct()
+    pairs = forms.withColumnRenamed("form", "a").join(forms.withColumnRenamed("form", "b"), "block").where("a < b")
+    # segments as columns of their own: a distance uses them many times
+    split = _spread(pairs.select("a", "b")).select("a", "b", segments_of("a").alias("p"), segments_of("b").alias("q"))
+    measured = split.select("a", "b", distance(F.col("p"), F.col("q")).alias("distance"))
+    return pairs.join(measured, ["a", "b"]).select("block", "a", "b", "distance")
+
+
+def with_clusters(df: DataFrame, found: DataFrame, name: str = "clusterid") -> DataFrame:
+    """df with "concept:least form" of each word's cluster; found: block, node and root of forms that are not alone."""
+    labels = found.select(F.col("block").alias("concept"), F.col("node").alias("form"), "root")
+    named = F.concat_ws(":", "concept", F.coalesce("root", "form")).alias(name)
     return df.join(labels, ["concept", "form"], "left").select(*df.columns, named)
 
 
+def single_linkage(df: DataFrame, distance: Callable[[Column, Column], Column], threshold: float, name: str = "clusterid") -> DataFrame:
+    """df with single-linkage clusters by a native distance: the connected forms of each concept, named by the least form."""
+    return with_clusters(df, linked(form_pairs(df, distance).where(F.col("distance") <= threshold)), name)
+
+
 def segments_of(column: str) -> Column:
     return F.filter(F.split(column, ""), lambda c: c != "")
 
@@ -184,21 +198,15 @@ def strict_ids(df: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def loose_ids(df: DataFrame, source: str, target: str) -> DataFrame:
-    """df with one id for words of a concept that a chain of shared partial ids joins."""
+    """df with one id for words of a concept that a chain of shared partial ids joins: "concept:least id of the chain".
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        parent: dict = {}
-
-        def find(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        for own in rows[source]:
-            for other in own[1:]:
-                parent[find(own[0])] = find(other)
-        labels = order_labels([find(own[0]) if len(own) else ("", i) for i, own in enumerate(rows[source])])
-        return pd.DataFrame({"id": rows.id, "label": labels})
-
-    labels = df.select("id", "concept", source).groupBy("concept").applyInPandas(run, "id bigint, label int")
-    return df.join(labels, "id").select(*df.columns, F.concat_ws(":", "concept", F.col("label").cast("string")).alias(target))
+    A word without partial ids is alone, as "concept:#word's id".
+    """
+    item = lambda c: F.struct("concept", c.cast("string").alias("item"))
+    first = F.array_min(F.transform(source, lambda x: x.cast("string")))
+    links = df.where(F.size(source) > 1).select("concept", first.alias("least"), F.explode(source).alias("other")).distinct()
+    found = components(links.select(item(F.col("least")).alias("a"), item(F.col("other")).alias("b")), "a", "b")
+    roots = found.select("node.concept", F.col("node.item").alias("least"), F.col("root.item").alias("root"))
+    words = df.withColumn("least", first).join(roots, ["concept", "least"], "left")
+    alone = F.concat(F.lit("#"), F.col("id").cast("string"))
+    return words.select(*df.columns, F.concat_ws(":", "concept", F.coalesce("root", "least", alone)).alias(target))

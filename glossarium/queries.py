@@ -15,6 +15,7 @@ from .functions import strings as st
 from .operators import alignments as am
 from .operators import cognates as cg
 from .operators import evaluation as ev
+from .operators import linkage as lk
 from .operators import networks as nw
 from .operators import phylogeny as ph
 from .operators import table as tb
@@ -481,21 +482,69 @@ def cluster_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cg.single_linkage(wordlist(spark, sf_dir), st.ldn, 0.4).select("id", "clusterid")
 
 
-def _clustered(method: str, linkage: str, threshold: float) -> None:
+#: Pairs of distinct forms of a concept with their distance: by characters, and by words (every form has two).
+_CHARACTERS = "levenshtein(x.form, y.form) / greatest(length(x.form), length(y.form))"
+_TWO_WORDS = "((split_part(x.form, ' ', 1) <> split_part(y.form, ' ', 1))::INT + (split_part(x.form, ' ', 2) <> split_part(y.form, ' ', 2))::INT) / 2"
+
+
+def _distances_sql(distance: str) -> str:
+    return f"""  , f AS (SELECT DISTINCT concept, form FROM wl),
+d AS MATERIALIZED (SELECT x.concept, x.form AS a, y.form AS b, {distance} AS d FROM f x JOIN f y ON x.concept = y.concept AND x.form < y.form)"""
+
+
+def _linkage_sql(distance: str, threshold: float, linkage: str, rounds: int = 14) -> str:
+    """Average or complete linkage with a round for all pairs of clusters that are each other's nearest."""
+    steps = [_distances_sql(distance), "l0 AS (SELECT concept, form, form AS c FROM f)"]
+    measure = {"upgma": "avg(d)", "complete": "max(d)"}[linkage]
+    for r in range(rounds):
+        steps.append(f"""p{r} AS MATERIALIZED (
+  SELECT concept, least(x.c, y.c) AS a, greatest(x.c, y.c) AS b, round({measure}, 9) AS d
+  FROM d JOIN l{r} x USING (concept) JOIN l{r} y USING (concept) WHERE x.form = d.a AND y.form = d.b AND x.c <> y.c GROUP BY ALL
+),
+n{r} AS (SELECT concept, node, min({{'d': d, 'k': md5(a || '|' || b), 'a': a, 'b': b}}) AS p FROM (SELECT concept, unnest([a, b]) AS node, d, a, b FROM p{r} WHERE d <= {threshold}) GROUP BY ALL),
+m{r} AS (SELECT concept, p.a, p.b FROM n{r} GROUP BY ALL HAVING count(*) = 2),
+l{r + 1} AS MATERIALIZED (SELECT l.concept, form, coalesce(m.a, c) AS c FROM l{r} l LEFT JOIN m{r} m ON l.concept = m.concept AND l.c = m.b)""")
+    return ",\n".join(steps) + f" SELECT wl.id, wl.concept || ':' || l.c AS clusterid FROM wl JOIN l{rounds} l ON wl.concept = l.concept AND wl.form = l.form"
+
+
+def _clustered(method: str, linkage: str, threshold: float, sql: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return cg.cluster(wordlist(spark, sf_dir), method, linkage, threshold).select("id", "clusterid")
 
-    query(name=f"cluster_{linkage}_{method.replace('-', '_')}")(run)
+    query(sql, name=f"cluster_{linkage}_{method.replace('-', '_')}")(run)
 
 
 _clustered("sca", "upgma", 0.45)
-_clustered("edit-dist", "upgma", 0.6)
-_clustered("edit-dist", "complete", 0.6)
+_clustered("edit-dist", "upgma", 0.6, _linkage_sql(_TWO_WORDS, 0.6, "upgma"))
+_clustered("edit-dist", "complete", 0.6, _linkage_sql(_TWO_WORDS, 0.6, "complete"))
 _clustered("edit-dist", "mcl", 0.6)
 _clustered("edit-dist", "infomap", 0.6)
 _clustered("turchin", "single", 0.5)
 
 
+def _linkage_query(linkage: str, threshold: float) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        words = wordlist(spark, sf_dir)
+        return cg.with_clusters(words, lk.flat_clusters(cg.form_pairs(words, st.ldn), threshold, linkage)).select("id", "clusterid")
+
+    query(_linkage_sql(_CHARACTERS, threshold, linkage), name=f"cluster_{linkage}")(run)
+
+
+_linkage_query("upgma", 0.55)
+_linkage_query("complete", 0.65)
+
+
+@query(f"""{_distances_sql(_CHARACTERS)}, e AS (SELECT concept, a, b FROM d WHERE d <= 0.5 UNION ALL SELECT concept, b, a FROM d WHERE d <= 0.5),
+k AS (SELECT concept, a AS c FROM e GROUP BY ALL HAVING count(*) >= 5), ke AS (SELECT e.* FROM e SEMI JOIN k ON e.concept = k.concept AND e.a = k.c SEMI JOIN k q ON e.concept = q.concept AND e.b = q.c),
+r AS (WITH RECURSIVE r AS (SELECT concept, c AS a, c AS b FROM k UNION SELECT r.concept, r.a, ke.b FROM r JOIN ke ON r.concept = ke.concept AND r.b = ke.a) SELECT concept, a, min(b) AS root FROM r GROUP BY ALL),
+border AS (SELECT e.concept, e.a, min(e.b) AS b FROM e ANTI JOIN k ON e.concept = k.concept AND e.a = k.c SEMI JOIN k q ON e.concept = q.concept AND e.b = q.c GROUP BY ALL),
+s AS (SELECT concept, a, root FROM r UNION ALL SELECT concept, border.a, root FROM border JOIN r USING (concept) WHERE border.b = r.a)
+SELECT wl.id, wl.concept || ':' || coalesce(s.root, wl.form) AS clusterid FROM wl LEFT JOIN s ON wl.concept = s.concept AND wl.form = s.a""")
+def cluster_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = wordlist(spark, sf_dir)
+    return cg.with_clusters(words, lk.density_clusters(cg.form_pairs(words, st.ldn), 0.5, least=6)).select("id", "clusterid")
+
+
 @query()
 def doculect_distances_sca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cg.doculect_distances(wordlist(spark, sf_dir)).withColumn("distance", F.round("distance", 9))
