@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import align as al
-from .cognates import _segmented
+from .lexstat import segmented
 
 
 def align_sets(df: DataFrame, ref: str = "cogid", entry: str = "form", method: str = "progressive", refine: bool = False) -> DataFrame:
@@ -21,7 +21,7 @@ def align_sets(df: DataFrame, ref: str = "cogid", entry: str = "form", method: s
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         names = sorted(rows.entry)
-        seqs = [_segmented(n) for n in names]
+        seqs = [segmented(n) for n in names]
         out = al.library_align(seqs) if method == "library" else al.progressive(seqs, refine=refine)
         return pd.DataFrame({"ref": rows.ref.iloc[0], "entry": names, "alignment": out})
 

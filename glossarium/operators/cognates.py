@@ -18,7 +18,9 @@ from ..functions import align as al
 from ..functions import sounds
 from ..functions.clusters import flat_cluster, order_labels
 from ..functions.ngrams import segments
+from . import lexstat
 from .graphs import components
+from .lexstat import segmented, spread
 from .linkage import flat_clusters, linked
 from .table import word_pairs
 
@@ -43,27 +45,26 @@ def edit_distance(a: list[str], b: list[str]) -> float:
 DISTANCES: dict[str, Distance] = {"sca": sca_distance, "edit-dist": edit_distance, "turchin": lambda a, b: float(sounds.turchin(a, b))}
 
 
-def _segmented(form: str) -> list[str]:
-    return form.split() if " " in form else sounds.tokens(form)
+#: Distances that are worked out for batches of pairs.
+BATCHED = {"sca": lexstat.class_distances, "edit-dist": lexstat.edit_distances}
 
 
 def form_distances(pairs: DataFrame, method: str | Distance = "sca", a: str = "entry_a", b: str = "entry_b") -> DataFrame:
     """a, b and distance of every distinct pair of forms; forms that cannot be compared have distance 1."""
+    batched = BATCHED.get(method) if isinstance(method, str) else None
     distance = DISTANCES[method] if isinstance(method, str) else method
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            split = {w: _segmented(w) for w in {*rows[a], *rows[b]}}
+            if batched:
+                yield rows.assign(distance=batched(rows[a], rows[b]))
+                continue
+            split = {w: segmented(w) for w in {*rows[a], *rows[b]}}
             # empty forms cannot be compared
             found = [distance(split[x], split[y]) if split[x] and split[y] else 1.0 for x, y in zip(rows[a], rows[b])]
             yield rows.assign(distance=np.array(found, float))
 
-    return _spread(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)).mapInPandas(measure, f"`{a}` string, `{b}` string, distance double")
-
-
-def _spread(pairs: DataFrame) -> DataFrame:
-    """The distinct pairs, over as many tasks as the cluster runs at once: few short rows would else be put into one task."""
-    return pairs.distinct().repartition(max(pairs.sparkSession.sparkContext.defaultParallelism, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return spread(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)).mapInPandas(measure, f"`{a}` string, `{b}` string, distance double")
 
 
 def doculect_distances(df: DataFrame, method: str | Distance = "sca") -> DataFrame:
@@ -79,13 +80,13 @@ def correspondences(df: DataFrame, threshold: float = 0.7, mode: str = "overlap"
         for rows in batches:
             out = []
             for p, q in zip(rows.entry_a, rows.entry_b):
-                x, y = _segmented(p), _segmented(q)
+                x, y = segmented(p), segmented(q)
                 if edit_distance(x, y) <= threshold:
                     out.append((p, q, *al.align_pair(x, y, None, gop / 2, 0.5, mode)[:2]))
             yield pd.DataFrame(out, columns=["entry_a", "entry_b", "x", "y"])
 
     pairs = word_pairs(df)
-    kept = _spread(pairs.select("entry_a", "entry_b")).mapInPandas(aligned, "entry_a string, entry_b string, x array<string>, y array<string>")
+    kept = spread(pairs.select("entry_a", "entry_b")).mapInPandas(aligned, "entry_a string, entry_b string, x array<string>, y array<string>")
     counted = pairs.groupBy("a", "b", "entry_a", "entry_b").agg(F.count("*").alias("times"))
     columns = counted.join(kept, ["entry_a", "entry_b"]).select("a", "b", "times", F.explode(F.arrays_zip("x", "y")).alias("c"))
     return columns.groupBy("a", "b", F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg(F.sum("times").alias("n"))
@@ -161,7 +162,7 @@ def form_pairs(df: DataFrame, distance: Callable[[Column, Column], Column]) -> D
     forms = df.select(F.col("concept").alias("block"), "form").distinct()
     pairs = forms.withColumnRenamed("form", "a").join(forms.withColumnRenamed("form", "b"), "block").where("a < b")
     # segments as columns of their own: a distance uses them many times
-    split = _spread(pairs.select("a", "b")).select("a", "b", segments_of("a").alias("p"), segments_of("b").alias("q"))
+    split = spread(pairs.select("a", "b")).select("a", "b", segments_of("a").alias("p"), segments_of("b").alias("q"))
     measured = split.select("a", "b", distance(F.col("p"), F.col("q")).alias("distance"))
     return pairs.join(measured, ["a", "b"]).select("block", "a", "b", "distance")
 

@@ -2,28 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.table import number_rows
 
 
-def wordlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, doculect, concept, form, cogid: words are parts, doculects the nations that supply them.
+def wordlist(spark: SparkSession, sf_dir: str, meaning: Column | None = None) -> DataFrame:
+    """id, doculect, concept, form, cogid: words are parts, doculects the nations that supply them, concepts their brands (or the meaning given).
 
     Doculect and concept are dimension-sized, the words grow with the data. All
     lines and parts count; only the columns that are needed are read.
     """
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     lines = read("lineitem").select("l_partkey", "l_suppkey").distinct()
-    parts = read("part").select("p_partkey", "p_brand", "p_name", "p_type")
+    parts = read("part").select("p_partkey", (F.col("p_brand") if meaning is None else meaning).alias("concept"), "p_name", "p_type")
     suppliers = read("supplier").select("s_suppkey", "s_nationkey")
     nations = read("nation").select("n_nationkey", "n_name")
     rows = (
         lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select(F.col("n_name").alias("doculect"), F.col("p_brand").alias("concept"), F.col("p_name").alias("form"), F.col("p_type").alias("cogid"))
+        .select(F.col("n_name").alias("doculect"), "concept", F.col("p_name").alias("form"), F.col("p_type").alias("cogid"))
         .distinct()
     )
     return number_rows(rows, ["doculect", "concept", "form", "cogid"], leading=2)

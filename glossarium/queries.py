@@ -15,10 +15,12 @@ from .functions import strings as st
 from .operators import alignments as am
 from .operators import cognates as cg
 from .operators import evaluation as ev
+from .operators import lexstat as ls
 from .operators import linkage as lk
 from .operators import networks as nw
 from .operators import phylogeny as ph
 from .operators import table as tb
+from .operators.graphs import kept
 from .plans.views import WORDLIST_SQL, wordlist
 from .sources import writers as wr
 
@@ -545,6 +547,42 @@ def cluster_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cg.with_clusters(words, lk.density_clusters(cg.form_pairs(words, st.ldn), 0.5, least=6)).select("id", "clusterid")
 
 
+def _fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words by finer concepts, brand and size: all words of a concept are compared with each other."""
+    return wordlist(spark, sf_dir, F.concat_ws("/", "p_brand", "p_size"))
+
+
+@query()
+def lexstat_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ls.scorer(_fine(spark, sf_dir)).withColumn("score", F.round("score", 9))
+
+
+@query()
+def lexstat_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _fine(spark, sf_dir)
+    pairs = ls.attested_pairs(words).where("a < b")
+    return ls.distances(pairs, kept(ls.scorer(words))).withColumn("distance", F.round("distance", 9))
+
+
+@query()
+def cluster_lexstat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _fine(spark, sf_dir)
+    return ls.cluster(words, kept(ls.scorer(words))).select("id", "lexstatid")
+
+
+#: Symbols of doculects that meet in words for one concept, on the alignment place by place (no gaps inside).
+@query("""  , w AS (SELECT DISTINCT concept, doculect, form FROM wl),
+p AS (SELECT DISTINCT x.doculect AS a, y.doculect AS b, x.form AS p, y.form AS q FROM w x JOIN w y ON x.concept = y.concept AND x.doculect < y.doculect
+  UNION SELECT doculect, doculect, form, form FROM w),
+c AS (SELECT a, b, unnest(range(1, least(length(p), length(q)) + 1)) AS k, p, q FROM p)
+SELECT a, b, p[k:k] AS x, q[k:k] AS y, count(*)::DOUBLE AS n FROM c GROUP BY ALL""")
+def lexstat_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real = ls.attested_pairs(wordlist(spark, sf_dir))
+    cut = lambda c: F.filter(F.split(F.substring(c, F.lit(1), F.least(F.length("entry_a"), F.length("entry_b"))), ""), lambda x: x != "")
+    met = real.select("entry_a", "entry_b").distinct().withColumns({"mode": F.lit(0), "distance": F.lit(0.0), "x": cut("entry_a"), "y": cut("entry_b")})
+    return ls.symbol_counts(real, met, None, 1)[0]
+
+
 @query()
 def doculect_distances_sca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cg.doculect_distances(wordlist(spark, sf_dir)).withColumn("distance", F.round("distance", 9))
