@@ -697,15 +697,15 @@ def sound_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.select("form", F.size(F.filter(kinds, lambda c: c == "V")).cast("long").alias("vowels"))
 
 
-def _gain_loss(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+def _gain_loss(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[str, str]]]:
     words = wordlist(spark, sf_dir).withColumn("glid", F.concat_ws("/", "cogid", "concept"))
     tree = ph.doculect_tree(words)
-    return ph.scenarios(tb.paps(words, "glid", missing=-1), tree, "glid"), tree
+    return ph.scenarios(tb.paps(words, "glid", missing=-1), tree, "glid"), ph.tree_edges(tree)
 
 
 @query()
 def gain_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gain_loss(spark, sf_dir)[0]
+    return _gain_loss(spark, sf_dir)[0].drop("present")
 
 
 @query()
@@ -716,12 +716,63 @@ def origins_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def vocabulary_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ph.vocabulary_sizes(*_gain_loss(spark, sf_dir))
+    return ph.vocabulary_sizes(_gain_loss(spark, sf_dir)[0])
+
+
+@query()
+def inherited_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ph.inherited_sizes(*_gain_loss(spark, sf_dir))
 
 
 @query()
 def lateral_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ph.lateral_edges(_gain_loss(spark, sf_dir)[0])
+    return ph.lateral_edges(*_gain_loss(spark, sf_dir))
+
+
+def _region_scenarios(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """Scenarios of sets by fine concepts on the tree of nations, regions and a root; every gain costs as much as two losses."""
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    # the dimension of the doculects
+    rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name").collect()
+    tree = [(r["n_name"], r["r_name"]) for r in rows] + [(r, "root") for r in {r["r_name"] for r in rows}]
+    words = _fine(spark, sf_dir).withColumn("glid", F.concat_ws("/", "cogid", "concept"))
+    return ph.scenarios(tb.paps(words, "glid", missing=-1), tree, "glid", gain=2.0), tree
+
+
+#: Costs and states of nations, regions and the root, one level after the other.
+_REGION_SQL = """  , f AS (SELECT DISTINCT n_name AS doculect, p_brand || '/' || p_size AS concept, p_type AS cogid
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey),
+s AS (SELECT DISTINCT cogid, concept, cogid || '/' || concept AS glid FROM f), has AS (SELECT DISTINCT doculect, concept FROM f),
+t AS (SELECT n_name AS node, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey),
+x AS (SELECT s.glid, t.node, t.parent, CASE WHEN f.cogid IS NOT NULL THEN 1 WHEN has.doculect IS NOT NULL THEN 0 END AS s
+  FROM s CROSS JOIN (SELECT * FROM t WHERE node IN (SELECT doculect FROM f)) t LEFT JOIN f ON f.doculect = t.node AND f.concept = s.concept AND f.cogid = s.cogid LEFT JOIN has ON has.doculect = t.node AND has.concept = s.concept),
+c1 AS (SELECT glid, node, parent, CASE WHEN s = 1 THEN 'inf'::DOUBLE ELSE 0 END AS a, CASE WHEN s = 0 THEN 'inf'::DOUBLE ELSE 0 END AS p FROM x),
+c2 AS (SELECT glid, parent AS node, sum(least(a, p + 2)) AS a, sum(least(p, a + 1)) AS p FROM c1 GROUP BY ALL),
+c3 AS (SELECT glid, sum(least(a, p + 2)) AS a, sum(least(p, a + 1)) AS p FROM c2 GROUP BY ALL),
+x3 AS (SELECT glid, (a > p + 2)::INT AS s FROM c3),
+x2 AS (SELECT glid, node, x3.s AS above, (a + x3.s > p + 2 * (1 - x3.s))::INT AS s FROM c2 JOIN x3 USING (glid)),
+x1 AS (SELECT c1.glid, c1.node, x2.s AS above, (a + x2.s > p + 2 * (1 - x2.s))::INT AS s FROM c1 JOIN x2 ON c1.glid = x2.glid AND c1.parent = x2.node),
+n AS (SELECT glid, 'root' AS node, 0 AS above, s FROM x3 UNION ALL SELECT glid, node, above, s FROM x2 UNION ALL SELECT glid, node, above, s FROM x1)"""
+
+
+@query(f"""{_REGION_SQL} SELECT glid, coalesce(string_agg(node || ':' || s, ',' ORDER BY node) FILTER (WHERE s <> above), '') AS scenario, count(*) FILTER (WHERE s > above) AS origins FROM n GROUP BY 1""")
+def gain_loss_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _region_scenarios(spark, sf_dir)[0].select("glid", "scenario", F.col("origins").cast("long").alias("origins"))
+
+
+@query(f"""{_REGION_SQL} SELECT node, count(*) AS sets FROM n WHERE s = 1 GROUP BY 1""")
+def vocabulary_sizes_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ph.vocabulary_sizes(_region_scenarios(spark, sf_dir)[0])
+
+
+@query(f"""{_REGION_SQL} SELECT node, count(*) AS sets FROM n WHERE s = 1 AND above = 1 GROUP BY 1""")
+def inherited_sizes_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ph.inherited_sizes(*_region_scenarios(spark, sf_dir))
+
+
+@query()
+def lateral_network_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ph.lateral_edges(*_region_scenarios(spark, sf_dir))
 
 
 @query()
