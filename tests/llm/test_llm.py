@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -531,6 +532,36 @@ def test_what_follows_unclosed_elements_stays(start):
     assert html_text.page_blocks(f"{start}<article><p>the text</p></article>")[-1] == (html_text.MAIN, "the text")
 
 
+def test_attributes_without_quotes():
+    assert html_text.page_blocks("<article><p class=it's>Hello world don't stop</p><p>Second</p></article>") == [(html_text.MAIN, "Hello world don't stop"), (html_text.MAIN, "Second")]
+    for role in ("main", "'main'", '"Main"'):
+        assert html_text.page_blocks(f"<div role={role}><p>in</p></div><p>out</p>") == [(html_text.MAIN, "in"), (html_text.FURNITURE, "out")]
+    assert html_text.page_blocks('<main><p title="a > b">x</p><p id = y>z < 3</p></main>') == [(html_text.MAIN, "x"), (html_text.MAIN, "z < 3")]
+
+
+def test_names_of_ordinary_sections_are_left_to_the_array():
+    html = "<article><section class='search'><p>found</p></section><p class='side'>s</p><div class='comments'><p>no</p></div></article><div class='search'>q</div>"
+    assert html_text.page_blocks(html) == [(html_text.SUSPECT, "found"), (html_text.SUSPECT, "s"), (html_text.FURNITURE, "no"), (html_text.FURNITURE, "q")]
+
+
+def test_suspect_sections_stay_unless_the_host_repeats_them(spark):
+    words = "every page of this host has the very same words in its search box".split()
+    page = lambda k, box: f"<main><p>page {k} {' '.join(f'w{k}x{i}' for i in range(30))}</p><section class='search'><p>{box}</p></section></main>"
+    rows = [(k, f"http://a.example/{k}", page(k, " ".join(words) if k < 6 else " ".join(f"own{k}y{i}" for i in range(14)))) for k in range(8)]
+    found = {r.page_id: r.text.split("\n") for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(len(found[k]) == (1 if k < 6 else 2) for k in range(8))
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<head> x" * 130_000, "<head> x" * 130_000 + "<p>y</p>", "<a x='" * 170_000, "<a x='>'" * 120_000 + "<", "<svg>x" * 150_000 + "<p>hi</p>", "<button>" * 120_000, "<" * 1_000_000, "<div>" * 90_000 + "</p><h1>" * 60_000],
+)
+def test_broken_pages_take_linear_time(html):
+    began = time.process_time()
+    html_text.page_blocks(html)
+    assert time.process_time() - began < 10
+
+
 def test_comments_as_articles_do_not_hide_main():
     html = '<main><p>the text</p><section><article class="comment"><p>nice</p></article></section></main>'
     assert [t for z, t in html_text.page_blocks(html) if z == html_text.MAIN] == ["the text"]
