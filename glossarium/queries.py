@@ -494,10 +494,9 @@ def _distances_sql(distance: str) -> str:
 d AS MATERIALIZED (SELECT x.concept, x.form AS a, y.form AS b, {distance} AS d FROM f x JOIN f y ON x.concept = y.concept AND x.form < y.form)"""
 
 
-def _linkage_sql(distance: str, threshold: float, linkage: str, rounds: int = 14) -> str:
-    """Average or complete linkage with a round for all pairs of clusters that are each other's nearest."""
-    steps = [_distances_sql(distance), "l0 AS (SELECT concept, form, form AS c FROM f)"]
-    measure = {"upgma": "avg(d)", "complete": "max(d)"}[linkage]
+def _linkage_rounds(measure: str, threshold: float, rounds: int = 14) -> str:
+    """Common table expressions l1, l2, ...: clusters (c) of the items (form) of l0 after each round of merging all pairs that are each other's nearest."""
+    steps = []
     for r in range(rounds):
         steps.append(f"""p{r} AS MATERIALIZED (
   SELECT concept, least(x.c, y.c) AS a, greatest(x.c, y.c) AS b, round({measure}, 9) AS d
@@ -506,7 +505,14 @@ def _linkage_sql(distance: str, threshold: float, linkage: str, rounds: int = 14
 n{r} AS (SELECT concept, node, min({{'d': d, 'k': md5(a || '|' || b), 'a': a, 'b': b}}) AS p FROM (SELECT concept, unnest([a, b]) AS node, d, a, b FROM p{r} WHERE d <= {threshold}) GROUP BY ALL),
 m{r} AS (SELECT concept, p.a, p.b FROM n{r} GROUP BY ALL HAVING count(*) = 2),
 l{r + 1} AS MATERIALIZED (SELECT l.concept, form, coalesce(m.a, c) AS c FROM l{r} l LEFT JOIN m{r} m ON l.concept = m.concept AND l.c = m.b)""")
-    return ",\n".join(steps) + f" SELECT wl.id, wl.concept || ':' || l.c AS clusterid FROM wl JOIN l{rounds} l ON wl.concept = l.concept AND wl.form = l.form"
+    return ",\n".join(steps)
+
+
+def _linkage_sql(distance: str, threshold: float, linkage: str) -> str:
+    """Average or complete linkage."""
+    rounds = _linkage_rounds({"upgma": "avg(d)", "complete": "max(d)"}[linkage], threshold)
+    start = f"{_distances_sql(distance)}, l0 AS (SELECT concept, form, form AS c FROM f),\n{rounds}"
+    return f"{start} SELECT wl.id, wl.concept || ':' || l.c AS clusterid FROM wl JOIN l14 l ON wl.concept = l.concept AND wl.form = l.form"
 
 
 def _clustered(method: str, linkage: str, threshold: float, sql: str | None = None) -> None:
@@ -614,6 +620,25 @@ def partial_slices_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("id", "concept", F.col("part").cast("long").alias("part"), F.array_join("morpheme", " ").alias("morpheme"))
 
 
+_PARTS_SQL = """  , f AS (SELECT row_number() OVER (ORDER BY doculect, concept, form, cogid) AS id, concept, form FROM (
+  SELECT DISTINCT n_name AS doculect, p_brand || '/' || p_size || '/' || p_type AS concept, p_name AS form, p_type AS cogid
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey)),
+m AS MATERIALIZED (SELECT concept, id, k - 1 AS part, printf('%019d/%04d', id, k - 1) AS node, split_part(form, ' ', k) AS w FROM (SELECT *, unnest([1, 2]) AS k FROM f)),
+d AS MATERIALIZED (SELECT x.concept, x.node AS a, y.node AS b, CASE WHEN x.id <> y.id THEN levenshtein(x.w, y.w) / greatest(length(x.w), length(y.w)) END AS d FROM m x JOIN m y ON x.concept = y.concept AND x.node < y.node),
+l0 AS (SELECT concept, node AS form, node AS c FROM m)"""
+
+
+@query(f"""{_PARTS_SQL},
+{_linkage_rounds("CASE WHEN count(d) = count(*) THEN avg(d) END", 0.5)},
+r AS (SELECT m.id, m.part, m.concept || ':' || regexp_replace(l.c, '^0*([0-9]+)/0*([0-9]+)$', '\\1/\\2') AS label FROM m JOIN l14 l ON m.concept = l.concept AND m.node = l.form)
+SELECT id, string_agg(label, ' ' ORDER BY part) AS partialids FROM r GROUP BY 1""")
+def partial_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = wordlist(spark, sf_dir, F.concat_ws("/", "p_brand", "p_size", "p_type"))
+    segments = F.split(F.replace(F.array_join(F.split("form", ""), "|"), F.lit("| |"), F.lit("|+|")), r"\|")
+    found = cg.partial_clusters(words.withColumn("segments", F.filter(segments, lambda x: x != "")), st.ldn, 0.5)
+    return found.select("id", F.array_join("partialids", " ").alias("partialids"))
+
+
 @query()
 def msa_progressive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return am.align_sets(wordlist(spark, sf_dir)).select("id", F.array_join("alignment", " ").alias("alignment"))

@@ -5,8 +5,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glossarium.functions import clusters as kernels
+from glossarium.functions import strings as st
 from glossarium.operators import cognates as cg
 from glossarium.operators import linkage as lk
 
@@ -135,3 +137,12 @@ def test_loose_ids(spark):
     df = spark.createDataFrame(rows, "id long, concept string, ids array<long>")
     got = {r.id: r.t for r in cg.loose_ids(df, "ids", "t").collect()}
     assert got == {1: "c:5", 2: "c:5", 3: "c:5", 4: "c:4", 5: "c:#5", 6: "d:5", 7: "d:1"}
+
+
+def test_morphemes_of_a_word_stay_apart(spark):
+    rows = [(1, "A", "c", "t a + t a"), (2, "B", "c", "t a"), (3, "C", "c", "t i + k o"), (4, "D", "c", "k o"), (5, "E", "d", "k o"), (6, "F", "c", None)]
+    df = spark.createDataFrame(rows, "id long, doculect string, concept string, form string").withColumn("segments", F.split("form", " "))
+    got = {r.id: r.partialids for r in cg.partial_clusters(df, st.ldn, 0.4).collect()}
+    assert got[6] is None and got[5] == ["d:5/0"] and got[3][1] == got[4][0] == "c:3/1" and got[3][0] == "c:3/0"
+    assert got[1][0] != got[1][1] and got[2][0] in got[1]
+    assert cg.partial_clusters(df.limit(0), st.ldn, 0.4).count() == 0
