@@ -338,8 +338,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     at least similarity, by the exact sets; candidates: see shingle_sets. Rows
     are told apart by id and set. If a class's least id is that of several rows
     (repeated rows, null ids), one of them stays. Null and empty texts are
-    near-duplicates of each other. Columns as in docs.
+    near-duplicates of each other. Columns as in docs; names that clash with
+    inner ones are given back at the end.
     """
+    clashing = {c: f"kept {k} {c}" for k, c in enumerate(docs.columns) if c.lower().startswith("__") or c.lower() in ("root", "component_id", "fingerprint")}
+    if clashing:
+        own = keep_one(docs.withColumnsRenamed(clashing), clashing.get(id_col, id_col), clashing.get(text_col, text_col), shingle, similarity)
+        return own.withColumnsRenamed({v: k for k, v in clashing.items()})
     marked = materialise(shingle_sets.signatures(docs, text_col, shingle), "marked")
     found = shingle_sets.classes(marked, id_col, text_col, shingle, similarity)
     own = marked.select(F.col(id_col).alias("__id"), "__key").join(found, "__key")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glossarium.llm import language_id, periodic_runs, vector_codes
+from glossarium.llm import language_id, periodic_runs, simhash, vector_codes
 
 # 11
 
@@ -224,3 +224,14 @@ def test_identify_languages(spark):
     assert wide.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
     assert {r.lang_pred for r in language_id.identify_languages(df, df.limit(0)).collect()} == {"und"}
     assert language_id.identify_languages(df.limit(0), df).count() == 0
+
+
+# the pipeline's near-duplicates
+
+
+def test_keep_one_with_clashing_names(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, 1, 2, "x", 4), (2, text, 1, 2, "y", 5), (3, "quite " + text[::-1], 3, 3, None, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __key int, __size int, __id string, root int")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
