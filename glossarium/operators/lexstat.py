@@ -1,4 +1,4 @@
-"""Language-specific sound correspondences (List, 2012): a scorer for every two doculects, distances by it, and clusters.
+"""Language-specific sound correspondences: a scorer for every two doculects, distances by it, and clusters.
 
 Segments are symbols of a class and a place in the word ("T.C"). How often
 symbols of two doculects meet in alignments of words for one concept is held
