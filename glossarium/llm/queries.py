@@ -225,4 +225,30 @@ FROM marked GROUP BY doc_id
 UNION ALL SELECT doc_id, NULL, 0, 0, 0 FROM documents WHERE text IS NULL
 """,
     "op11_kd_vector_codes": _vector_code_sql(),
+    # every two equal words of a document and how far they are apart: stretches of places with one such distance are runs
+    "op12_periodic_runs": r"""
+WITH crc AS (
+  SELECT row_number() OVER () AS k, doc_id, text,
+    xor(list_reduce(list_concat([4294967295::BIGINT], [ascii(c)::BIGINT for c in string_split(doc_id::VARCHAR, '')]),
+      lambda acc, b: list_reduce(list_concat([xor(acc, b)], range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) AS h
+  FROM documents
+),
+split AS (SELECT k, doc_id, h, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM crc),
+sized AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN g % len(w) END AS a FROM split),
+planted AS (
+  SELECT k, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_concat(w[1:a], [w[a + 1 + j % (1 + (n - a) // (3 + g % 8))] for j in range(n - a)]) END AS w FROM sized
+),
+words AS (SELECT k, unnest(range(n)) AS i, unnest(w) AS word FROM planted),
+pairs AS (SELECT x.k, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.k = y.k AND x.word = y.word AND x.i < y.i),
+islands AS (SELECT k, q, min(i) AS start, count(*) AS c FROM (SELECT k, q, i, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS island FROM pairs) GROUP BY k, q, island),
+runs AS (SELECT k, start, c + q AS length, min(q) AS period FROM islands WHERE c >= q AND c + q >= 12 GROUP BY ALL),
+best AS (
+  SELECT k, count(*) AS n_runs, min({'l': -length, 's': start, 'p': period}) AS b, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY k
+),
+gone AS (SELECT DISTINCT k, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT k, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (k, i) GROUP BY k)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, -b.l AS length, b.p AS period, 1000 * -b.l // b.p AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM planted LEFT JOIN best USING (k) LEFT JOIN kept USING (k)
+""",
 }
