@@ -174,7 +174,7 @@ def multistate(df: DataFrame, ref: str = "cogid", missing: str = "-") -> DataFra
 
     Symbols follow the order of the concept's sets; if a doculect has no word
     for the concept, the first symbol stands for that. Sets beyond the 62
-    symbols give '?'.
+    symbols have their number in angle brackets, so that no two look alike.
     """
     sets = df.select("concept", "doculect", F.col(ref).alias("ref")).distinct()
     taxa = df.select("doculect").distinct()
@@ -182,7 +182,7 @@ def multistate(df: DataFrame, ref: str = "cogid", missing: str = "-") -> DataFra
     gaps = sets.groupBy("concept").agg(F.count_distinct("doculect").alias("n")).join(F.broadcast(width)).select("concept", (F.col("n") < F.col("width")).cast("int").alias("gap"))
     ranked = sets.withColumn("rank", F.dense_rank().over(Window.partitionBy("concept").orderBy("ref"))).join(gaps, "concept")
     place = F.col("rank") + F.col("gap")
-    symbol = F.when(place <= len(STATES), F.substring(F.lit(STATES), place, F.lit(1))).otherwise("?")
+    symbol = F.when(place <= len(STATES), F.substring(F.lit(STATES), place, F.lit(1))).otherwise(F.concat(F.lit("<"), place.cast("string"), F.lit(">")))
     cells = ranked.groupBy("concept", "doculect").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), symbol.alias("symbol")))).alias("s"))
     text = F.array_join(F.transform("s", lambda x: x["symbol"]), "")
     states = cells.select("concept", "doculect", F.when(F.size("s") == 1, text).otherwise(F.concat(F.lit("("), text, F.lit(")"))).alias("states"))

@@ -275,7 +275,7 @@ def triples_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""  , taxa AS (SELECT DISTINCT doculect FROM wl), s AS (SELECT DISTINCT concept, doculect, cogid FROM wl),
 gap AS (SELECT concept, (count(DISTINCT doculect) < (SELECT count(*) FROM taxa))::INT AS g FROM s GROUP BY 1),
 r AS (SELECT concept, doculect, g + dense_rank() OVER (PARTITION BY concept ORDER BY cogid) AS k FROM s JOIN gap USING (concept)),
-c AS (SELECT concept, doculect, count(*) AS n, string_agg(CASE WHEN k <= 62 THEN substr('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', k, 1) ELSE '?' END, '' ORDER BY k) AS t FROM r GROUP BY ALL)
+c AS (SELECT concept, doculect, count(*) AS n, string_agg(CASE WHEN k <= 62 THEN substr('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', k, 1) ELSE '<' || k || '>' END, '' ORDER BY k) AS t FROM r GROUP BY ALL)
 SELECT k.concept, t.doculect, coalesce(CASE WHEN c.n = 1 THEN c.t ELSE '(' || c.t || ')' END, '-') AS states
 FROM (SELECT DISTINCT concept FROM wl) k CROSS JOIN taxa t LEFT JOIN c ON c.concept = k.concept AND c.doculect = t.doculect""")
 def multistate(spark: SparkSession, sf_dir: str) -> DataFrame:

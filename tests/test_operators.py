@@ -277,3 +277,10 @@ def test_whole_matrix_and_all_parts(spark):
     assert sorted((r.concept, r.doculect, r.form) for r in cells) == sorted((r.concept, r.doculect, r.form) for r in words)
     parts = queries.QUERIES["partial_slices_all"](spark, "/root/testdata/sf0.001").collect()
     assert sorted((r.id, r.part, r.morpheme) for r in parts) == sorted((r.id, k, m) for r in words for k, m in enumerate(r.form.split(" ")))
+
+
+def test_multistate_beyond_the_symbols(spark):
+    rows = [(k, f"d{k:02d}", "c", f"s{k:03d}") for k in range(70)]
+    df = spark.createDataFrame(rows, "id long, doculect string, concept string, cogid string")
+    states = {r.doculect: r.states for r in tb.multistate(df).collect()}
+    assert len(set(states.values())) == 70 and states["d61"] == "9" and states["d62"] == "<63>"
