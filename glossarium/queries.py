@@ -770,7 +770,7 @@ _REGION_SQL = """  , f AS (SELECT DISTINCT n_name AS doculect, p_brand || '/' ||
 s AS (SELECT DISTINCT cogid, concept, cogid || '/' || concept AS glid FROM f), has AS (SELECT DISTINCT doculect, concept FROM f),
 t AS (SELECT n_name AS node, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey),
 x AS (SELECT s.glid, t.node, t.parent, CASE WHEN f.cogid IS NOT NULL THEN 1 WHEN has.doculect IS NOT NULL THEN 0 END AS s
-  FROM s CROSS JOIN (SELECT * FROM t WHERE node IN (SELECT doculect FROM f)) t LEFT JOIN f ON f.doculect = t.node AND f.concept = s.concept AND f.cogid = s.cogid LEFT JOIN has ON has.doculect = t.node AND has.concept = s.concept),
+  FROM s CROSS JOIN t LEFT JOIN f ON f.doculect = t.node AND f.concept = s.concept AND f.cogid = s.cogid LEFT JOIN has ON has.doculect = t.node AND has.concept = s.concept),
 c1 AS (SELECT glid, node, parent, CASE WHEN s = 1 THEN 'inf'::DOUBLE ELSE 0 END AS a, CASE WHEN s = 0 THEN 'inf'::DOUBLE ELSE 0 END AS p FROM x),
 c2 AS (SELECT glid, parent AS node, sum(least(a, p + 2)) AS a, sum(least(p, a + 1)) AS p FROM c1 GROUP BY ALL),
 c3 AS (SELECT glid, sum(least(a, p + 2)) AS a, sum(least(p, a + 1)) AS p FROM c2 GROUP BY ALL),
