@@ -207,9 +207,10 @@ def word_pairs(df: DataFrame, entry: str = "form") -> DataFrame:
     a = one.select("concept", F.col("doculect").alias("a"), F.col("id").alias("id_a"), F.col("entry").alias("entry_a"))
     b = one.select("concept", F.col("doculect").alias("b"), F.col("id").alias("id_b"), F.col("entry").alias("entry_b"))
     pairs = a.join(b, "concept").where("a < b")
-    # the same two entries of two doculects under several concepts: the first pair stays; partial minima come before the shuffle
-    first = pairs.groupBy("a", "b", "entry_a", "entry_b").agg(F.min(F.struct("id_a", "id_b", "concept")).alias("p"))
-    return first.select("p.concept", "a", "p.id_a", "entry_a", "b", "p.id_b", "entry_b")
+    # the same two entries of two doculects under several concepts: the pair of the first word stays; minima of numbers are hashed before the shuffle
+    first = pairs.groupBy("a", "b", "entry_a", "entry_b").agg(F.min("id_a").alias("id_a"))
+    found = first.join(one.select(F.col("id").alias("id_a"), "concept"), "id_a").join(b, ["concept", "b", "entry_b"])
+    return found.select("concept", "a", "id_a", "entry_a", "b", "id_b", "entry_b")
 
 
 def check_duplicate_ids(df: DataFrame, ref: str) -> DataFrame:
