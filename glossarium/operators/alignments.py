@@ -2,31 +2,30 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import align as al
-from .lexstat import segmented
+from . import multiple
+from .graphs import kept
 
 
-def align_sets(df: DataFrame, ref: str = "cogid", entry: str = "form", method: str = "progressive", refine: bool = False) -> DataFrame:
-    """id and alignment (array of segments and '-') of every word, aligned with the distinct forms of its set.
+def set_items(df: DataFrame, ref: str = "cogid", entry: str = "form") -> DataFrame:
+    """block (the set), _entry and item (its segments joined by spaces) of every form of every set."""
+    words = kept(df.select(F.col(ref).cast("string").alias("block"), F.col(entry).alias("_entry")).where("block is not null and _entry is not null").distinct())
+    return words.join(multiple.spelled_forms(words, "_entry"), "_entry")
 
-    Equal forms of a set are aligned once, so a group holds a set's distinct
-    forms and not its words. A set of one form is its segments.
-    """
-    forms = df.select(F.col(ref).cast("string").alias("ref"), F.col(entry).alias("entry")).distinct()
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(rows.entry)
-        seqs = [segmented(n) for n in names]
-        out = al.library_align(seqs) if method == "library" else al.progressive(seqs, refine=refine)
-        return pd.DataFrame({"ref": rows.ref.iloc[0], "entry": names, "alignment": out})
+def align_sets(df: DataFrame, ref: str = "cogid", entry: str = "form", method: str = "progressive") -> DataFrame:
+    """df with alignment (array of segments and '-'): every word aligned with the distinct forms of its set.
 
-    aligned = forms.groupBy("ref").applyInPandas(run, "ref string, entry string, alignment array<string>")
-    return df.join(aligned, (F.col(ref).cast("string") == aligned["ref"]) & (F.col(entry) == aligned["entry"])).select(*df.columns, "alignment")
+    Equal forms of a set are aligned once; sets are aligned side by side, level by level (see multiple).
+    Words without a form or a set have a null alignment.
+    """
+    units = set_items(df, ref, entry)
+    aligned = multiple.align_items(units.select("block", "item").distinct(), method)
+    rows = units.join(aligned, ["block", "item"]).select(F.col("block").alias("_block"), "_entry", F.col("alignment").alias("_alignment"))
+    named = df.join(rows, (F.col(ref).cast("string") == F.col("_block")) & (F.col(entry) == F.col("_entry")), "left")
+    return named.select(*df.columns, F.col("_alignment").alias("alignment"))
 
 
 def consensus(aligned: DataFrame, ref: str = "cogid", gap_scale: float = 1.0, gaps: bool = False) -> DataFrame:

@@ -11,6 +11,8 @@ clusters of their own.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +57,15 @@ def linkage_clusters(pairs: DataFrame, threshold: float, linkage: str = "average
     whole = kept(whole)
     of = lambda c: whole.select("block", F.col("node").alias(c), F.col("root").alias(f"in_{c}"))
     inner = pairs.join(of("a"), ["block", "a"]).join(of("b"), ["block", "b"]).where("in_a = in_b")
-    live = kept(inner.select("block", "a", "b", F.col("distance").alias("total"), F.lit(1).cast("long").alias("n"), "distance"))
     found = whole.select("block", "node", F.col("node").alias("root"))
+    for new in merge_rounds(inner, threshold, linkage):
+        found = found.join(new.select("block", F.col("b").alias("root"), "a"), ["block", "root"], "left").select("block", "node", F.coalesce("a", "root").alias("root"))
+    return found
+
+
+def merge_rounds(pairs: DataFrame, threshold: float, linkage: str = "average") -> Iterator[DataFrame]:
+    """The merges (block, a, b: cluster b goes into a) of each round, until no two clusters are within threshold."""
+    live = kept(pairs.select("block", "a", "b", F.col("distance").alias("total"), F.lit(1).cast("long").alias("n"), "distance"))
     while True:
         order = F.struct(F.round("distance", DECIMALS).alias("d"), tie_key("a", "b").alias("key"), "a", "b")
         near = live.where(F.col("distance") <= threshold).select("block", order.alias("p"))
@@ -65,9 +74,8 @@ def linkage_clusters(pairs: DataFrame, threshold: float, linkage: str = "average
         new = kept(mutual)
         if new.isEmpty():
             break
+        yield new
         live = kept(_merged(live, new, linkage))
-        found = found.join(new.select("block", F.col("b").alias("root"), "a"), ["block", "root"], "left").select("block", "node", F.coalesce("a", "root").alias("root"))
-    return found
 
 
 def _merged(live: DataFrame, merges: DataFrame, linkage: str) -> DataFrame:

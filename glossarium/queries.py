@@ -17,6 +17,7 @@ from .operators import cognates as cg
 from .operators import evaluation as ev
 from .operators import lexstat as ls
 from .operators import linkage as lk
+from .operators import multiple as mu
 from .operators import networks as nw
 from .operators import phylogeny as ph
 from .operators import table as tb
@@ -639,28 +640,52 @@ def partial_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.array_join("partialids", " ").alias("partialids"))
 
 
-@query()
+#: All forms of the tables have two words, and unlike words in one column cost less than gaps: their alignment leaves words in place.
+_CELLS_SQL = "  , f AS (SELECT *, string_split(form, ' ') AS w FROM wl), c AS (SELECT cogid, id, doculect, unnest([0, 1]) AS k, unnest(w) AS x FROM f)"
+
+
+@query("  SELECT id, form AS alignment FROM wl")
 def msa_progressive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return am.align_sets(wordlist(spark, sf_dir)).select("id", F.array_join("alignment", " ").alias("alignment"))
 
 
-@query()
+def _fine_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words by sets within concepts: a library grows with the cube of a set's forms."""
+    return wordlist(spark, sf_dir).withColumn("cogid", F.concat_ws("/", "concept", "cogid"))
+
+
+@query("  SELECT id, form AS alignment FROM wl")
 def msa_library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = wordlist(spark, sf_dir).withColumn("cogid", F.concat_ws("/", "concept", "cogid"))
-    return am.align_sets(words, method="library").select("id", F.array_join("alignment", " ").alias("alignment"))
+    return am.align_sets(_fine_sets(spark, sf_dir), method="library").select("id", F.array_join("alignment", " ").alias("alignment"))
 
 
-@query()
+@query("""  , u AS (SELECT DISTINCT concept || '/' || cogid AS block, form, string_split(form, ' ') AS w FROM wl),
+p AS MATERIALIZED (SELECT block, a, b, k, same / 2 + (v[k + 1] = w[k + 1])::INT AS weight FROM
+  (SELECT x.block, x.form AS a, y.form AS b, x.w AS v, y.w AS w, (x.w[1] = y.w[1])::INT + (x.w[2] = y.w[2])::INT AS same, unnest([0, 1]) AS k FROM u x JOIN u y ON x.block = y.block AND x.form < y.form)),
+t AS MATERIALIZED (SELECT * FROM p UNION ALL SELECT block, b, a, k, weight FROM p),
+e AS (SELECT * FROM p UNION ALL SELECT x.block, x.a, y.b, x.k, least(x.weight, y.weight) FROM t x JOIN t y ON x.block = y.block AND x.b = y.a AND x.k = y.k WHERE x.a < y.b)
+SELECT block, a, k AS i, b, k AS j, round(sum(weight), 9) AS weight FROM e GROUP BY ALL""")
+def msa_library_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = am.set_items(_fine_sets(spark, sf_dir)).select("block", "item").distinct()
+    return mu.library_weights(units).withColumn("weight", F.round("weight", 9))
+
+
+@query(f"""{_CELLS_SQL}, n AS (SELECT cogid, k, x, count(*) AS n, min(id) AS first FROM c GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY cogid, k ORDER BY n DESC, first) AS r FROM n)
+SELECT cogid, string_agg(x, ' ' ORDER BY k) AS consensus FROM b WHERE r = 1 GROUP BY 1""")
 def msa_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return am.consensus(am.align_sets(wordlist(spark, sf_dir)))
 
 
-@query()
+@query("""  , u AS (SELECT DISTINCT cogid, form, string_split(form, ' ') AS w FROM wl),
+p AS (SELECT x.cogid, avg((x.w[1] = y.w[1])::INT + (x.w[2] = y.w[2])::INT) / 2 AS identity FROM u x JOIN u y ON x.cogid = y.cogid AND x.form < y.form GROUP BY 1)
+SELECT cogid, round(coalesce(identity, 1), 9) AS identity FROM (SELECT DISTINCT cogid FROM u) LEFT JOIN p USING (cogid)""")
 def msa_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return am.identity_of_sets(am.align_sets(wordlist(spark, sf_dir))).withColumn("identity", F.round("identity", 9))
 
 
-@query()
+@query(f"""{_CELLS_SQL}, n AS (SELECT cogid, k, doculect, x, count(*) AS n FROM c GROUP BY ALL)
+SELECT p.doculect AS a, q.doculect AS b, p.x, q.x AS y, sum(p.n * q.n)::BIGINT AS n FROM n p JOIN n q ON p.cogid = q.cogid AND p.k = q.k AND p.doculect < q.doculect GROUP BY ALL""")
 def msa_correspondences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return am.correspondence_counts(am.align_sets(wordlist(spark, sf_dir)))
 
