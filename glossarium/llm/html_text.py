@@ -1,17 +1,18 @@
-"""Main text of web pages: structure first, then a host's suffix array.
+"""Main text of web pages: the structure of each page and its host's suffix array.
 
 A page's html becomes blocks of text in four zones: main (inside article, or
 main where there is no article), furniture (menus, headers, footers, sidebars,
 notices, adverts, forms, comments, known by element, role, class or id),
 suspect (in the main part, under a name that only partly tells of furniture)
-and plain (pages that mark no main part). Main blocks stay whole and furniture
-goes. On suspect and plain blocks the host's suffix array decides: the token
-streams of all pages' blocks outside the main zone are cut into suffixes, which
-are sorted by host and their first tokens over all tasks (range partitions, so
-neither a large host nor a frequent start has to fit into one group). Suffixes
-that share their first depth tokens are neighbours there; what recurs on a set
-share of the host's distinct page texts (copies count once) is boilerplate, and
-a block's uncovered runs stay.
+and plain (pages that mark no main part). The token streams of all blocks of
+all pages are cut into suffixes, which are sorted by host and their first
+tokens over all tasks (range partitions, so neither a large host nor a frequent
+start has to fit into one group). Suffixes that share their first depth tokens
+are neighbours there; what recurs on a set share of the host's distinct page
+texts (copies count once) is boilerplate. Suffixes that no group of a host's
+texts has often enough cannot reach that share and are not sorted. Suspect and
+plain blocks keep their other runs; main blocks go where nearly all texts of
+the host have them whole; furniture goes in any case.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ MAIN, FURNITURE, PLAIN, SUSPECT = 0, 1, 2, 3
 _TITLE = 4  # main if the page has a main part
 #: A run of tokens is boilerplate from so many distinct page texts and this share of the host's on.
 LEAST, SHARE = 3, 0.25
+#: The same for the main part, where shared passages are no boilerplate: what nearly all of a host's pages have is.
+INSIDE_LEAST, INSIDE_SHARE = 8, 0.75
+#: Texts and windows that end a group of _possible(), and the bits of its result.
+GROUP_TEXTS, GROUP_WINDOWS, FILTER_BITS = 1024, 1 << 21, 1 << 24
 
 #: Fixed names: elements whose content is no text, whose content is furniture, that begin and end blocks, and that stay open until closed.
 SILENT = "script style noscript template svg iframe object canvas audio video head title select textarea button".split()
@@ -297,56 +302,140 @@ def _hashes(tokens: list[str]) -> list[int]:
     return [xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass")) for t in tokens]
 
 
-def _suffixes(parsed: DataFrame, depth: int) -> DataFrame:
-    """host, start (the first depth tokens as big-endian hashes), page, pos and need (of its host) of every suffix of the pages' streams."""
+def _windows(tokens: np.ndarray, depth: int, host: str) -> np.ndarray:
+    """A 64-bit hash of the host and of the low halves of each depth tokens in a row."""
+    tokens = (tokens & 0xFFFF).astype(np.uint64)
+    n = max(0, len(tokens) - depth + 1)
+    out = np.full(n, xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"), 3), np.uint64)
+    for k in range(depth):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + n]
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
+
+
+def _bits(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two of FILTER_BITS bits that stand for a window."""
+    mask = np.uint64(FILTER_BITS - 1)
+    return (windows & mask).astype(np.int64), ((windows >> np.uint64(32)) & mask).astype(np.int64)
+
+
+def _possible(texts: DataFrame, depth: int) -> np.ndarray:
+    """Bits (packed) of all windows that can be on need of their host's n texts.
+
+    Texts of a host lie side by side in groups of any size. A window on need of
+    n texts is on need / n of the texts of one group at least, so only what is
+    that frequent in a group can be. Others share its bits or halves of tokens by
+    chance, which costs rows of the suffix array and changes nothing in it.
+    """
+
+    def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = [np.frombuffer(x, ">u4").astype(">u2").tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(low, pa.binary()), *batch.columns[3:]], batch.schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[np.ndarray] = []  # distinct windows of each text
+        own: list[np.ndarray] = []  # windows of the last text
+        last, bound, size, held = None, (0, 0), 0, 0
+
+        def close() -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(group), return_counts=True)
+            found = np.unique(np.concatenate(_bits(values[counts * bound[0] >= bound[1] * len(group)])))
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["bit"])
+
+        for batch in batches:
+            for host, text, stream, n, need in zip(*(c.to_pylist() for c in batch.columns)):
+                if last is not None and (host, text) != last:
+                    group.append(np.unique(np.concatenate(own)))
+                    size, held, own = size + len(group[-1]), 0, []
+                    if host != last[0] or len(group) >= GROUP_TEXTS or size >= GROUP_WINDOWS:
+                        yield close()
+                        group, size = [], 0
+                last, bound = (host, text), (n, need)
+                own.append(_windows(np.frombuffer(stream, ">u2"), depth, host))
+                held += len(own[-1])
+                if held >= GROUP_WINDOWS:
+                    own = [np.unique(np.concatenate(own))]
+                    held = 0
+        if last is not None:
+            group.append(np.unique(np.concatenate(own)))
+            yield close()
+
+    low = texts.select("__host", "__text", "__stream", "n", "need").mapInArrow(halved, "__host string, __text bigint, __stream binary, n bigint, need bigint")
+    ordered = low.repartitionByRange("__host", "__text").sortWithinPartitions("__host", "__text")
+    words = ordered.mapInArrow(run, "bit bigint").groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit % 32))")).alias("bits")).toPandas()
+    filled = np.zeros(FILTER_BITS // 32, "<u4")
+    filled[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype("<u4")
+    return filled.view(np.uint8)
+
+
+def _suffixes(texts: DataFrame, depth: int) -> DataFrame:
+    """host, start (the first depth tokens as big-endian hashes), text, page, pos and need (null: evidence only) of the suffixes that can be repeated."""
+    possible = texts.sparkSession.sparkContext.broadcast(_possible(texts, depth))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = possible.value
         for batch in batches:
-            hosts, pages, at, starts, needs = [], [], [], [], []
-            for host, page, stream, need in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens = np.frombuffer(stream or b"", ">u4")
-                n = len(tokens) - depth + 1
-                if n > 0:
-                    packed = np.lib.stride_tricks.sliding_window_view(tokens, depth).tobytes()
-                    hosts += [host] * n
-                    pages += [page] * n
-                    at += range(n)
-                    needs += [need] * n
-                    starts += [packed[i : i + 4 * depth] for i in range(0, len(packed), 4 * depth)]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(starts, pa.binary()), pa.array(pages, pa.int64()), pa.array(at, pa.int32()), pa.array(needs, pa.int64())], ["host", "start", "page", "pos", "need"])
-
-    return parsed.select("__host", "__page", "__stream", "need").mapInArrow(run, "host string, start binary, page bigint, pos int, need bigint")
+            hosts, names, pages, at, starts, needs = [], [], [], [], [], []
+            for host, text, page, stream, need, inside, outside, open_ in zip(*(c.to_pylist() for c in batch.columns)):
+                tokens = np.frombuffer(stream, ">u4")
+                if len(tokens) < depth:
+                    continue
+                first, second = _bits(_windows(tokens, depth, host))
+                both = (filled[first >> 3] >> (first & 7)) & (filled[second >> 3] >> (second & 7)) & 1
+                found = np.flatnonzero(both).tolist()
+                packed = tokens.tobytes()
+                hosts += [host] * len(found)
+                names += [text] * len(found)
+                pages += [page] * len(found)
+                at += found
+                starts += [packed[4 * i : 4 * (i + depth)] for i in found]
+                needs += [inside if i >= outside else need if open_ else None for i in found]
+            arrays = [pa.array(hosts, pa.string()), pa.array(starts, pa.binary()), pa.array(names, pa.int64()), pa.array(pages, pa.int64()), pa.array(at, pa.int32()), pa.array(needs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["host", "start", "text", "page", "pos", "need"])
+
+    columns = texts.select("__host", "__text", "__page", "__stream", "need", "inside", "__outside", "__open")
+    return columns.mapInArrow(run, "host string, start binary, text bigint, page bigint, pos int, need bigint")
 
 
 def repeated_suffixes(parsed: DataFrame, depth: int, share: float = SHARE) -> DataFrame:
-    """page and pos of every suffix whose first depth tokens are on LEAST pages and on share of the host's pages, at least.
+    """page and pos of every suffix whose first depth tokens are on LEAST texts and on share of the host's texts, at least.
 
-    Pages are distinct texts (__page); a host of fewer than LEAST pages has no such suffix.
+    parsed: __host, __page (a name), __stream (tokens) and, where wanted, __text
+    (pages of equal text are one text; else __page), __outside (tokens from there
+    on are those of the main part: INSIDE_LEAST and INSIDE_SHARE hold for them)
+    and __open (false: the tokens before are evidence only). A host of fewer
+    than LEAST texts has no such suffix.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        previous, last_page, several, held = None, None, 0, []
+        previous, last_text, several, held = None, None, 0, {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             found = []
-            for key, page, pos, need in zip(keys, *(batch.column(k).to_pylist() for k in (2, 3, 4))):
+            for key, text, page, pos, need in zip(keys, *(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
                 if key != previous:
-                    previous, last_page, several, held = key, page, 1, []
-                elif page != last_page:  # sorted by page
-                    last_page, several = page, several + 1
-                held.append((page, pos))
-                if several >= need:
-                    found += held
-                    held = []
+                    previous, last_text, several, held = key, text, 1, {}
+                elif text != last_text:  # sorted by text
+                    last_text, several = text, several + 1
+                if need is not None:
+                    held.setdefault(need, []).append((page, pos))
+                for least in [x for x in held if several >= x]:
+                    found += held.pop(least)
             page, pos = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(pos, pa.int32())], ["page", "pos"])
 
-    texts = parsed.select("__host", "__page", "__stream").where(F.length("__stream") > 0).dropDuplicates(["__host", "__page"])
-    hosts = texts.groupBy("__host").agg(F.greatest(F.lit(LEAST), F.ceil(share * F.count("*"))).alias("need"), F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    for name, default in (("__text", F.col("__page")), ("__outside", F.lit(1 << 30)), ("__open", F.lit(True))):
+        if name not in parsed.columns:
+            parsed = parsed.withColumn(name, default)
+    texts = parsed.where(F.length("__stream") > 0)
+    hosts = texts.select("__host", "__text").distinct().groupBy("__host").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    needs = {"need": (LEAST, share), "inside": (INSIDE_LEAST, max(share, INSIDE_SHARE))}
+    hosts = hosts.withColumns({name: F.greatest(F.lit(least), F.ceil(F.lit(part) * F.col("n"))) for name, (least, part) in needs.items()})
     # the sorted suffixes: ties of host and start are never parted by a range partition
-    ordered = _suffixes(texts.join(F.broadcast(hosts), "__host"), depth).repartitionByRange("host", "start").sortWithinPartitions("host", "start", "page", "pos")
+    ordered = _suffixes(texts.join(F.broadcast(hosts), "__host"), depth).repartitionByRange("host", "start").sortWithinPartitions("host", "start", "text", "page", "pos")
     return ordered.mapInArrow(run, "page bigint, pos int")
 
 
@@ -360,56 +449,76 @@ def unique_runs(words: list[str], covered: np.ndarray, depth: int) -> list[str]:
     return out
 
 
+def kept_blocks(found: list[tuple[int, str]], starts: list[int] | None, depth: int) -> list[str]:
+    """The texts of a page's blocks (page_blocks()) that stay; starts: places of repeated suffixes in the stream of its blocks, outside first, then main.
+
+    Furniture goes. Other blocks outside lose their repeated runs. A main block
+    goes if all of its words are repeated, but a page of which more than half of
+    the main words would go is a copy and loses none.
+    """
+    if not starts:
+        return [text for zone, text in found if zone != FURNITURE]
+    lengths = [text.count(" ") + 1 for _, text in found]
+    outside = sum(n for n, (zone, _) in zip(lengths, found) if zone != MAIN)
+    hit = np.zeros(sum(lengths) + depth, np.int64)
+    for start in starts:
+        hit[start : start + depth if start >= outside else min(start + depth, outside)] = 1
+    at = {False: 0, True: outside}
+    own = []
+    for n, (zone, _) in zip(lengths, found):
+        own.append(hit[at[zone == MAIN] : at[zone == MAIN] + n])
+        at[zone == MAIN] += n
+    gone = [zone == MAIN and bool(o.all()) for o, (zone, _) in zip(own, found)]
+    if 2 * sum(n for n, g in zip(lengths, gone) if g) > sum(lengths) - outside:
+        gone = [False] * len(found)
+    out = []
+    for o, g, (zone, text) in zip(own, gone, found):
+        if zone == MAIN and not g:
+            out.append(text)
+        elif zone in (PLAIN, SUSPECT):
+            out.append(" ".join(unique_runs(text.split(" "), o, depth)))
+    return list(filter(None, out))
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", depth: int = 8) -> DataFrame:
     """id_col, url_col, text (blocks joined by a line end, empty if none) and n_chars of every row.
 
-    Null or empty html: empty text. Null url: pages without host. Broken markup:
-    what is open at the end is closed there. Rows of a host with equal html count
-    as one page, so a copy is no evidence of boilerplate; a row each in the
-    result. Other columns are not used. No rows: no rows.
+    All blocks of all pages go through their host's suffix array; kept_blocks()
+    says what follows. Null or empty html: empty text. Null url: pages without
+    host. Broken markup: what is open at the end is closed there. Rows of a host
+    with equal text apart from furniture count as one page, so a copy is no
+    evidence of boilerplate, whatever its scripts and adverts; a row each in the
+    result. Other columns are not used. No rows: no rows. Pages are parsed twice,
+    which takes less than their blocks take on disk.
     """
     source = pages.select(id_col, url_col, html_col)
     kinds = {c: source.schema[c].dataType.simpleString() for c in (id_col, url_col)}
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches, 2):
-            kept, streams, open_ = [], [], []
-            for html in texts:
+            names, tokens, outsides, open_ = [], [], [], []
+            for host, html in zip(batch.column(0).to_pylist(), texts):
                 found = page_blocks(html)
-                kept.append("\n".join(t for z, t in found if z == MAIN))
-                streams.append(np.array([h for z, t in found if z != MAIN for h in _hashes(t.split(" "))], ">u4").tobytes())
-                open_.append(found if any(z in (PLAIN, SUSPECT) for z, _ in found) else None)
-            kind = pa.list_(pa.struct([("zone", pa.int32()), ("n", pa.int32()), ("text", pa.string())]))
-            arrays = [batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(kept, pa.string()), pa.array(streams, pa.binary())]
-            spans = pa.array([None if p is None else [{"zone": z, "n": t.count(" ") + 1, "text": t} for z, t in p] for p in open_], kind)
-            yield pa.RecordBatch.from_arrays([*arrays, spans], [id_col, url_col, "__host", "__page", "__main", "__stream", "__spans"])
+                outside = [h for z, t in found if z != MAIN for h in _hashes(t.split(" "))]
+                inside = [h for z, t in found if z == MAIN for h in _hashes(t.split(" "))]
+                own = "\n".join([host, *(t for z, t in found if z != FURNITURE)])
+                names.append(xxhash.xxh64_intdigest(own.encode("utf-8", "surrogatepass")) - (1 << 63))
+                tokens.append(np.array(outside + inside, ">u4").tobytes())
+                outsides.append(len(outside))
+                open_.append(any(z in (PLAIN, SUSPECT) for z, _ in found))
+            arrays = [batch.column(0), batch.column(1), pa.array(names, pa.int64()), pa.array(tokens, pa.binary()), pa.array(outsides, pa.int32()), pa.array(open_, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, ["__host", "__page", "__text", "__stream", "__outside", "__open"])
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in blocks(batches, 2):
+            out = ["\n".join(kept_blocks(page_blocks(html), starts, depth)) for html, starts in zip(texts, batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], [id_col, url_col, "text"])
 
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1), F.lit("")))
-    schema = f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, __host string, __page bigint, __main string, __stream binary, __spans array<struct<zone:int,n:int,text:string>>"
-    parsed = materialise(source.select("*", host.alias("__host"), F.xxhash64(host, html_col).alias("__page")).mapInArrow(parse, schema), "pages")
-    covered = repeated_suffixes(parsed, depth).groupBy("page").agg(F.collect_set("pos").alias("__covered"))
-
-    def uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for spans, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                total = sum(s["n"] for s in spans if s["zone"] != MAIN)
-                hit = np.zeros(total + depth, np.int64)
-                for start in starts or ():
-                    hit[start : start + depth] = 1
-                at, lines = 0, []
-                for s in spans:
-                    if s["zone"] == MAIN:
-                        lines.append(s["text"])
-                        continue
-                    own = hit[at : at + s["n"]]
-                    at += s["n"]
-                    if s["zone"] != FURNITURE:
-                        lines.append(" ".join(unique_runs(s["text"].split(" "), own, depth)))
-                texts.append("\n".join(filter(None, lines)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [id_col, url_col, "text"])
-
-    marked = parsed.where(F.col("__spans").isNull()).select(id_col, url_col, F.col("__main").alias("text"))
-    plain = parsed.where(F.col("__spans").isNotNull()).join(covered, F.col("__page") == F.col("page"), "left").select(id_col, url_col, "__spans", "__covered")
-    rest = plain.mapInArrow(uncovered, f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string")
-    return marked.union(rest).select(id_col, url_col, "text", F.length("text").cast("long").alias("n_chars"))
+    named = source.select("*", host.alias("__host"), F.xxhash64(host, html_col).alias("__page"))
+    schema = "__host string, __page bigint, __text bigint, __stream binary, __outside int, __open boolean"
+    parsed = materialise(named.select("__host", "__page", html_col).mapInArrow(streams, schema), "streams")
+    covered = materialise(repeated_suffixes(parsed, depth).groupBy("page").agg(F.collect_set("pos").alias("__covered")), "covered")
+    joined = named.join(covered, F.col("__page") == F.col("page"), "left").select(id_col, url_col, html_col, "__covered")
+    texts = joined.mapInArrow(extract, f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string")
+    return texts.select(id_col, url_col, "text", F.length("text").cast("long").alias("n_chars"))

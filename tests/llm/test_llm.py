@@ -637,6 +637,43 @@ def test_copies_and_quotes_stay(spark):
     assert texts[5] == texts[12] == texts[15] == story(5)[3:-4]
 
 
+def test_the_array_decides_inside_articles(spark):
+    """A notice without a name goes if nearly all of the host's texts have it; passages of a third and copies stay whole."""
+    notice = "<p>read our terms before you use what is written on this site today</p>"
+    shared = "<p>a passage that a third of all articles of this host quote in full</p>"
+    story = lambda i: f"<p>{' '.join(f'word{i}x{k}' for k in range(40))}</p>"
+    page = lambda i: f"<article>{story(i)}{shared if i % 3 == 0 else ''}{notice}</article>"
+    rows = [(i, "http://a.org", page(i)) for i in range(12)]
+    # copies that differ in scripts and adverts alone, and near-copies
+    rows += [(100 + i, "http://b.org", f"<script>track({i})</script><div class='ad'>buy {i}</div><article>{story(50)}{notice}</article>") for i in range(12)]
+    rows += [(200 + i, "http://c.org", f"<article><p>copy {i}</p>{story(60)}</article>") for i in range(12)]
+    rows += [(300 + i, "http://d.org", f"<script>track({i})</script>{story(70)}") for i in range(12)]
+    texts = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    inner = lambda *parts: "\n".join(p[3:-4] for p in parts)
+    assert all(texts[i] == inner(story(i), *([shared] if i % 3 == 0 else [])) for i in range(12))
+    assert all(texts[100 + i] == inner(story(50), notice) for i in range(12))
+    assert all(texts[200 + i] == f"copy {i}\n{inner(story(60))}" for i in range(12))
+    assert all(texts[300 + i] == inner(story(70)) for i in range(12))
+
+
+def test_suffixes_of_many_texts(spark):
+    """Places of the main part need more texts; groups of a host's texts lose no window."""
+    rng, depth = random.Random(4), 3
+    streams = [[rng.choice((0, 0, 1, rng.randint(2, 300))) for _ in range(rng.randint(0, 40))] for _ in range(9000)]
+    outside = [rng.randint(0, len(x)) for x in streams]
+    rows = [("h", i, i // 2, bytearray(np.array(x, ">u4").tobytes()), outside[i], i % 5 > 0) for i, x in enumerate(streams)]
+    schema = "__host string, __page long, __text long, __stream binary, __outside int, __open boolean"
+    found = html_text.repeated_suffixes(spark.createDataFrame(rows, schema), depth, share=0.25)
+    texts = {i // 2 for i, x in enumerate(streams) if x}
+    where = {}
+    for i, x in enumerate(streams):
+        for k in range(len(x) - depth + 1):
+            where.setdefault(tuple(x[k : k + depth]), set()).add(i // 2)
+    need = lambda i, k: 0.75 * len(texts) if k >= outside[i] else 0.25 * len(texts) if i % 5 else 10**9
+    expected = {(i, k) for i, x in enumerate(streams) for k in range(len(x) - depth + 1) if len(where[tuple(x[k : k + depth])]) >= need(i, k)}
+    assert {tuple(r) for r in found.collect()} == expected and len({k >= outside[i] for i, k in expected}) == 2
+
+
 # 9
 
 
