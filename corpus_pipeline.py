@@ -35,7 +35,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by shingles of five words and a similarity of about 0.8 or more."""
+    """One document of each group of near-duplicates, by shingles of five words and a similarity of about 0.8 or more.
+
+    SimHash fingerprints meet by the generalised pigeonhole; exact shingle sets
+    verify them and complete what lies beyond their radius. Null and empty texts
+    are near-duplicates of each other; of repeated rows one stays.
+    """
     return simhash.keep_one(docs)
 
 

@@ -1,11 +1,13 @@
-"""Near-duplicates by the exact similarity (Jaccard) of shingle sets.
-
-Candidates share one of BANDS bands of ROWS minima of hashes: a pair of
-similarity s is missed with probability (1 - s ** ROWS) ** BANDS, which is
-0.0004 at 0.8 and 0.00001 at 0.85, whatever the number of texts. (SimHash
-would have to look 16 to 18 bits of 64 far for that.) Every candidate is
-verified on the sets of 64-bit hashes of its shingles. No bucket's pairs are
-all made: see classes().
+"""Near-duplicates: SimHash links, verified and completed by the exact similarity (Jaccard) of shingle sets.
+
+Texts within a radius of bits of each other's fingerprint meet by the
+generalised pigeonhole of simhash.links(). Every candidate is verified on the
+sets of 64-bit hashes of its shingles. A pair of similarity 0.8 may be 16 to 18
+of 64 bits apart, for which no pigeonhole is selective, so the classes are
+completed: what is still apart meets if it shares one of BANDS bands of ROWS
+minima of hashes. A pair of similarity s is missed there with probability
+(1 - s ** ROWS) ** BANDS, which is 0.0004 at 0.8 and 0.00001 at 0.85, whatever
+the number of texts. No bucket's pairs are all made: see classes().
 """
 
 from __future__ import annotations
@@ -44,20 +46,22 @@ def band_keys(values: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """All columns, and __key (of the shingle set), __size and __bands of every row; null text: as empty."""
-    at, names = docs.columns.index(text_col), [*docs.columns, "__key", "__size", "__bands"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__key bigint", "__size int", "__bands array<bigint>"])
+    """All columns, and __key (of the shingle set), __size, __bands and __fp (simhash.fingerprint()) of every row; null text: as empty."""
+    at, names = docs.columns.index(text_col), [*docs.columns, "__key", "__size", "__bands", "__fp"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__key bigint", "__size int", "__bands array<bigint>", "__fp bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch, texts in blocks(batches, at, 1 << 22):
-            keys, sizes, bands = [], [], []
+            keys, sizes, bands, prints = [], [], [], []
             for text in texts:
-                values = np.unique(simhash.shingles(text, shingle))
+                found = simhash.shingles(text, shingle)
+                prints += simhash.combined(found)
+                values = np.unique(found)
                 keys.append(simhash.signed(xxhash.xxh64_intdigest(values.tobytes(), 42)))
                 sizes.append(len(values))
                 bands.append(band_keys(values))
-            arrays = [*batch.columns, pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
+            arrays = [*batch.columns, pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(prints, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     return docs.mapInArrow(run, schema)
@@ -121,33 +125,53 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     return x.join(y, alike).select(F.col("x_key").alias("a"), F.col("y_key").alias("b")).distinct()
 
 
-def classes(marked: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+def fingerprint_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of nodes (__key, fp) whose fingerprints are equal or linked, that join all that chains of links join."""
+    first = nodes.groupBy("fp").agg(F.min("__key").alias("first"))
+    values = materialise(first, "fingerprints")
+    same = nodes.join(values, "fp").where(F.col("__key") != F.col("first")).select(F.col("__key").alias("a"), F.col("first").alias("b"))
+    found = simhash.links(values.select(F.col("fp").alias("__fp")), radius, direct=True)
+    ends = [values.select(F.col("fp").alias(f"fp_{c}"), F.col("first").alias(f"first_{c}")) for c in "ab"]
+    across = found.join(ends[0], F.col("a") == F.col("fp_a")).join(ends[1], F.col("b") == F.col("fp_b"))
+    return same.union(across.select("first_a", "first_b").distinct())
+
+
+def classes(marked: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, radius: int = 3) -> DataFrame:
     """__key, root (a key that names the class) and component_id (its least id) of every distinct shingle set of signatures().
 
-    Each text of a band's bucket first meets the one of it that meets most
-    others, and the next in that order, which is linear and joins most of what
-    is alike; the texts of buckets that are still in different classes then meet
-    by prefix_pairs, so that the classes are those of all candidate pairs at
-    least.
+    fingerprint_pairs() come first. In the buckets of bands that hold several
+    classes then, each text meets the one of it that meets most others, and the
+    next in that order, which is linear and joins most of what is alike; the
+    texts of buckets that are still in different classes then meet by
+    prefix_pairs, so that the classes are those of all candidate pairs at least.
     """
-    found = marked.groupBy("__key").agg(F.min(id_col).alias("__least"), F.first("__size").alias("size"), F.first("__bands").alias("bands"))
+    found = marked.groupBy("__key").agg(F.min(id_col).alias("__least"), F.first("__size").alias("size"), F.first("__bands").alias("bands"), F.min("__fp").alias("fp"))
     nodes = materialise(found, "shingle-sets")
+    near = materialise(fingerprint_pairs(nodes, radius), "near")
     met = nodes.select(F.col("__key").alias("key"), "size", F.explode("bands").alias("bucket"))
     met = met.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1")
     # the text that a group was copied from is in the largest buckets
     met = materialise(met.withColumn("meets", F.sum("n").over(Window.partitionBy("key"))).drop("n"), "buckets")
-    needed = met.select("key").distinct().join(nodes, F.col("key") == F.col("__key")).select("key", "__least")
+    wanted = met.select("key").union(near.select("a")).union(near.select("b")).distinct()
+    needed = wanted.join(nodes, F.col("key") == F.col("__key")).select("key", "__least")
     texts = marked.join(needed, (F.col("__key") == F.col("key")) & F.col(id_col).eqNullSafe(F.col("__least")))
     sets = materialise(_sets(texts.select("key", text_col), shingle).dropDuplicates(["key"]), "sets")
+    edges = materialise(_linked(near, sets, similarity), "simhash-links")
+
+    def apart(edges: DataFrame) -> DataFrame:
+        """met and class of the buckets that hold several classes."""
+        joined = components(edges, "a", "b")
+        named = met.join(joined, met["key"] == joined["node"], "left").select(*met.columns, F.coalesce("root", "key").alias("class"))
+        several = named.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("greatest")).where("least <> greatest")
+        return materialise(named.join(several.select("bucket"), "bucket"), "apart")
+
     order = Window.partitionBy("bucket").orderBy(F.desc("meets"), "key")
-    near = met.withColumn("first", F.first("key").over(order)).withColumn("last", F.lag("key").over(order))
-    stars = near.select(F.col("key").alias("a"), F.explode(F.array("first", "last")).alias("b"), "bucket").where("b is not null and a <> b")
-    stars = materialise(stars.select("a", "b").distinct(), "stars")
-    edges = materialise(_linked(stars, sets, similarity), "links")
-    joined = components(edges, "a", "b")
-    named = met.join(joined, met["key"] == joined["node"], "left").select("key", "size", "bucket", F.coalesce("root", "key").alias("class"))
-    apart = named.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("greatest")).where("least <> greatest")
-    left = materialise(named.join(apart.select("bucket"), "bucket"), "apart")
+    node = F.struct("key", "class")
+    stars = apart(edges).withColumn("first", F.first(node).over(order)).withColumn("last", F.lag(node).over(order))
+    stars = stars.select(F.col("key").alias("a"), "class", F.explode(F.array("first", "last")).alias("other")).where("other.class <> class")
+    stars = materialise(stars.select("a", F.col("other.key").alias("b")).distinct(), "stars")
+    edges = edges.union(materialise(_linked(stars, sets, similarity), "links"))
+    left = apart(edges)
     rest = materialise(prefix_pairs(left.select("key", "size", "class").distinct(), sets, similarity), "rest")
     more = materialise(_linked(rest, sets, similarity), "links")
     joined = components(edges.union(more), "a", "b")

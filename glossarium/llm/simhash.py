@@ -69,7 +69,11 @@ def fingerprint(text: str, shingle: int, words: int = 1) -> list[int]:
     fewer words than a shingle is one shingle. Repeats count. A bit is set if
     it is in over half of the shingles' XXH64 (seed 42).
     """
-    values = shingles(text, shingle)
+    return combined(shingles(text, shingle), words)
+
+
+def combined(values: np.ndarray, words: int = 1) -> list[int]:
+    """fingerprint() of the hashes of a text's shingles."""
     if not len(values):
         return [0] * words
     out = []
@@ -186,8 +190,8 @@ def probes(partitions: list[Partition], fp: F.Column) -> F.Column:
     return F.concat(*rows)
 
 
-def link_buckets(bucket: np.ndarray, role: np.ndarray, words: list[np.ndarray], near: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stars that join what is linked inside each bucket: rows sorted by bucket, those of the index first.
+def link_buckets(bucket: np.ndarray, role: np.ndarray, words: list[np.ndarray], near: int, direct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Stars that join what is linked inside each bucket, direct: trees of links instead; rows sorted by bucket, those of the index first.
 
     Every index row is compared with every row after it in its bucket, all rows
     at once for each step; links inside what is joined already add nothing.
@@ -198,6 +202,7 @@ def link_buckets(bucket: np.ndarray, role: np.ndarray, words: list[np.ndarray],
     edge = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
     end = np.repeat(np.append(edge, n), np.diff([0, *edge, n])) if n else root
     left = np.flatnonzero((role & 1) > 0)
+    tree: list[tuple[int, int]] = []
     step = 1
     while True:
         left = left[left + step < end[left]]
@@ -209,6 +214,7 @@ def link_buckets(bucket: np.ndarray, role: np.ndarray, words: list[np.ndarray],
             bits = bits + np.bitwise_count(value[a] ^ value[b])
             within = bits <= near
             a, b, bits = a[within], b[within], bits[within]
+        own = a
         a, b = root[a], root[b]
         apart = a != b
         if apart.any():
@@ -219,28 +225,33 @@ def link_buckets(bucket: np.ndarray, role: np.ndarray, words: list[np.ndarray],
                     parent[x] = x = parent.get(up, up)
                 return x
 
-            for x, y in zip(a[apart].tolist(), b[apart].tolist()):
+            for x, y, row in zip(a[apart].tolist(), b[apart].tolist(), own[apart].tolist()):
                 x, y = find(x), find(y)
                 if x != y:
                     parent[max(x, y)] = min(x, y)
+                    tree.append((row, row + step))
             moved = np.arange(n)
             for x in list(parent):
                 moved[x] = find(x)
             root = moved[root]
         step += 1
     fp = words[0]
+    if direct:
+        rows = np.array(tree, np.int64).reshape(-1, 2)
+        a, b = fp[rows[:, 0]], fp[rows[:, 1]]
+        return a[a != b], b[a != b]
     joined = np.flatnonzero((root != np.arange(n)) & (fp != fp[root]))
     return fp[joined], fp[root[joined]]
 
 
-def _verified(rows: DataFrame, near: int) -> DataFrame:
+def _verified(rows: DataFrame, near: int, direct: bool) -> DataFrame:
     """Edges (a, b) between fingerprints: rows are (bucket, role, words of the fingerprint)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
         def out(columns: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = link_buckets(columns[0], columns[1], columns[2:], near)
+            a, b = link_buckets(columns[0], columns[1], columns[2:], near, direct)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
@@ -260,9 +271,10 @@ def _verified(rows: DataFrame, near: int) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket", "role", *rows.columns[2:]).mapInArrow(run, "a bigint, b bigint")
 
 
-def links(values: DataFrame, radius: int, near: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def links(values: DataFrame, radius: int, near: int | None = None, bucket_rows: int = BUCKET_ROWS, direct: bool = False) -> DataFrame:
     """Edges (a, b) that join exactly the fingerprints which chains of links join; values: distinct bigints __fp, further words after it.
 
+    direct: every edge is a link itself, where else it may stand for a chain.
     Buckets of more than bucket_rows rows are split exactly: by equal groups of
     the bits outside their partition (one of radius + 1 groups must be equal),
     then, where that leaves large buckets, into blocks that meet in pairs.
@@ -297,7 +309,7 @@ def links(values: DataFrame, radius: int, near: int | None = None, bucket_rows:
         .select(*words, "role", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select(*words, "role", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
     )
-    return _verified(usual.select("bucket", "role", *words).union(split.select("bucket", "role", *words)), radius if near is None else near)
+    return _verified(usual.select("bucket", "role", *words).union(split.select("bucket", "role", *words)), radius if near is None else near, direct)
 
 
 def classes(signatures: DataFrame, id_col: str, radius: int, near: int | None = None) -> DataFrame:
@@ -331,22 +343,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """The rows of docs without all but one of each class of near-duplicates: the one of the least id stays.
 
     Two texts are linked if their shingle sets have a similarity (Jaccard) of
-    at least similarity, by the exact sets; candidates: see shingle_sets. Rows
-    are told apart by id and set. If a class's least id is that of several rows
+    at least similarity, by the exact sets. Those within radius bits of each
+    other's fingerprint are found by links(); shingle_sets completes them, as
+    texts of that similarity may be 16 to 18 bits apart. Rows are told apart by
+    id and set. If a class's least id is that of several rows
     (repeated rows, null ids), one of them stays. Null and empty texts are
     near-duplicates of each other. Columns as in docs; names that clash with
     inner ones are given back at the end.
     """
     clashing = {c: f"kept {k} {c}" for k, c in enumerate(docs.columns) if c.lower().startswith("__") or c.lower() in ("root", "component_id", "fingerprint")}
     if clashing:
-        own = keep_one(docs.withColumnsRenamed(clashing), clashing.get(id_col, id_col), clashing.get(text_col, text_col), shingle, similarity)
+        own = keep_one(docs.withColumnsRenamed(clashing), clashing.get(id_col, id_col), clashing.get(text_col, text_col), shingle, similarity, radius)
         return own.withColumnsRenamed({v: k for k, v in clashing.items()})
     marked = materialise(shingle_sets.signatures(docs, text_col, shingle), "marked")
-    found = shingle_sets.classes(marked, id_col, text_col, shingle, similarity)
+    found = shingle_sets.classes(marked, id_col, text_col, shingle, similarity, radius)
     own = marked.select(F.col(id_col).alias("__id"), "__key").join(found, "__key")
     # one id with several texts in a class: the least set
     least = own.where(F.col("__id").eqNullSafe(F.col("component_id"))).groupBy("root", "__id").agg(F.min("__key").alias("__kept"), F.count("*").alias("__rows"))

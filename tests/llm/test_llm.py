@@ -410,6 +410,42 @@ def test_links_are_those_of_brute_force(spark):
     assert kept == {find(i) for i in range(len(texts))}
 
 
+def test_fingerprints_link_near_copies(spark):
+    """Links within the radius come from the fingerprints alone, those beyond it from the sets; each is verified."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for k in range(30):
+        words = [word() for _ in range(400)]
+        rows.append((2 * k, " ".join(words)))
+        words[rng.randrange(400)] = word()
+        rows.append((2 * k + 1, " ".join(words)))
+    marked = shingle_sets.signatures(spark.createDataFrame(rows, "doc_id long, text string"), "text", 5)
+    by = {r.doc_id: r for r in marked.collect()}
+    assert all([by[i]["__fp"]] == simhash.fingerprint(t, 5) for i, t in rows)
+    near = {k for k in range(30) if (by[2 * k]["__fp"] ^ by[2 * k + 1]["__fp"]).bit_count() <= 3 and by[2 * k]["__fp"] * by[2 * k + 1]["__fp"] > 0}
+    assert len(near) > 8
+    name = {r["__key"]: i for i, r in by.items()}
+    found = lambda table: {name[r["__key"]]: r.component_id for r in shingle_sets.classes(table, "doc_id", "text", 5, 0.8).collect()}
+    alone = found(marked.withColumn("__bands", F.array().cast("array<bigint>")))
+    assert all(alone[2 * k + 1] == 2 * k for k in near) and len(set(alone.values())) > 30
+    whole = found(marked)
+    assert all(whole[2 * k + 1] == whole[2 * k] == 2 * k for k in range(30)) and len(set(whole.values())) == 30
+    # equal fingerprints of texts that are not alike
+    equal = found(marked.withColumn("__fp", F.lit(7).cast("bigint")))
+    assert equal == whole
+
+
+@pytest.mark.parametrize("radius", [3, 6])
+def test_direct_links(spark, radius):
+    rng = np.random.default_rng(3)
+    values = {int(b) ^ sum(1 << int(x) for x in set(rng.integers(0, 63, rng.integers(0, 5)))) for b in rng.integers(0, 2**62, 20) for _ in range(20)}
+    table = spark.createDataFrame([(x,) for x in values], "__fp long")
+    stars, trees = (simhash.links(table, radius, direct=d) for d in (False, True))
+    assert all((r.a ^ r.b).bit_count() <= radius for r in trees.collect())
+    assert {tuple(r) for r in components(trees, "a", "b").collect()} == {tuple(r) for r in components(stars, "a", "b").collect()}
+
+
 def test_clashing_names(docs):
     odd = docs.withColumns({"score": F.lit("x"), "kept": F.lit(1), "n_words": F.lit(None), "n_lines": F.lit(2), "row": F.lit(3), "name": F.lit(4)})
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
