@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import sounds
 from ..functions.batches import Sequences, align_all, with_prosody
 from .graphs import kept
-from .linkage import flat_clusters
+from .linkage import flat_clusters, key_pairs, tasks
 from .table import number_rows
 
 GAP = "-"
@@ -114,7 +114,7 @@ def edit_distances(a: pd.Series, b: pd.Series) -> np.ndarray:
 
 def spread(pairs: DataFrame) -> DataFrame:
     """The distinct rows, over as many tasks as the cluster runs at once: few short rows would else be put into one task."""
-    return pairs.distinct().repartition(max(pairs.sparkSession.sparkContext.defaultParallelism, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return pairs.distinct().repartition(tasks(pairs.sparkSession))
 
 
 def met_symbols(pairs: DataFrame, modes: tuple = MODES) -> DataFrame:
@@ -143,13 +143,26 @@ def met_symbols(pairs: DataFrame, modes: tuple = MODES) -> DataFrame:
     return spread(pairs.select("entry_a", "entry_b")).mapInPandas(run, "entry_a string, entry_b string, mode int, distance double, x array<string>, y array<string>")
 
 
+def numbered_nodes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct forms of all doculects by number (key, doculect, form; in this order), and which of them each concept has (block, key)."""
+    words = kept(df.select("concept", "doculect", "form").where("form is not null and doculect is not null").distinct())
+    nodes = kept(number_rows(words.select("doculect", "form").distinct(), ["doculect", "form"], name="key"))
+    return nodes, words.join(nodes, ["doculect", "form"]).where("concept is not null").select(F.col("concept").alias("block"), "key")
+
+
+def named_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b, entry_a and entry_b of pairs of keys."""
+    first, second = nodes.toDF("key_a", "a", "entry_a"), nodes.toDF("key_b", "b", "entry_b")
+    return pairs.join(first, "key_a").join(second, "key_b").select("a", "b", "entry_a", "entry_b")
+
+
 def attested_pairs(df: DataFrame) -> DataFrame:
     """a, b (a <= b), entry_a, entry_b and times (1): every two forms of two doculects for a concept once, and each form of a doculect with itself."""
-    words = df.select("concept", "doculect", "form").where("form is not null").distinct()
-    a, b = words.toDF("concept", "a", "entry_a"), words.toDF("concept", "b", "entry_b")
-    between = a.join(b, "concept").where("a < b").select("a", "b", "entry_a", "entry_b")
+    nodes, items = numbered_nodes(df)
+    between = named_pairs(key_pairs(items), nodes).where("a < b")
+    words = df.select("doculect", "form").where("form is not null").distinct()
     own = words.select(F.col("doculect").alias("a"), F.col("doculect").alias("b"), F.col("form").alias("entry_a"), F.col("form").alias("entry_b"))
-    return between.union(own).distinct().withColumn("times", F.lit(1).cast("long"))
+    return between.union(own).withColumn("times", F.lit(1).cast("long"))
 
 
 def dealt_pairs(df: DataFrame, runs: int, seed: int) -> DataFrame:
@@ -170,10 +183,11 @@ def dealt_pairs(df: DataFrame, runs: int, seed: int) -> DataFrame:
 def symbol_counts(pairs: DataFrame, met: DataFrame, threshold: float | None, modes: int) -> tuple[DataFrame, DataFrame]:
     """(a, b, x, y, n): how often symbols meet, as the mean over the modes; and (a, b, pairs): the pairs within threshold in the last mode."""
     near = met if threshold is None else met.where(F.col("distance") <= threshold)
-    joined = pairs.join(near, ["entry_a", "entry_b"])
-    cells = joined.select("a", "b", "times", F.explode(F.arrays_zip("x", "y")).alias("c"))
-    counts = cells.groupBy("a", "b", F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg((F.sum("times") / modes).alias("n"))
-    return counts, joined.where(F.col("mode") == modes - 1).groupBy("a", "b").agg(F.sum("times").alias("pairs"))
+    # counted for two forms before these meet all doculects that have them
+    cells = near.select("entry_a", "entry_b", F.explode(F.arrays_zip("x", "y")).alias("c")).groupBy("entry_a", "entry_b", F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg(F.count("*").alias("met"))
+    counts = pairs.join(cells, ["entry_a", "entry_b"]).groupBy("a", "b", "x", "y").agg((F.sum(F.col("times") * F.col("met")) / modes).alias("n"))
+    last = near.where(F.col("mode") == modes - 1).select("entry_a", "entry_b")
+    return counts, pairs.join(last, ["entry_a", "entry_b"]).groupBy("a", "b").agg(F.sum("times").alias("pairs"))
 
 
 def base_score(x: Column, y: Column, gap: float) -> Column:
@@ -197,7 +211,7 @@ def scorer(
     unattested or neither where there is none, to the classes' own score (the
     mean gap cost for gaps); that of two vowels times vowels.
     """
-    real, dealt = attested_pairs(df), dealt_pairs(df, runs, seed)
+    real, dealt = kept(attested_pairs(df)), kept(dealt_pairs(df, runs, seed))
     met = kept(met_symbols(real.select("entry_a", "entry_b").union(dealt.select("entry_a", "entry_b")), modes))
     attested, included = symbol_counts(real, met, threshold, len(modes))
     expected, drawn = symbol_counts(dealt, met, None, len(modes))

@@ -13,19 +13,47 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graphs import components, kept
 
 #: Decimals of a distance that count where two are compared: sums of doubles depend on their order.
 DECIMALS = 9
+#: Keys of one side of a tile of pairs.
+TILE = 512
 
 
 def _named(found: DataFrame) -> DataFrame:
     return found.select("node.block", F.col("node.item").alias("node"), F.col("root.item").alias("root"))
 
 
+def key_pairs(items: DataFrame, equal: bool = False, within: tuple[str, ...] = ()) -> DataFrame:
+    """key_a, key_b (key_a < key_b; with equal, <=) of all keys that share a block, each pair once (for each value of within).
+
+    items: block and key (an integer), and the columns of within, on which the
+    block decides. A block's keys are cut into parts of TILE, and every two
+    parts are a row of two arrays, so that a large block is dealt out. Their
+    pairs are made where they are also made distinct, in numbers: what is moved
+    grows with the distinct pairs, not with those of all blocks.
+    """
+    place = F.row_number().over(Window.partitionBy(*within, "block").orderBy("key"))
+    parts = items.select(*within, "block", "key").distinct().select("*", ((place - 1) / TILE).cast("int").alias("part"))
+    parts = parts.groupBy(*within, "block", "part").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    a, b = (parts.select(*within, "block", F.col("part").alias(f"part_{s}"), F.col("keys").alias(f"keys_{s}")) for s in "ab")
+    tiles = a.join(b, [*within, "block"]).where("part_a <= part_b")
+    tiles = tiles.repartition(*[F.col(c) for c in within]) if within else tiles.repartition(tasks(tiles.sparkSession))
+    one = tiles.select("*", F.posexplode("keys_a").alias("k", "key_a"))
+    later = F.slice("keys_b", F.col("k") + (1 if equal else 2), F.size("keys_b"))
+    pairs = one.select(*within, "key_a", F.explode(F.when(F.col("part_a") == F.col("part_b"), later).otherwise(F.col("keys_b"))).alias("key_b"))
+    return pairs.distinct()
+
+
+def tasks(spark: SparkSession) -> int:
+    """As many tasks as the cluster runs at once, and as a shuffle has."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def linked(edges: DataFrame) -> DataFrame:
     """The connected items of each block: single linkage, if the edges are the pairs within the threshold."""
     item = lambda c: F.struct("block", F.col(c).alias("item"))

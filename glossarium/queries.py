@@ -555,8 +555,8 @@ def cluster_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words by finer concepts, brand and size: all words of a concept are compared with each other."""
-    return wordlist(spark, sf_dir, F.concat_ws("/", "p_brand", "p_size"))
+    """The words by finer concepts, brand and size: all words of a concept are compared with each other. They are read many times, the lines once."""
+    return kept(wordlist(spark, sf_dir, F.concat_ws("/", "p_brand", "p_size")))
 
 
 @query()

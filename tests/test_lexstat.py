@@ -13,6 +13,7 @@ from glossarium.functions import sounds
 from glossarium.functions.batches import align_all
 from glossarium.operators import cognates as cg
 from glossarium.operators import lexstat as ls
+from glossarium.operators import linkage as lk
 
 FORMS = ["tak", "taxtər", "doːtər", "tʰoxtər", "fiʎa", "fij", "hant", "hand", "mano", "mɛ̃", "nox nox", "a", "ta⁵⁵", "ma²¹ta³", "vatər", "pater", "per", "strand"]
 
@@ -114,3 +115,30 @@ def test_no_words(words):
     none = words.limit(0)
     assert ls.scorer(none, runs=5).count() == 0
     assert ls.distances(ls.attested_pairs(none), ls.scorer(none, runs=5)).count() == 0
+
+
+def test_pairs_of_forms_come_from_one_reading(spark, words):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for rows in batches:
+            seen.add(len(rows))
+            yield rows
+
+    watched = words.mapInPandas(watch, words.schema)
+    ls.scorer(watched, seed=3, runs=200).collect()
+    assert seen.value <= 5 * words.count()
+
+
+@pytest.mark.parametrize("tile", [1, 3, 512])
+def test_pairs_of_keys_are_those_of_a_join(spark, words, tile, monkeypatch):
+    monkeypatch.setattr(lk, "TILE", tile)
+    own = {}
+    for r in words.collect():
+        own.setdefault(r.concept, set()).update([(r.doculect, r.form)] if r.form else [])
+    want = sorted((*x, *y) for x, y in {(x, y) for c in own.values() for x in c for y in c if x[0] < y[0]})
+    got = [(r.a, r.entry_a, r.b, r.entry_b) for r in ls.attested_pairs(words).where("a < b").collect()]
+    assert sorted(got) == want
+    items = spark.createDataFrame([("x", 0, 4), ("x", 0, 2), ("x", 0, 2), ("x", 1, 7), ("y", 2, 4), ("y", 2, 2), ("z", 2, 9), ("z", 2, 4)], "bin string, block int, key int")
+    pairs = lambda *a: sorted(tuple(r) for r in lk.key_pairs(items, *a).collect())
+    assert pairs() == [(2, 4), (2, 9), (4, 9)] and pairs(True, ("bin",)) == [("x", 2, 2), ("x", 2, 4), ("x", 4, 4), ("x", 7, 7), ("y", 2, 2), ("y", 2, 4), ("y", 4, 4), ("z", 4, 4), ("z", 4, 9), ("z", 9, 9)]
