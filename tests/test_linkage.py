@@ -88,6 +88,49 @@ def test_pairs_without_a_distance_stay_apart(spark):
         assert [r.node for r in found if r.node != r.root] in ([2], [3])
 
 
+def watched(monkeypatch, *modules):
+    """The numbers of rows of all tables that the modules write from now on."""
+    rows = []
+    for m in modules:
+
+        def keep(df, f=m.kept):
+            rows.append((out := f(df)).count())
+            return out
+
+        monkeypatch.setattr(m, "kept", keep)
+    return rows
+
+
+@pytest.mark.parametrize("method", ["upgma", "complete", "single"])
+@pytest.mark.parametrize("limits", [{}, {"DENSE": 2}, {"MOST": 6}, {"MOST": 0}])
+def test_clusters_of_items_are_those_of_their_pairs(spark, method, limits, monkeypatch):
+    for name, value in limits.items():
+        monkeypatch.setattr(lk, name, value)
+    rng = random.Random(8)
+    items = [(f"b{b}", f"{k:02}", rng.randint(1, 9), rng.choice([None, None, "p", "q"])) for b in range(6) for k in range(rng.randint(1, 16))]
+    d = {(i, j): rng.choice([0.0, 0.25, 0.5, 0.75, rng.random()]) if i < j else 0.0 for i in range(1, 10) for j in range(i, 10)}
+    d[2, 5] = None
+    del d[3, 4]
+    pairs = []
+    for b, x, k, p in items:
+        for c, y, m, q in items:
+            if b == c and x < y:
+                pairs.append((b, x, y, None if p and p == q else d.get((min(k, m), max(k, m)))))
+    want = lk.flat_clusters(spark.createDataFrame(pairs, "block string, a string, b string, distance double"), 0.55, method).collect()
+    tables = [spark.createDataFrame(items, "block string, node string, key long, apart string"), spark.createDataFrame([(*k, v) for k, v in d.items()], "key_a long, key_b long, distance double")]
+    shared = lambda rows: {(r.block, r.node): r.root for r in rows if sum((q.block, q.root) == (r.block, r.root) for q in rows) > 1}
+    assert shared(lk.item_clusters(*tables, 0.55, method).collect()) == shared(want)
+    assert lk.item_clusters(tables[0].limit(0), tables[1], 0.55, method).count() == 0
+
+
+def test_a_mean_at_the_threshold_is_near_whatever_the_order_of_its_sum(spark):
+    # 0.1 + 0.2 + 0.6 and 0.6 + 0.2 + 0.1 are not equal as doubles
+    rows = [("x", 1, 2, 0.0), ("x", 1, 3, 0.0), ("x", 2, 3, 0.0), ("x", 1, 4, 0.1), ("x", 2, 4, 0.2), ("x", 3, 4, 0.6 + 1e-16)]
+    found = lk.linkage_clusters(spark.createDataFrame(rows, SCHEMA), 0.3).collect()
+    assert {r.node: r.root for r in found} == dict.fromkeys((1, 2, 3, 4), 1)
+    assert kernels.merged_in_rounds(np.array([[0, 0.3 + 1e-12], [0.3 + 1e-12, 0]]), ["a", "b"], 0.3).tolist() == [0, 0]
+
+
 @pytest.mark.parametrize("least", [1, 2, 4])
 def test_density_clusters(spark, least):
     mats, rows = matrices(9)
@@ -139,6 +182,15 @@ def test_loose_ids(spark):
     assert got == {1: "c:5", 2: "c:5", 3: "c:5", 4: "c:4", 5: "c:#5", 6: "d:5", 7: "d:1"}
 
 
+def test_morphemes_are_clustered_without_a_table_of_their_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(k, "c", f"{rng.choice(['t a', 't i', 'k o'])} + {rng.choice(['n u', 'n o'])}") for k in range(120)]
+    df = spark.createDataFrame(rows, "id long, concept string, form string").withColumn("segments", F.split("form", " "))
+    kept = watched(monkeypatch, cg, lk)
+    got = cg.partial_clusters(df, st.ldn, 0.4).collect()
+    assert max(kept) <= 240 and len(got) == 120 and all(len(set(r.partialids)) == 2 for r in got)
+
+
 def test_morphemes_of_a_word_stay_apart(spark):
     rows = [(1, "A", "c", "t a + t a"), (2, "B", "c", "t a"), (3, "C", "c", "t i + k o"), (4, "D", "c", "k o"), (5, "E", "d", "k o"), (6, "F", "c", None)]
     df = spark.createDataFrame(rows, "id long, doculect string, concept string, form string").withColumn("segments", F.split("form", " "))
