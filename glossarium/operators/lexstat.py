@@ -200,7 +200,7 @@ def base_score(x: Column, y: Column, gap: float) -> Column:
 
 def scorer(
     df: DataFrame, seed: int = 0, runs: int = 1000, threshold: float = 0.7, modes: tuple = MODES, ratio: tuple[float, float] = (2.0, 1.0),
-    smooth: float = 1.0, unattested: float = -5.0, unexpected: float = 1e-5, neither: float = -90.0, vowels: float = 1.0,
+    smooth: float = 1.0, unattested: float = -5.0, unexpected: float = 1e-5, neither: float = -90.0, vowels: float = 1.0, real: DataFrame | None = None,
 ) -> DataFrame:
     """a, b (a <= b), x, y and score of all symbols (and the gap) of every two doculects.
 
@@ -209,9 +209,10 @@ def scorer(
     as many pairs. Between doculects counts up to smooth are as none. Score:
     ratio of log2(attested^2 / expected^2), of attested^2 / unexpected where none is expected,
     unattested or neither where there is none, to the classes' own score (the
-    mean gap cost for gaps); that of two vowels times vowels.
+    mean gap cost for gaps); that of two vowels times vowels. real: attested_pairs,
+    where they are known.
     """
-    real, dealt = kept(attested_pairs(df)), kept(dealt_pairs(df, runs, seed))
+    real, dealt = kept(attested_pairs(df)) if real is None else real, kept(dealt_pairs(df, runs, seed))
     met = kept(met_symbols(real.select("entry_a", "entry_b").union(dealt.select("entry_a", "entry_b")), modes))
     attested, included = symbol_counts(real, met, threshold, len(modes))
     expected, drawn = symbol_counts(dealt, met, None, len(modes))
@@ -249,8 +250,8 @@ def distances(pairs: DataFrame, scores: DataFrame, mode: str = "overlap", gop: f
     for kind, side in ((1, "a"), (2, "b")):
         parts.append(two.join(within.withColumnRenamed("own", side), side).select("a", "b", "blocks", "x", "y", "score", F.lit(kind).alias("kind")))
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    # columns of their own: both sides come from the same tables
-    dealt, rows = (t.toDF(*t.columns) for t in (dealt, rows))
+    # columns of their own: both sides come from the same tables; as many tasks for them, however short the rows
+    dealt, rows = (t.toDF(*t.columns).repartition(tasks(t.sparkSession), "a", "b", "block") for t in (dealt, rows))
 
     def run(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if not len(own):

@@ -567,8 +567,8 @@ def lexstat_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def lexstat_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _fine(spark, sf_dir)
-    pairs = ls.attested_pairs(words).where("a < b")
-    return ls.distances(pairs, kept(ls.scorer(words))).withColumn("distance", F.round("distance", 9))
+    real = kept(ls.attested_pairs(words))
+    return ls.distances(real.where("a < b"), kept(ls.scorer(words, real=real))).withColumn("distance", F.round("distance", 9))
 
 
 @query()

@@ -142,3 +142,8 @@ def test_pairs_of_keys_are_those_of_a_join(spark, words, tile, monkeypatch):
     items = spark.createDataFrame([("x", 0, 4), ("x", 0, 2), ("x", 0, 2), ("x", 1, 7), ("y", 2, 4), ("y", 2, 2), ("z", 2, 9), ("z", 2, 4)], "bin string, block int, key int")
     pairs = lambda *a: sorted(tuple(r) for r in lk.key_pairs(items, *a).collect())
     assert pairs() == [(2, 4), (2, 9), (4, 9)] and pairs(True, ("bin",)) == [("x", 2, 2), ("x", 2, 4), ("x", 4, 4), ("x", 7, 7), ("y", 2, 2), ("y", 2, 4), ("y", 4, 4), ("z", 4, 4), ("z", 4, 9), ("z", 9, 9)]
+
+
+def test_distances_are_dealt_out_however_short_their_rows(spark, words):
+    scores = ls.scorer(words, seed=3, runs=20)
+    assert ls.distances(ls.attested_pairs(words), scores).rdd.getNumPartitions() >= 4
