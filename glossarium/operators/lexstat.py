@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import sounds
 from ..functions.batches import Sequences, align_all, with_prosody
 from .graphs import kept
-from .linkage import flat_clusters, key_pairs, tasks
+from .linkage import item_clusters, key_pairs, tasks
 from .table import number_rows
 
 GAP = "-"
@@ -278,12 +278,11 @@ def distances(pairs: DataFrame, scores: DataFrame, mode: str = "overlap", gop: f
 
 def cluster(df: DataFrame, scores: DataFrame, linkage: str = "upgma", threshold: float = 0.6, name: str = "lexstatid") -> DataFrame:
     """df with the cluster of each word by the scorers' distances: words of a concept, those of one doculect too; "concept:doculect/form" of its least word."""
-    words = df.select("concept", "doculect", "form").where("form is not null").distinct()
     node = F.concat_ws("/", "doculect", "form")
-    a = words.select("concept", F.col("doculect").alias("a"), F.col("form").alias("entry_a"), node.alias("node_a"))
-    b = words.select("concept", F.col("doculect").alias("b"), F.col("form").alias("entry_b"), node.alias("node_b"))
-    pairs = kept(a.join(b, "concept").where("(a < b) or (a = b and entry_a < entry_b)"))
-    measured = pairs.join(distances(pairs, scores), ["a", "b", "entry_a", "entry_b"])
-    table = measured.select(F.col("concept").alias("block"), F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), "distance")
-    found = flat_clusters(table, threshold, linkage).select(F.col("block").alias("concept"), "node", "root")
+    nodes, items = numbered_nodes(df)
+    pairs = named_pairs(key_pairs(items), nodes)
+    first, second = nodes.toDF("key_a", "a", "entry_a"), nodes.toDF("key_b", "b", "entry_b")
+    measured = distances(pairs, scores).join(first, ["a", "entry_a"]).join(second, ["b", "entry_b"]).select("key_a", "key_b", "distance")
+    named = items.join(nodes, "key").select("block", node.alias("node"), "key", F.lit(None).cast("long").alias("apart"))
+    found = item_clusters(named, kept(measured), threshold, linkage).select(F.col("block").alias("concept"), "node", "root")
     return df.withColumn("node", node).join(found, ["concept", "node"], "left").select(*df.columns, F.concat_ws(":", "concept", F.coalesce("root", "node")).alias(name))

@@ -50,7 +50,7 @@ def key_pairs(items: DataFrame, equal: bool = False, within: tuple[str, ...] = (
     parts = parts.groupBy(*within, "block", "part").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     a, b = (parts.select(*within, "block", F.col("part").alias(f"part_{s}"), F.col("keys").alias(f"keys_{s}")) for s in "ab")
     tiles = a.join(b, [*within, "block"]).where("part_a <= part_b")
-    tiles = tiles.repartition(*[F.col(c) for c in within]) if within else tiles.repartition(tasks(tiles.sparkSession))
+    tiles = tiles.repartition(tasks(tiles.sparkSession), *within)
     one = tiles.select("*", F.posexplode("keys_a").alias("k", "key_a"))
     later = F.slice("keys_b", F.col("k") + (1 if equal else 2), F.size("keys_b"))
     pairs = one.select(*within, "key_a", F.explode(F.when(F.col("part_a") == F.col("part_b"), later).otherwise(F.col("keys_b"))).alias("key_b"))

@@ -147,3 +147,21 @@ def test_pairs_of_keys_are_those_of_a_join(spark, words, tile, monkeypatch):
 def test_distances_are_dealt_out_however_short_their_rows(spark, words):
     scores = ls.scorer(words, seed=3, runs=20)
     assert ls.distances(ls.attested_pairs(words), scores).rdd.getNumPartitions() >= 4
+
+
+def test_clusters_need_no_table_of_the_pairs_of_all_concepts(spark, monkeypatch):
+    rows = [(c * 100 + k, "ABC"[k % 3], f"c{c}", FORMS[k // 3], "x") for c in range(40) for k in range(30)]
+    df = spark.createDataFrame(rows, "id long, doculect string, concept string, form string, cogid string")
+    scores = spark.createDataFrame(ls.scorer(df, seed=3, runs=20).collect())
+    counts = []
+    for m in (ls, lk):
+
+        def keep(t, f=m.kept):
+            counts.append((out := f(t)).count())
+            return out
+
+        monkeypatch.setattr(m, "kept", keep)
+    got = ls.cluster(df, scores).collect()
+    # 30 forms are 435 pairs, which 40 concepts share
+    assert max(counts) <= 1200 and len(got) == 1200
+    assert len({tuple(sorted(r.lexstatid.split(":")[1] for r in got if r.concept == f"c{c}")) for c in range(40)}) == 1
